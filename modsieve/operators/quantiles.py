@@ -1,7 +1,8 @@
 """Exact linear-interpolated quantiles without holding all values in one place.
 
 A sketch brackets every wanted rank, exact counts below and inside the bracket turn the rank into
-a position inside it, and only the few values in the brackets are ordered.
+a position inside it, and only the few values in the brackets are ordered.  Two passes in all: one
+for sketch and moments, one for value counts.
 """
 
 from __future__ import annotations
@@ -10,47 +11,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+MOMENTS = ["count", "mean", "std", "min", "max"]
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
-    """One row, one column per name in ``probs``; the same answer as sorting everything.
+def describe(df: DataFrame, column: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """One row: count, mean, sample std, min, max and one column per name in ``probs``.
 
-    The quantile at ``p`` lies between the values at ranks ``floor`` and ``ceil`` of ``p*(n-1)``.
+    The quantile at ``p`` lies between the values at ranks ``floor`` and ``ceil`` of ``p*(n-1)``;
+    the answer is the same as sorting everything.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     slack = 2.0 / accuracy
-    lows = F.array(*[F.lit(max(p - slack, 0.0)) for p in probs.values()])
-    highs = F.array(*[F.lit(min(p + slack, 1.0)) for p in probs.values()])
-    sketch = values.select(F.struct(
-        F.percentile_approx("v", lows, accuracy).alias("lo"),
-        F.percentile_approx("v", highs, accuracy).alias("hi"),
-        F.min("v").alias("min"), F.max("v").alias("max"), F.count("v").alias("n"),
-    )).scalar()
-
-    # tag every distinct value with the brackets it lies in; the rest is only counted as "below"
-    counts = values.groupBy("v").agg(F.count("*").alias("c"))
-    tagged = counts.select(
-        "v", "c",
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(name).alias("name"), F.lit(float(p)).alias("p"), sketch["n"].alias("n"),
-                F.when(F.lit(max(p - slack, 0.0)) == 0.0, sketch["min"]).otherwise(sketch["lo"][i]).alias("lo"),
-                F.when(F.lit(min(p + slack, 1.0)) == 1.0, sketch["max"]).otherwise(sketch["hi"][i]).alias("hi"),
-            ) for i, (name, p) in enumerate(probs.items())
-        ])).alias("q"),
-    ).select("v", "c", "q.*").filter(F.col("v") <= F.col("hi"))
-    # all values below a bracket collapse into one row per quantile before the window sorts anything
+    low = [max(p - slack, 0.0) for p in probs.values()]
+    high = [min(p + slack, 1.0) for p in probs.values()]
+    sketch = values.agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
+        F.percentile_approx("v", F.array(*[F.lit(p) for p in low]), accuracy).alias("lo"),
+        F.percentile_approx("v", F.array(*[F.lit(p) for p in high]), accuracy).alias("hi"),
+    ).select(F.struct("*")).scalar()
+
+    # Every distinct value is tagged with the brackets it is not above.
+    counts = values.groupBy("v").agg(F.count("*").alias("c")).withColumn("s", sketch)
+    s = F.col("s")
+    tagged = counts.select("v", "c", "s", F.explode(F.array(*[
+        F.struct(
+            F.lit(name).alias("name"), (F.lit(float(p)) * (s["count"] - 1)).alias("at"),
+            (s["min"] if low[i] == 0.0 else s["lo"][i]).alias("lo"),
+            (s["max"] if high[i] == 1.0 else s["hi"][i]).alias("hi"),
+        ) for i, (name, p) in enumerate(probs.items())
+    ])).alias("q")).select("v", "c", "s", "q.*").filter(F.col("v") <= F.col("hi"))
+    # Values below a bracket collapse into one row per quantile before the window sorts anything.
     squeezed = (
         tagged.withColumn("v", F.when(F.col("v") < F.col("lo"), F.lit(float("-inf"))).otherwise(F.col("v")))
-        .groupBy("name", "p", "n", "v").agg(F.sum("c").alias("c"))
+        .groupBy("name", "v").agg(F.sum("c").alias("c"), F.max("at").alias("at"), F.any_value("s").alias("s"))
     )
     upto = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = squeezed.withColumn("last", F.sum("c").over(upto) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
-    at = F.col("p") * (F.col("n") - 1)
-    below, above = F.floor(at), F.ceil(at)
+    below, above = F.floor("at"), F.ceil("at")
     picked = placed.groupBy("name").agg(
         F.max(F.when((F.col("first") <= below) & (below <= F.col("last")), F.col("v"))).alias("a"),
         F.max(F.when((F.col("first") <= above) & (above <= F.col("last")), F.col("v"))).alias("b"),
-        F.max(at - below).alias("w"),
-    ).select("name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
-    return picked.agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in probs])
+        F.max(F.col("at") - below).alias("w"), F.any_value("s").alias("s"),
+    ).select("name", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"), "s")
+    row = picked.agg(F.any_value("s").alias("s"),
+                     *[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in probs])
+    return row.select(
+        F.coalesce(F.col("s")["count"], F.lit(0)).alias("count"),
+        *[F.col("s")[name].alias(name) for name in MOMENTS[1:]], *probs)
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """One row, one column per name in ``probs``."""
+    return describe(df, column, probs, accuracy).select(*probs)

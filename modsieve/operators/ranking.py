@@ -34,9 +34,10 @@ def ranked(df: DataFrame, order: str, groups: list[str] | None = None, tie: str
     """
     groups = groups or []
     ends = df.select(F.struct(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))).scalar()
-    width = (ends["hi"] - ends["lo"]) / buckets
-    place = F.when(width > 0, F.least(F.floor((F.col(order).cast("double") - ends["lo"]) / width), F.lit(buckets - 1)))
-    cut = df.withColumn("_bucket", F.coalesce(place, F.lit(0)).cast("int"))
+    lo, hi = F.col("_ends")["lo"], F.col("_ends")["hi"]
+    step = F.floor((F.col(order).cast("double") - lo) / ((hi - lo) / buckets))
+    place = F.when(hi > lo, F.least(step, F.lit(buckets - 1))).otherwise(0)
+    cut = df.withColumn("_ends", ends).withColumn("_bucket", place.cast("int")).drop("_ends")
     sizes = cut.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
     # at most `buckets` rows per group from here on
     before = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions import labels as L
-from modsieve.operators.quantiles import exact_quantiles
+from modsieve.operators.quantiles import describe
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -78,19 +78,9 @@ def escalation_summary(rows: DataFrame, error: str = "error") -> DataFrame:
 
 
 def confidence_describe(rows: DataFrame, column: str = "confidence") -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max; two one-row frames joined on a constant key."""
-    c = F.col(column).cast("double")
-    basic = rows.agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-        F.min(c).alias("min"), F.max(c).alias("max"),
-    )
-    quartiles = exact_quantiles(rows, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    picked = quartiles.select(F.struct("p25", "p50", "p75")).scalar()
-    return basic.select(
-        "count", "mean", "std", "min",
-        *[picked[name].alias(name) for name in ("p25", "p50", "p75")],
-        "max",
-    )
+    """count, mean, sample std, min, exact quartiles, max."""
+    got = describe(rows, column, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return got.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def confidence_heatmap(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -116,11 +106,11 @@ def histogram(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """
     values = rows.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     ends = values.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    flat = ends["hi"] == ends["lo"]
-    lo = F.when(flat, ends["lo"] - 0.5).otherwise(ends["lo"])
-    span = F.when(flat, F.lit(1.0)).otherwise(ends["hi"] - ends["lo"])
+    flat = F.col("ends")["hi"] == F.col("ends")["lo"]
+    lo = F.when(flat, F.col("ends")["lo"] - 0.5).otherwise(F.col("ends")["lo"])
+    span = F.when(flat, F.lit(1.0)).otherwise(F.col("ends")["hi"] - F.col("ends")["lo"])
     place = F.least(F.floor((F.col("x") - lo) / (span / bins)), F.lit(bins - 1)).cast("int")
-    return values.select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("posts"))
+    return values.withColumn("ends", ends).select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("posts"))
 
 
 def latency_by_category(rows: DataFrame) -> DataFrame:
@@ -216,7 +206,7 @@ def top_bands(rows: DataFrame, n: int = 3) -> DataFrame:
 def analysis_report(rows: DataFrame) -> DataFrame:
     """One row with every section as a struct or map; the sections are small aggregates of ``rows``.
 
-    Materialise ``rows`` first when it is expensive: each section reads it once.
+    Materialise ``rows`` first when it is expensive: each section reads it once, some twice.
     """
 
     def as_map(counts: DataFrame, key: str) -> Column:

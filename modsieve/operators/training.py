@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from modsieve import constants as K
 from modsieve.functions.text import copy_key, strip
 from modsieve.operators.ranking import ranked
+from modsieve.session import materialize
 
 # everything that ends a line of text, line feed and carriage return or not
 LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
@@ -80,24 +81,29 @@ def dedup_keep_first(rows: DataFrame, text: str = "text", order: str = "id", gro
     a third of all rows being the same post is one row per map task.  Texts are then picked by a
     semi-join on the unique ``order``; they never pass through the grouping.
     """
+    return rows.join(first_copies(rows, text, order, groups).select(order), order, "left_semi")
+
+
+def first_copies(rows: DataFrame, text: str = "text", order: str = "id", groups: list[str] | None = None) -> DataFrame:
+    """Only the keys of :func:`dedup_keep_first`: ``order`` and the groups."""
     groups = groups or []
-    firsts = (
-        rows.select(*groups, F.col(order), copy_key(F.col(text)).alias("_copy"))
-        .groupBy(*groups, "_copy").agg(F.min(order).alias(order))
-    )
-    return rows.join(firsts.select(order), order, "left_semi")
+    keyed = rows.select(*groups, F.col(order), copy_key(F.col(text)).alias("_copy"))
+    return keyed.groupBy(*groups, "_copy").agg(F.min(order).alias(order)).select(order, *groups)
 
 
 def quota_per_label(rows: DataFrame, quota: dict[str, int], label: str = "label", order: str = "id") -> DataFrame:
     """First n rows of each label.  The constant bound lets every map task drop all but its first n."""
+    return rows.join(within_quota(rows.select(order, label), quota, label, order).select(order), order, "left_semi")
+
+
+def within_quota(keys: DataFrame, quota: dict[str, int], label: str = "label", order: str = "id") -> DataFrame:
     limit = None
     for name, n in quota.items():
         hit = F.col(label) == name
         limit = F.when(hit, n) if limit is None else limit.when(hit, n)
     place = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    thin = rows.select(order, label).withColumn("_place", place)
-    kept = thin.filter(F.col("_place") <= max(quota.values())).filter(F.col("_place") <= limit)
-    return rows.join(kept.select(order), order, "left_semi")
+    placed = keys.withColumn("_place", place)
+    return placed.filter(F.col("_place") <= max(quota.values())).filter(F.col("_place") <= limit).drop("_place")
 
 
 def shuffle_rows(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
@@ -117,18 +123,21 @@ def build_training_set(base: DataFrame, rewrites: DataFrame, quota: dict[str, in
 
     ``base`` holds ``id, text, label, pick_order, noise_order, noise_pattern, noise_choice``;
     ``rewrites`` holds ``id, rewrite``.  Sequence numbers keep base before paraphrases before noise:
-    three interleaved id ranges of the width of the base ids.
+    three consecutive id ranges of the width of the base ids.
+
+    The pool and the noisy rows are written to the shared folder, because sampling and
+    de-duplication read them several times; those readings take key columns only, and texts are
+    joined back once, at the end.
     """
     span = base.select(F.max("id") + 1).scalar()
-    cast = base.select("id", "text", "label", "noise_order", "noise_pattern", "noise_choice")
+    columns = ["id", "text", "label", "noise_order", "noise_pattern", "noise_choice"]
     chosen = sample_fraction(base, K.PARAPHRASE_FRACTION, "pick_order")
     kept = paraphrase_keep(chosen.join(rewrites, "id"))
-    paraphrased = kept.select((F.col("id") + span).alias("id"), F.col("rewrite").alias("text"), "label",
-                              "noise_order", "noise_pattern", "noise_choice")
-    pool = cast.unionByName(paraphrased)
-    noisy = sample_fraction(pool, K.NOISE_FRACTION, "noise_order").select(
+    paraphrased = kept.select((F.col("id") + span).alias("id"), F.col("rewrite").alias("text"), *columns[2:])
+    pool = materialize(base.select(*columns).unionByName(paraphrased), "pool")
+    noisy = materialize(sample_fraction(pool, K.NOISE_FRACTION, "noise_order").select(
         (F.col("id") + span * 2).alias("id"),
-        add_noise(F.col("text"), F.col("noise_pattern"), F.col("noise_choice")).alias("text"), "label")
+        add_noise(F.col("text"), F.col("noise_pattern"), F.col("noise_choice")).alias("text"), "label"), "noisy")
     together = pool.select("id", "text", "label").unionByName(noisy)
-    unique = dedup_keep_first(together, groups=["label"])
-    return quota_per_label(unique, quota or K.CLASS_QUOTA)
+    unique = first_copies(together, groups=["label"])
+    return together.join(within_quota(unique, quota or K.CLASS_QUOTA).select("id"), "id", "left_semi")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rules_and_stages", "text_features"]
+MODULES = [
+    "rules_and_stages", "text_features", "reporting", "reviewing", "sources_and_sinks", "training_data", "classifier", "streams",
+]
 
 
 def load():

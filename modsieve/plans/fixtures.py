@@ -244,23 +244,30 @@ def posts_table(spark: SparkSession, sf_dir: str, keep_content: bool = True) ->
     }).drop("_answer")
 
 
-def command_target(spark: SparkSession, sf_dir: str) -> Column:
+def targets(spark: SparkSession, sf_dir: str) -> Column:
     """Commands point at documents, and a few at posts that do not exist."""
-    n = read_table(spark, sf_dir, "documents").select(F.count("*") + 50).scalar()
-    return F.col("event_id") % n
+    return read_table(spark, sf_dir, "documents").select(F.count("*") + 50).scalar()
 
 
-def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def command_target(spark: SparkSession, sf_dir: str) -> Column:
+    return F.col("event_id") % targets(spark, sf_dir)
+
+
+def override_commands(event_rows: DataFrame, n_targets: Column) -> DataFrame:
     kind = F.col("event_type")
     value = (
         F.when(kind == "click", "Rejected").when(kind == "error", "Accepted").when(kind == "view", "Flagged")
         .when(kind == "signup", "Maybe")
     )
-    return events(spark, sf_dir).filter(kind != "purchase").select(
-        command_target(spark, sf_dir).alias("post_id"), value.alias("override_value"), "ts",
+    return event_rows.filter(kind != "purchase").select(
+        (F.col("event_id") % n_targets).alias("post_id"), value.alias("override_value"), "ts",
         F.col("event_id").alias("seq"))
 
 
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return override_commands(events(spark, sf_dir), targets(spark, sf_dir))
+
+
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("event_id")
     text = F.when(number % 20 == 0, F.repeat(F.lit("x"), 501)).otherwise(F.concat(F.lit("note "), number.cast("string")))
