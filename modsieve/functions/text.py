@@ -23,7 +23,7 @@ def is_blank(text: Column) -> Column:
 
 def squash(text: Column) -> Column:
     """Lower case, ASCII letters and digits only: the form fuzzy keywords are looked up in."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 def normal_form(text: Column) -> Column:
@@ -48,6 +48,11 @@ def count_pattern(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_digits(text: Column) -> Column:
+    """Decimal digits, and superscripts and circled digits where a post has such number signs at all."""
+    return F.when(text.rlike(r"\p{No}"), count_pattern(text, K.DIGIT)).otherwise(count_pattern(text, r"\p{Nd}"))
+
+
 def snippet(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 

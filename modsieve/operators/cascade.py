@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions import labels as L
+from modsieve.operators.rows import expand_with_position
 from modsieve.operators.stages import RESULT_TYPE, Stage, result
 
 TIME_COLUMNS = list(K.STAGE_TIME_COLUMN.values())
@@ -84,7 +85,7 @@ def decision_columns(decided: DataFrame, *keep: str) -> DataFrame:
 
 def stage_trace(decided: DataFrame, *keep: str) -> DataFrame:
     """One row per post and executed stage."""
-    steps = decided.select(*keep, F.posexplode("trace").alias("position", "step"))
+    steps = expand_with_position(decided, "trace", "position", "step", *keep)
     return steps.select(
         *keep,
         (F.col("position") + 1).alias("position"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions.labels import needs_explanation
+from modsieve.operators.rows import filter_once
 
 ANSWER = "explanation string, troublesome_words array<string>, suggestion string"
 
@@ -23,7 +24,7 @@ def explanation_prompt(content: Column) -> Column:
 
 def explanation_requests(decided: DataFrame, key: str = "post_id", content: str = "content") -> DataFrame:
     """Prompts for flagged and blocked posts only."""
-    return decided.filter(needs_explanation(F.col("action"))).select(
+    return filter_once(decided, needs_explanation(F.col("action"))).select(
         key, "action", explanation_prompt(F.col(content)).alias("prompt"))
 
 

@@ -16,6 +16,8 @@ COUNT_FEATURES = [
 KEYWORD_FEATURES = ["keyword_present", "keyword_count"]
 PHRASE_FEATURES = ["phrase_" + phrase.replace(" ", "_") for phrase in K.SCAM_PHRASES]
 PATTERN_FEATURES = [f"regex_match_{i}" for i in range(len(K.FEATURE_PATTERNS))]
+# every match of pattern i holds one of these; a substring search is far cheaper than the pattern
+PATTERN_HINTS = [["%"], ["bitcoin", "ethereum", "crypto"], ["make $"], ["risk", "fees"], ["cash", "money"]]
 BASE_FEATURES = COUNT_FEATURES + KEYWORD_FEATURES + PHRASE_FEATURES + PATTERN_FEATURES
 
 
@@ -23,6 +25,13 @@ def _flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
+def _holds_any(column: str, parts: list[str]) -> Column:
+    out = F.contains(column, F.lit(parts[0]))
+    for part in parts[1:]:
+        out = out | F.contains(column, F.lit(part))
+    return out
+
+
 def count_features(posts: DataFrame, content: str = "content") -> DataFrame:
     """Append the eighteen counts and ratios.  Tokens are cut once and reused."""
     text = F.col(content)
@@ -37,7 +46,7 @@ def count_features(posts: DataFrame, content: str = "content") -> DataFrame:
         "num_mentions": T.count_char(text, "@"),
         "num_dollar": T.count_char(text, "$"),
         "num_hashtags": T.count_char(text, "#"),
-        "num_digits": T.count_pattern(text, K.DIGIT),
+        "num_digits": T.count_digits(text),
         "num_punct": T.count_pattern(text, K.PUNCTUATION),
         "stopword_count": F.size(F.filter("_tokens", lambda t: t.isin(*K.STOP_WORDS))),
         "unique_words": F.size(F.array_distinct("_tokens")),
@@ -76,8 +85,8 @@ def phrase_features(posts: DataFrame, content: str = "content") -> DataFrame:
 def pattern_features(posts: DataFrame, content: str = "content") -> DataFrame:
     lowered = posts.withColumn("_lower", F.lower(F.col(content)))
     return lowered.withColumns({
-        name: _flag(F.rlike("_lower", F.lit(pattern)))
-        for name, pattern in zip(PATTERN_FEATURES, K.FEATURE_PATTERNS)
+        name: _flag(_holds_any("_lower", hints) & F.rlike("_lower", F.lit(pattern)))
+        for name, pattern, hints in zip(PATTERN_FEATURES, K.FEATURE_PATTERNS, PATTERN_HINTS)
     }).drop("_lower")
 
 

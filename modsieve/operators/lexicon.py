@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions.text import squash
+from modsieve.operators.rows import expand
 
 CHAIN_LIMIT = 48
 BLOCK = 256
@@ -127,8 +128,16 @@ def _no_hits() -> Column:
     return F.array().cast("array<int>")
 
 
+SEPARATOR = "\u0001"
+
+
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant list.  One literal that is cut once when the plan is folded: building a literal
+    per entry takes seconds for thousands of keywords."""
+    values = list(values)
+    if any(SEPARATOR in v for v in values):
+        return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR, -1)
 
 
 def _rows(block: tuple[str, ...], offset: int) -> list[tuple[int, tuple[str, ...]]]:
@@ -167,19 +176,16 @@ def fuzzy_match(text: Column, keyword: str) -> Column:
 def lexicon_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row ``(post_id, kw_idx, keyword)`` per post and keyword that hits."""
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
-    hits = squashed.select("post_id", F.explode(lexicon.all_hits(F.col("squashed"))).alias("kw_idx"))
+    listed = squashed.select("post_id", lexicon.all_hits(F.col("squashed")).alias("found"))
+    hits = expand(listed, "found", "kw_idx", "post_id")
     return hits.select("post_id", "kw_idx", lexicon.keyword_at(F.col("kw_idx")).alias("keyword"))
 
 
 def first_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``(post_id, kw_idx, keyword)`` of the first keyword in list order, for posts that have one.
-
-    Posts without a hit go by exploding an empty list: a filter would be pushed below the
-    projection and search every post twice.
-    """
+    """``(post_id, kw_idx, keyword)`` of the first keyword in list order, for posts that have one."""
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
-    found = squashed.select("post_id", F.array_compact(F.array(lexicon.first_hit(F.col("squashed")))).alias("found"))
-    hits = found.select("post_id", F.explode("found").alias("kw_idx"))
+    found = squashed.select("post_id", F.array(lexicon.first_hit(F.col("squashed"))).alias("found"))
+    hits = expand(found, "found", "kw_idx", "post_id")
     return hits.select("post_id", "kw_idx", lexicon.keyword_at(F.col("kw_idx")).alias("keyword"))
 
 

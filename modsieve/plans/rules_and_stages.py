@@ -12,7 +12,8 @@ from modsieve.operators import cascade as C
 from modsieve.operators import stages as S
 from modsieve.operators.explanations import explanation_requests, parse_explanation
 from modsieve.operators.lexicon import Lexicon, first_hit_per_post, first_hits, fuzzy_match, lexicon_hits
-from modsieve.operators.providers import score_table, scorecard
+from modsieve.operators.providers import score_table
+from modsieve.operators.rows import expand_with_position, filter_once
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
 from modsieve.plans.sqlviews import ADDRESS, NWS, fuzzy, squash, text_list, using
@@ -188,7 +189,7 @@ def _(spark, sf):
 
 
 def reached_verdict(spark, sf):
-    steps = X.decided(spark, sf).filter("n_executed = 5")
+    steps = filter_once(X.decided(spark, sf), F.col("n_executed") == 5)
     return steps.select("post_id", F.get("trace", F.lit(4)).alias("r"))
 
 
@@ -342,7 +343,7 @@ def _(spark, sf):
 select post_id, position, stage, decision, reason, round(confidence, 6) as confidence, threat_level from trace"""))
 def _(spark, sf):
     # to a JSON document and back
-    kept = X.decided(spark, sf).select("post_id", F.posexplode("trace").alias("position", "step"))
+    kept = expand_with_position(X.decided(spark, sf), "trace", "position", "step", "post_id")
     back = kept.select("post_id", (F.col("position") + 1).alias("position"),
                        F.from_json(C.result_record(F.col("step")), S.RESULT_TYPE).alias("r"))
     return back.select("post_id", "position", F.col("r")["stage"].alias("stage"), *[F.col("r")[n].alias(n) for n in RESULT]
