@@ -37,8 +37,9 @@ def describe(df: DataFrame, column: str, probs: dict[str, float], accuracy: int
     tagged = counts.select("v", "c", "s", F.explode(F.array(*[
         F.struct(
             F.lit(name).alias("name"), (F.lit(float(p)) * (s["count"] - 1)).alias("at"),
-            (s["min"] if low[i] == 0.0 else s["lo"][i]).alias("lo"),
-            (s["max"] if high[i] == 1.0 else s["hi"][i]).alias("hi"),
+            # a bracket is at least two ranks wide on either side only above `accuracy` values
+            F.when((s["count"] <= accuracy) | F.lit(low[i] == 0.0), s["min"]).otherwise(s["lo"][i]).alias("lo"),
+            F.when((s["count"] <= accuracy) | F.lit(high[i] == 1.0), s["max"]).otherwise(s["hi"][i]).alias("hi"),
         ) for i, (name, p) in enumerate(probs.items())
     ])).alias("q")).select("v", "c", "s", "q.*").filter(F.col("v") <= F.col("hi"))
     # Values below a bracket collapse into one row per quantile before the window sorts anything.

@@ -11,7 +11,11 @@ from modsieve import constants as K
 from modsieve.functions.text import copy_key, is_blank, iso_time
 from modsieve.operators.ranking import ranked
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV_CELLS = {
+    "header": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,  # cells are kept as they are
+}
+CSV_OPTIONS = {**CSV_CELLS, "multiLine": True}
 
 POSTS_SCHEMA = (
     "id bigint, content string, accepted boolean, reason string, threat_level string, confidence double, "
@@ -36,7 +40,7 @@ def read_posts_csv(spark: SparkSession, path: str, schema: str | None = None) ->
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").options(header=True, quote='"', escape='"', quoteAll=True, encoding="UTF-8").csv(path)
+    rows.write.mode("overwrite").options(**CSV_CELLS, quoteAll=True).csv(path)
 
 
 def validate_columns(posts: DataFrame, content: str = "content", id_column: str | None = None) -> str | None:
