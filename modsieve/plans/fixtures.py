@@ -199,9 +199,15 @@ def log_from(event_rows: DataFrame, decision_rows: DataFrame, n_posts: Column |
     return with_times.withColumn("processing_time", total)
 
 
-def posts_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def posts_log(spark: SparkSession, sf_dir: str, with_gold: bool = False) -> DataFrame:
+    """The log: one fact join.  Tables keyed by document are joined to each other first, where keys
+    are unique; an event-heavy document then meets one join only, which adaptive execution can split.
+    """
     n = read_table(spark, sf_dir, "documents").select(F.count("*")).scalar()
-    return log_from(events(spark, sf_dir), decisions(spark, sf_dir), n)
+    rows = decisions(spark, sf_dir)
+    if with_gold:
+        rows = rows.join(gold(spark, sf_dir).withColumnRenamed("doc_id", "post_id"), "post_id")
+    return log_from(events(spark, sf_dir), rows, n)
 
 
 def analysis_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +226,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analysis rows with their expected category and output."""
-    return analysis_rows(spark, sf_dir).join(gold(spark, sf_dir), "doc_id")
+    return analysis_columns(posts_log(spark, sf_dir, with_gold=True), "post_id", "doc_id", "created_at", "processing_time",
+                            "category", "expected_output")
 
 
 def posts_table(spark: SparkSession, sf_dir: str, keep_content: bool = True) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from modsieve.functions.text import iso_time
 from modsieve.operators import cascade as C
-from modsieve.operators.review import latest_command
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
 from modsieve.plans.rules_and_stages import DECISION_SQL
@@ -78,10 +77,8 @@ def _(spark, sf):
     posts = read_table(spark, sf, "documents").count()
     commands = X.override_commands(events, F.lit(posts + 50))
     valid = commands.filter(F.col("override_value").isin("Accepted", "Rejected", "Flagged"))
-    finish(J.batch_sink(valid, J.override_merger(spark, f"{out}/state"), "append", f"{out}/checkpoint"))
-    versions = spark.read.parquet(f"{out}/state")
-    last = versions.select(F.max("version")).scalar()
-    return versions.filter(F.col("version") == last).select("post_id", "override_value")
+    finish(J.batch_sink(valid, J.override_writer(f"{out}/log"), "append", f"{out}/checkpoint"))
+    return J.current_overrides(spark, f"{out}/log").select("post_id", "override_value")
 
 
 @query("stream_dedup", f"select count(*) as posts from (select distinct {norm('text')} from documents)")

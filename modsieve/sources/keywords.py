@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from modsieve import constants as K
 from modsieve.functions.text import squash
-from modsieve.operators.lexicon import GAP
+from modsieve.operators.lexicon import GAP, MAX_KEYWORDS
 
 
 def lexicon_load(spark: SparkSession, path: str, default: list[str] | None = None) -> DataFrame:
@@ -36,6 +36,9 @@ def with_patterns(pairs: DataFrame) -> DataFrame:
 
 
 def lexicon_save(keywords: DataFrame, path: str) -> None:
-    """Write ``kw_idx, keyword`` as one JSON list.  The list is configuration and fits one cell."""
+    """Write ``kw_idx, keyword`` as one JSON list; the size is checked because the list is one cell."""
+    size = keywords.count()
+    if size > MAX_KEYWORDS:
+        raise ValueError(f"{size} keywords do not fit into one list; limit {MAX_KEYWORDS}")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("kw_idx", "keyword"))), lambda p: p["keyword"])
     keywords.agg(F.to_json(ordered).alias("value")).coalesce(1).write.mode("overwrite").text(path)

@@ -82,22 +82,24 @@ def latest_per_key(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, *[F.col("_new")[v].alias(v) for v in values])
 
 
-def override_merger(spark: SparkSession, out: str) -> Callable[[DataFrame, int], None]:
-    """Latest override per post: a batch is reduced first, then merged into the next snapshot.
+def override_writer(out: str) -> Callable[[DataFrame, int], None]:
+    """Reduce each batch to the last override per post and log it under its batch id.
 
-    The snapshot before batch n is always version n-1, so replaying a batch gives the same files.
+    A batch costs what it holds, however many overrides came before; :func:`current_overrides`
+    resolves the log at read time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        commands = latest_command(batch, "override_value")
-        if batch_id > 0:
-            old = batch.sparkSession.read.parquet(f"{out}/version={batch_id - 1}")
-            commands = latest_command(old.unionByName(commands), "override_value")
-        commands.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        latest_command(batch, "override_value").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return write
 
 
+def current_overrides(spark: SparkSession, out: str) -> DataFrame:
+    """The last override per post over all batches so far."""
+    return latest_command(spark.read.parquet(out), "override_value")
+
+
 def stream_dedup(posts: DataFrame, key: str, content: str = "content", within: str = "40 days") -> DataFrame:
     """One post per set of copies inside the watermark.
 

@@ -87,3 +87,16 @@ def test_tfidf_by_hand(spark):
     assert all(abs(w - idf) < 1e-12 for _, w in vocab)
     got = {(r.id, r.term): r.weight for r in V.tfidf_entries(rows, vocab, "id").collect()}
     assert abs(got[1, "red"] - 2 / math.sqrt(5)) < 1e-12 and abs(got[3, "apple"] - 1) < 1e-12 and len(got) == 4
+
+
+def test_pruned_vocabulary_equals_full_count(spark, small):
+    rows = fixtures.training(spark, small)
+    for n in (3, 40, 200):
+        full = V._top(V._totals(V._with_terms(rows.select("text"), "text", None, "grams"), "grams", 2), n)
+        want = [tuple(r) for r in full.collect()]
+        got = [tuple(r)[:3] for r in V.tfidf_fit(rows, max_terms=n).collect()]
+        assert sorted(got) == sorted(want) and len(got) == n
+    # bigrams do make it into the vocabulary, and ties at the floor too
+    chat = spark.createDataFrame([("act now " * 5,), ("act now please",), ("now act",), ("please act",)], "text string")
+    got = {r.term: (r.corpus_count, r.doc_count) for r in V.tfidf_fit(chat, max_terms=3, stop_words=[]).collect()}
+    assert got == {"act": (8, 4), "now": (7, 3), "act now": (6, 2)}
