@@ -100,24 +100,45 @@ class Lexicon:
                 hit = squashed.rlike(fuzzy_pattern(keyword))
                 out = F.when(hit, position) if out is None else out.when(hit, position)
             return out.cast("int")
-        out = None
+        row = None
         for number, block in enumerate(self.blocks(BLOCK)):
             hit = squashed.rlike(combined_pattern(list(block)))
-            found = _first_in_block(squashed, block, number * BLOCK)
-            out = F.when(hit, found) if out is None else out.when(hit, found)
-        return F.when(self.any_hit(squashed), out).cast("int")
+            inside = _first_row(squashed, block, number * (BLOCK // ROW))
+            row = F.when(hit, inside) if row is None else row.when(hit, inside)
+        patterns = self._row_patterns()
+
+        def in_row(r: Column) -> Column:
+            tried = F.transform(F.split(F.get(patterns, r), SEPARATOR), lambda p: F.rlike(squashed, p))
+            return (r * ROW + F.array_position(tried, True) - 1).cast("int")
+
+        # the one-element list binds the row number, which is needed twice but found once
+        bound = F.array(F.when(self.any_hit(squashed), row))
+        return F.get(F.transform(bound, lambda r: F.when(r.isNotNull(), in_row(r))), F.lit(0))
 
     def all_hits(self, squashed: Column) -> Column:
         """Positions of all keywords that hit, ascending."""
         if not self.keywords:
-            return F.array().cast("array<int>")
-        hits = []
+            return _no_hits()
+        rows = []
         for number, block in enumerate(self.blocks(BLOCK)):
             hit = squashed.rlike(combined_pattern(list(block)))
-            hits.append(F.when(hit, _all_in_block(squashed, block, number * BLOCK)).otherwise(_no_hits()))
-        found = hits[0] if len(hits) == 1 else F.concat(*hits)
+            rows.append(F.when(hit, _all_rows(squashed, block, number * (BLOCK // ROW))).otherwise(_no_hits()))
+        rows_hit = rows[0] if len(rows) == 1 else F.concat(*rows)
+        patterns = self._row_patterns()
+
+        def in_row(r: Column) -> Column:
+            return F.array_compact(F.transform(
+                F.split(F.get(patterns, r), SEPARATOR),
+                lambda p, i: F.when(F.rlike(squashed, p), r * ROW + i)))
+
+        found = F.flatten(F.transform(rows_hit, in_row))
         return F.when(self.any_hit(squashed), found).otherwise(_no_hits())
 
+    def _row_patterns(self) -> Column:
+        """The fuzzy patterns of each row of keywords, joined: a constant list."""
+        joined = [SEPARATOR.join(fuzzy_pattern(k) for k in row) for row in self.blocks(ROW)]
+        return _strings(joined, ROW_SEPARATOR)
+
     def keyword_at(self, position: Column) -> Column:
         if not self.keywords:
             return F.lit(None).cast("string")
@@ -128,44 +149,35 @@ def _no_hits() -> Column:
     return F.array().cast("array<int>")
 
 
-SEPARATOR = "\u0001"
+SEPARATOR, ROW_SEPARATOR = "\u0001", "\u0002"
 
 
-def _strings(values) -> Column:
+def _strings(values, separator: str = SEPARATOR) -> Column:
     """A constant list.  One literal that is cut once when the plan is folded: building a literal
     per entry takes seconds for thousands of keywords."""
     values = list(values)
-    if any(SEPARATOR in v for v in values):
+    if any(separator in v for v in values):
         return F.array(*[F.lit(v) for v in values])
-    return F.split(F.lit(SEPARATOR.join(values)), SEPARATOR, -1)
+    return F.split(F.lit(separator.join(values)), separator, -1)
 
 
-def _rows(block: tuple[str, ...], offset: int) -> list[tuple[int, tuple[str, ...]]]:
-    return [(offset + i, block[i:i + ROW]) for i in range(0, len(block), ROW)]
+def _rows(block: tuple[str, ...]) -> list[tuple[str, ...]]:
+    return [block[i:i + ROW] for i in range(0, len(block), ROW)]
 
 
-def _first_in_block(squashed: Column, block: tuple[str, ...], offset: int) -> Column:
-    """Row patterns are constants, compiled once; the sixteen keywords of a row are tried as data."""
+def _first_row(squashed: Column, block: tuple[str, ...], offset: int) -> Column:
+    """Number of the first row of keywords with a hit; row patterns are constants, compiled once."""
     out = None
-    for start, row in _rows(block, offset):
+    for number, row in enumerate(_rows(block)):
         hit = squashed.rlike(combined_pattern(list(row)))
-        tried = F.transform(_strings([fuzzy_pattern(k) for k in row]), lambda p: F.rlike(squashed, p))
-        found = (F.array_position(tried, True) + (start - 1)).cast("int")
-        out = F.when(hit, found) if out is None else out.when(hit, found)
+        out = F.when(hit, offset + number) if out is None else out.when(hit, offset + number)
     return out
 
 
-def _all_in_block(squashed: Column, block: tuple[str, ...], offset: int) -> Column:
-    parts = []
-    for start, row in _rows(block, offset):
-        tried = F.transform(_strings([fuzzy_pattern(k) for k in row]), _position_if_hit(squashed, start))
-        hit = squashed.rlike(combined_pattern(list(row)))
-        parts.append(F.when(hit, F.array_compact(tried)).otherwise(_no_hits()))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def _position_if_hit(squashed: Column, start: int):
-    return lambda p, i: F.when(F.rlike(squashed, p), F.lit(start) + i)
+def _all_rows(squashed: Column, block: tuple[str, ...], offset: int) -> Column:
+    return F.array_compact(F.array(*[
+        F.when(squashed.rlike(combined_pattern(list(row))), offset + number) for number, row in enumerate(_rows(block))
+    ]))
 
 
 def fuzzy_match(text: Column, keyword: str) -> Column:
