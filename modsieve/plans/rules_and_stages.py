@@ -16,7 +16,7 @@ from modsieve.operators.providers import score_table
 from modsieve.operators.rows import expand_with_position, filter_once
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
-from modsieve.plans.sqlviews import ADDRESS, NWS, fuzzy, squash, text_list, using
+from modsieve.plans.sqlviews import ADDRESS, NWS, fuzzy, squash, using
 from modsieve.session import read_table, spread
 
 RESULT = ["decision", "reason", "confidence", "threat_level"]
@@ -284,9 +284,6 @@ def _(spark, sf):
 
 # ---- labels -------------------------------------------------------------------------------------
 
-LOG_STEPS = using("trace", body="select post_id, position, {} from trace")
-
-
 def steps(spark, sf):
     return C.stage_trace(X.decided(spark, sf), "post_id")
 
