@@ -3,9 +3,10 @@
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from modsieve.plans import catalog
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = catalog.load()
 
 
 @pytest.fixture(scope="module")
