@@ -63,7 +63,7 @@ def parse(text: Column) -> Column:
 def reads_back(rendered: Column, role: Column, content: Column) -> Column:
     """Whether a rendered turn reads back as exactly its source."""
     turns = parse(rendered)
-    return (F.size(turns) == 1) & F.coalesce((turns[0]["role"] == role) & (turns[0]["content"] == content), F.lit(False))
+    return (F.size(turns) == 1) & F.coalesce((F.get(turns, 0)["role"] == role) & (F.get(turns, 0)["content"] == content), F.lit(False))
 
 
 def render_turns(messages: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modsieve.llm.carry import Carried
 from modsieve.session import materialize, scratch_path
 
 #: A digest with more copies than this share of all posts is joined on its own; there are at most so many such digests.
@@ -93,10 +94,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def keep_first(posts: DataFrame, index: DigestIndex) -> DataFrame:
-    """The posts whose content was not there before, all columns; rows alike in id and content stay once.
+    """The posts whose content was not there before, all columns; rows alike in id and content stay together.
 
     The ids that stay are joined back, so contents are not grouped.
     """
     decided = dedup(posts, index).filter("kept").select(F.col("post_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    return posts.withColumn("_own", F.unhex(content_digest(F.col("content")))).join(
-        decided, F.col("post_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi").drop("_own")
+    carried = Carried(posts)
+    own = carried.frame.withColumn("_own", F.unhex(content_digest(carried["content"])))
+    return carried.restore(own.join(decided, carried["post_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi"), [])

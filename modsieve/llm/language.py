@@ -7,7 +7,7 @@ whole content wins.
 
 Edge cases: a null content, or one without a letter, is ``und`` with score 0; one letter is enough for a decision; ties go
 to the first language by name; repeated rows are scored alike; without any labelled post everything is ``und``; an
-empty table gives an empty table; other columns pass through.
+empty table gives an empty table; other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modsieve.llm.carry import Carried
 from modsieve.llm.samples import labelled_sample
 from modsieve.session import materialize
 
@@ -195,9 +196,10 @@ def predict_language(posts: DataFrame, trees: ContextTrees) -> DataFrame:
             likely = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1) if len(bits) else np.zeros(0)
             yield pd.DataFrame({"language_pred": names[best], "language_score": likely})
 
-    content = F.col("content").cast("string")
+    carried = Carried(posts)
+    content = carried["content"].cast("string")
     lettered = F.coalesce(content.rlike(LETTER), F.lit(False))
-    scored = posts.withColumn("_scored", score(content)).withColumn("_lettered", lettered)
-    return scored.withColumns({
+    scored = carried.frame.withColumn("_scored", score(content)).withColumn("_lettered", lettered)
+    return carried.restore(scored.withColumns({
         "language_pred": F.when(F.col("_lettered"), F.col("_scored")["language_pred"]).otherwise(UNDETERMINED),
-        "language_score": F.when(F.col("_lettered"), F.col("_scored")["language_score"]).otherwise(0.0)}).drop("_scored", "_lettered")
+        "language_score": F.when(F.col("_lettered"), F.col("_scored")["language_score"]).otherwise(0.0)}), ["language_pred", "language_score"])

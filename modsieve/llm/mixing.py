@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modsieve.llm.carry import Carried
 from modsieve.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,17 +64,25 @@ def copies_of(posts: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1
     targets, one row per category, are written; Spark then knows their size and broadcasts them if they are small,
     so the contents are not shuffled.
     """
-    sized = posts.withColumn("size", F.size(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(WORD), F.lit(0))).cast("long"))
-    targets = materialize(category_targets(sized.select("category", "size"), list(weights), share, most), "targets")
+    carried = Carried(posts)
+    counted = _counted(carried, weights, share, most, seed)
+    return carried.restore(counted, ["size", "category_size", "target", "copies"])
+
+
+def _counted(carried: Carried, weights: list[int], share: float, most: float, seed: str) -> DataFrame:
+    content = F.coalesce(carried["content"].cast("string"), F.lit(""))
+    sized = carried.frame.withColumn("size", F.size(F.regexp_extract_all(content, F.lit(WORD), F.lit(0))).cast("long"))
+    category = carried["category"].cast("string")
+    targets = materialize(category_targets(sized.select(category.alias("category"), "size"), list(weights), share, most), "targets")
     rate = F.when(F.col("category_size") > 0, F.col("target") / F.col("category_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (unit_draw(F.col("post_id"), seed) < rate - whole).cast("long")
-    joined = sized.alias("p").join(targets.alias("t"), F.expr("p.category <=> t.category"))
-    return joined.select("p.*", "t.category_size", "t.target").withColumn("copies", whole + extra)
+    extra = (unit_draw(carried["post_id"], seed) < rate - whole).cast("long")
+    joined = sized.join(targets, category.eqNullSafe(F.col("category")))
+    return joined.withColumn("copies", whole + extra)
 
 
 def mix(posts: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: the columns of ``posts``, each row as often as :func:`copies_of` says."""
-    counted = copies_of(posts, weights, share, most, seed)
-    chosen = counted.filter("copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return chosen.select(*[f"`{c}`" for c in posts.columns])
+    carried = Carried(posts)
+    counted = _counted(carried, weights, share, most, seed)
+    return carried.restore(counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))), [])

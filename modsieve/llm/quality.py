@@ -3,7 +3,7 @@
 Words are runs of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 
 Edge cases: a null or empty content has no word and no line, fails and is rejected; lines without a word are neither
-judged nor counted; repeated rows are judged alike; an empty table gives an empty table; other columns pass through.
+judged nor counted; repeated rows are judged alike; an empty table gives an empty table; other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modsieve.llm.carry import Carried
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -99,8 +101,9 @@ def clean_lines(posts: DataFrame, min_words: int = 50, max_repeat_percent: int =
     windows.  It is kept if it is not, and if the failed lines hold at most ``max_loss_percent`` of its word characters.
     Everything happens inside a row, in built-in functions: no shuffle.
     """
-    content = F.coalesce(F.col("content").cast("string"), F.lit(""))
-    split = posts.withColumn("_content", content).withColumn("_words", F.regexp_extract_all("_content", F.lit(WORD), F.lit(0))).withColumn(
+    carried = Carried(posts)
+    content = F.coalesce(carried["content"].cast("string"), F.lit(""))
+    split = carried.frame.withColumn("_content", content).withColumn("_words", F.regexp_extract_all("_content", F.lit(WORD), F.lit(0))).withColumn(
         "_lines", F.filter(F.split("_content", "\n"), lambda line: line.rlike(WORD)))
     judged = split.withColumn("_good", F.filter("_lines", lambda line: ~line_fails(line)))
     joined = F.array_join("_words", "")
@@ -119,7 +122,7 @@ def clean_lines(posts: DataFrame, min_words: int = 50, max_repeat_percent: int =
     })
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     lost = F.col("word_chars") - F.col("_kept_chars")
-    return measured.withColumns({
-        "base_failed": failed, "n_lost_chars": lost,
-        "kept": ~failed & (lost * 100 <= F.col("word_chars") * max_loss_percent),
-    }).drop("_content", "_words", "_lines", "_good", "_kept_chars")
+    verdict = measured.withColumns({
+        "base_failed": failed, "n_lost_chars": lost, "kept": ~failed & (lost * 100 <= F.col("word_chars") * max_loss_percent)})
+    return carried.restore(verdict, [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "n_lost_chars", "kept"])

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modsieve.llm.carry import Carried
 from modsieve.llm.components import connected_components
 from modsieve.session import materialize
 
@@ -110,4 +111,5 @@ def keep_one(posts: DataFrame, words: int = 3) -> DataFrame:
     """The posts that name their component, all columns.  Rows that share an id are one post and stay or go together."""
     found = near_copies(posts, words)
     names = found.filter(F.col("post_id").eqNullSafe(F.col("component_id"))).select(F.col("post_id").alias("_name")).distinct()
-    return posts.join(names, F.col("post_id").eqNullSafe(F.col("_name")), "left_semi")
+    carried = Carried(posts)
+    return carried.restore(carried.frame.join(names, carried["post_id"].eqNullSafe(F.col("_name")), "left_semi"), [])

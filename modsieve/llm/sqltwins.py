@@ -55,8 +55,8 @@ def shards() -> str:
         from (select cast(unnest(range(256)) as bigint) as b))),
     narrow as (
       select doc_id, strlen(coalesce(text, '')) + 1 as size,
-        xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(strlen(coalesce(text, ''))),
-          lambda i: cast(('0x' || substr(hex(encode(coalesce(text, ''))), cast(2 * i + 1 as bigint), 2)) as bigint))),
+        xor(list_reduce(list_prepend(cast(4294967295 as bigint),
+          list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: cast('0x' || x as bigint))),
           lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1])), 4294967295) as text_crc32
       from documents, table_of),
     numbered as (

@@ -90,7 +90,7 @@ def longest_prefix(prefix_tokens: Column, budget: int) -> Column:
     A longer prefix may have fewer tokens than a shorter one, so the last fitting position counts, not the first
     that does not fit.  The whole content is tried first, then positions from the end.
     """
-    total = F.coalesce(F.element_at(prefix_tokens, -1), F.lit(0))
+    total = F.coalesce(F.try_element_at(prefix_tokens, F.lit(-1)), F.lit(0))
     fitting = F.array_position(F.transform(F.reverse(prefix_tokens), lambda n: n <= budget), True)
     found = F.when(fitting > 0, F.size(prefix_tokens) - fitting + 1).otherwise(F.lit(0))
     return F.when(total <= budget, F.size(prefix_tokens)).otherwise(found).cast("long")

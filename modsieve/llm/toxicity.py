@@ -6,7 +6,7 @@ neighbourhoods and hardly any clean one has.  Copies of one post share their nei
 
 Edge cases: a null or empty content has no words, and the score of a text without a toxic word; contents of any length are
 tagged whole; repeated rows are scored alike; without both labels every score is 0; an empty table gives an empty table;
-other columns pass through.
+other columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modsieve.llm import crf
+from modsieve.llm.carry import Carried
 from modsieve.llm.samples import labelled_sample
 from modsieve.llm.vocabulary import Bounded
 from modsieve.session import materialize
@@ -214,12 +215,12 @@ def learn_toxicity(posts: DataFrame, rows_per_label: int = 2_000) -> Tagger:
     table = crf.feature_rows(distinct)
     weights, transitions = crf.fit(table[[rows[w] for w in flat]], np.array([len(t) for t in texts]), np.array(labels, np.int64))
     tagger = Tagger(weights, transitions, nothing.score_weights)
-    scored = _with_evidence(sample, tagger).select("label", "_evidence.*").toPandas()
+    scored = _with_evidence(sample, F.col("content"), tagger).select("label", "_evidence.*").toPandas()
     tagger.score_weights = crf.fit_logistic(scored[EVIDENCE].to_numpy(), scored["label"].to_numpy())
     return tagger
 
 
-def _with_evidence(posts: DataFrame, tagger: Tagger) -> DataFrame:
+def _with_evidence(posts: DataFrame, content: Column, tagger: Tagger) -> DataFrame:
     shared = posts.sparkSession.sparkContext.broadcast(tagger)
 
     @F.pandas_udf(", ".join(f"{name} double" for name in EVIDENCE))
@@ -228,7 +229,7 @@ def _with_evidence(posts: DataFrame, tagger: Tagger) -> DataFrame:
         for content in contents:
             yield pd.DataFrame(scorer.evidence(content.tolist()), columns=EVIDENCE)
 
-    return posts.withColumn("_evidence", weigh(F.col("content").cast("string")))
+    return posts.withColumn("_evidence", weigh(content.cast("string")))
 
 
 def score_toxicity(posts: DataFrame, tagger: Tagger) -> DataFrame:
@@ -240,7 +241,9 @@ def score_toxicity(posts: DataFrame, tagger: Tagger) -> DataFrame:
     linear = F.lit(linear)
     for name, weight in zip(EVIDENCE, weights):
         linear = linear + F.col("_evidence")[name] * weight
-    return _with_evidence(posts, tagger).withColumn("toxicity", 1 / (1 + F.exp(-linear))).drop("_evidence")
+    carried = Carried(posts)
+    scored = _with_evidence(carried.frame, carried["content"], tagger).withColumn("toxicity", 1 / (1 + F.exp(-linear)))
+    return carried.restore(scored, ["toxicity"])
 
 
 def toxic_spans(posts: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFrame:
@@ -253,4 +256,5 @@ def toxic_spans(posts: DataFrame, tagger: Tagger, least: float = 0.5) -> DataFra
         for content in contents:
             yield pd.Series(scorer.spans(content.tolist(), least))
 
-    return posts.withColumn("spans", mark(F.col("content").cast("string")))
+    carried = Carried(posts)
+    return carried.restore(carried.frame.withColumn("spans", mark(carried["content"].cast("string"))), ["spans"])
