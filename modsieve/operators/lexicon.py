@@ -4,8 +4,10 @@ A keyword hits when its letters and digits occur in order in the squashed post w
 foreign characters between neighbours, anywhere, across word borders.  Keywords are ordered and
 the first one in list order is the one reported.
 
-No join is needed: the lexicon is configuration that people curate, so it travels inside the plan.
-Its size is counted before it is collected.
+A lexicon travels inside the plan, so that every post meets it without a shuffle.  A table of keywords
+of any size is taken in blocks of ``BLOCK_KEYWORDS``: the driver and a plan hold one block at a time in
+pattern form, each block is one pass over the posts, and the hits of all blocks are united.  Keywords keep
+the numbers their table gives them.
 
 Up to ``CHAIN_LIMIT`` keywords the first hit is a CASE chain of constant patterns.  Above that the
 keywords form a tree: one combined pattern for the whole list decides hit or no hit (most posts
@@ -15,7 +17,10 @@ Combined patterns share prefixes, so their cost grows far slower than the list.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,7 +33,7 @@ from modsieve.operators.rows import expand
 CHAIN_LIMIT = 48
 BLOCK = 256
 ROW = 16
-MAX_KEYWORDS = 100_000
+BLOCK_KEYWORDS = 10_000
 GAP = ".{0,2}"
 
 
@@ -61,13 +66,16 @@ def combined_pattern(keywords: list[str]) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Ordered keywords; entries that squash to nothing would hit every post and are left out."""
+    """Ordered keywords and their numbers; entries that squash to nothing would hit every post and are left out."""
 
     keywords: tuple[str, ...]
+    numbers: tuple[int, ...] = ()
 
     @staticmethod
-    def of(keywords: list[str] | tuple[str, ...]) -> "Lexicon":
-        return Lexicon(tuple(k for k in keywords if squash_keyword(k)))
+    def of(keywords: list[str] | tuple[str, ...], numbers: list[int] | None = None) -> "Lexicon":
+        """Keywords in order, numbered from 0 unless ``numbers`` says otherwise."""
+        kept = [(n, k) for n, k in zip(numbers if numbers is not None else range(len(keywords)), keywords) if squash_keyword(k)]
+        return Lexicon(tuple(k for _, k in kept), tuple(n for n, _ in kept))
 
     @staticmethod
     def default() -> "Lexicon":
@@ -75,12 +83,15 @@ class Lexicon:
 
     @staticmethod
     def from_table(table: DataFrame) -> "Lexicon":
-        """From ``(kw_idx, keyword)``.  The count is checked before anything reaches the driver."""
-        size = table.count()
-        if size > MAX_KEYWORDS:
-            raise ValueError(f"{size} keywords do not fit into a plan; limit {MAX_KEYWORDS}")
-        rows = table.orderBy("kw_idx").select("keyword").collect()
-        return Lexicon.of([row.keyword for row in rows])
+        """A whole ``(kw_idx, keyword)`` table as one lexicon: for lists that people curate.  See :func:`keyword_blocks`."""
+        rows = table.select("kw_idx", "keyword").orderBy("kw_idx").collect()
+        return Lexicon.of([row.keyword for row in rows], [row.kw_idx for row in rows])
+
+    def number_at(self, position: Column) -> Column:
+        """The table's number of the keyword at a position."""
+        if self.numbers == tuple(range(len(self.keywords))):
+            return position.cast("long")
+        return F.get(_strings([str(n) for n in self.numbers]), position).cast("long")
 
     def blocks(self, size: int) -> list[tuple[str, ...]]:
         return [self.keywords[i:i + size] for i in range(0, len(self.keywords), size)]
@@ -185,20 +196,41 @@ def fuzzy_match(text: Column, keyword: str) -> Column:
     return squash(text).rlike(fuzzy_pattern(keyword))
 
 
-def lexicon_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """One row ``(post_id, kw_idx, keyword)`` per post and keyword that hits."""
+def keyword_blocks(table: DataFrame, size: int = BLOCK_KEYWORDS) -> Iterator[Lexicon]:
+    """The keywords of a table in order, ``size`` at a time; the driver never holds more than a block and a partition."""
+    rows = table.select("kw_idx", "keyword").orderBy("kw_idx").toLocalIterator()
+    while block := list(itertools.islice(rows, size)):
+        yield Lexicon.of([row.keyword for row in block], [row.kw_idx for row in block])
+
+
+def _united(posts: DataFrame, keywords: Lexicon | DataFrame, hits: Callable[[DataFrame, Lexicon], DataFrame]) -> DataFrame:
+    blocks = [keywords] if isinstance(keywords, Lexicon) else keyword_blocks(keywords)
+    return functools.reduce(DataFrame.unionByName, [hits(posts, block) for block in blocks] or [hits(posts, Lexicon.of([]))])
+
+
+def lexicon_hits(posts: DataFrame, keywords: Lexicon | DataFrame) -> DataFrame:
+    """One row ``(post_id, kw_idx, keyword)`` per post and keyword that hits; a lexicon, or a table of any size."""
+    return _united(posts, keywords, _block_hits)
+
+
+def _block_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
     listed = squashed.select("post_id", lexicon.all_hits(F.col("squashed")).alias("found"))
-    hits = expand(listed, "found", "kw_idx", "post_id")
-    return hits.select("post_id", "kw_idx", lexicon.keyword_at(F.col("kw_idx")).alias("keyword"))
+    hits = expand(listed, "found", "position", "post_id")
+    return hits.select("post_id", lexicon.number_at(F.col("position")).alias("kw_idx"), lexicon.keyword_at(F.col("position")).alias("keyword"))
 
 
-def first_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
+def first_hits(posts: DataFrame, keywords: Lexicon | DataFrame) -> DataFrame:
     """``(post_id, kw_idx, keyword)`` of the first keyword in list order, for posts that have one."""
+    found = _united(posts, keywords, _block_first)
+    return found if isinstance(keywords, Lexicon) else first_hit_per_post(found)
+
+
+def _block_first(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
     found = squashed.select("post_id", F.array(lexicon.first_hit(F.col("squashed"))).alias("found"))
-    hits = expand(found, "found", "kw_idx", "post_id")
-    return hits.select("post_id", "kw_idx", lexicon.keyword_at(F.col("kw_idx")).alias("keyword"))
+    hits = expand(found, "found", "position", "post_id")
+    return hits.select("post_id", lexicon.number_at(F.col("position")).alias("kw_idx"), lexicon.keyword_at(F.col("position")).alias("keyword"))
 
 
 def first_hit_per_post(hits: DataFrame) -> DataFrame:
@@ -211,9 +243,10 @@ def first_hit_per_post(hits: DataFrame) -> DataFrame:
 def lexicon_union(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new keywords without repeats, old order first; ``(kw_idx, keyword)`` in and out.
 
-    The kept position is the lowest one; new keywords are placed after the old ones.
+    The kept position is the lowest one; new keywords are placed after the old ones.  Dropped repeats leave holes
+    in the numbers, which all users of a lexicon keep.
     """
-    last = old.select(F.coalesce(F.max("kw_idx"), F.lit(-1))).scalar()
+    last = old.select(F.coalesce(F.max("kw_idx"), F.lit(-1)).cast("long")).scalar()
     shifted = new.select((F.col("kw_idx") + last + 1).alias("kw_idx"), "keyword")
-    both = old.select("kw_idx", "keyword").unionByName(shifted)
+    both = old.select(F.col("kw_idx").cast("long").alias("kw_idx"), "keyword").unionByName(shifted)
     return both.groupBy("keyword").agg(F.min("kw_idx").alias("kw_idx")).select("kw_idx", "keyword")

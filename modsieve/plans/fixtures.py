@@ -313,8 +313,16 @@ def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lexicon that grows with the tables: the first two words of every benchmark item."""
+    """A lexicon that grows with the tables: all words of every benchmark item."""
     items = read_table(spark, sf_dir, "benchmark")
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    return items.select(F.col("item_id").cast("int").alias("kw_idx"),
-                        F.array_join(F.slice(words, 1, 2), " ").alias("keyword"))
+    return items.select(F.col("item_id").alias("kw_idx"), F.array_join(words, " ").alias("keyword"))
+
+
+def phrase_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A larger one: all words of every benchmark item, three at a time, the last ones possibly fewer."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    starts = F.sequence(F.lit(1), F.size("w"), F.lit(3))
+    items = read_table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") > 0)
+    return items.select("item_id", F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice("w", s, F.lit(3)), " "))).alias(
+        "part", "keyword")).select((F.col("item_id") * (1 << 20) + F.col("part")).alias("kw_idx"), "keyword")

@@ -50,43 +50,39 @@ def _(spark, sf):
     return first_hits(X.planted(spark, sf), Lexicon.of(PHRASE_LIST)).select("post_id", "kw_idx")
 
 
-_HITS = f"""hits as (
+_HITS = f"""
   select post_id, k.item_id as kw_idx, k.keyword
   from (select post_id, {squash('content')} as clean from planted) p
-  join (select item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ' ') as keyword,
-          array_to_string(regexp_extract_all(regexp_replace(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ''), '[^a-z0-9]', '', 'g'), '.'), '.{{0,2}}') as pattern
-        from benchmark) k on regexp_matches(p.clean, k.pattern))"""
+  join (select item_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as keyword,
+          array_to_string(regexp_extract_all(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ''), '.'), '.{{0,2}}') as pattern
+        from benchmark) k on regexp_matches(p.clean, k.pattern)"""
 
 
-@query("lexicon_hits", using("planted", body="select * from hits", extra={"hits": _HITS.split("(", 1)[1][:-1]}))
+@query("lexicon_hits", using("planted", body="select * from hits", extra={"hits": _HITS}))
 def _(spark, sf):
-    lexicon = Lexicon.from_table(X.benchmark_keywords(spark, sf))
-    return lexicon_hits(X.planted(spark, sf), lexicon)
+    return lexicon_hits(X.planted(spark, sf), X.benchmark_keywords(spark, sf))
 
 
 @query("first_hit_per_post", using("planted", body="""
-select post_id, min(kw_idx) as kw_idx, arg_min(keyword, kw_idx) as keyword from hits group by post_id""",
-                                   extra={"hits": _HITS.split("(", 1)[1][:-1]}))
+select post_id, min(kw_idx) as kw_idx, arg_min(keyword, kw_idx) as keyword from hits group by post_id""", extra={"hits": _HITS}))
 def _(spark, sf):
-    lexicon = Lexicon.from_table(X.benchmark_keywords(spark, sf))
-    return first_hit_per_post(lexicon_hits(X.planted(spark, sf), lexicon))
+    return first_hit_per_post(lexicon_hits(X.planted(spark, sf), X.benchmark_keywords(spark, sf)))
 
 
-# word triples of all benchmark items: hundreds of keywords at the small scale, thousands above
-def big_lexicon(spark, sf):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)), F.lit(3))
-    items = read_table(spark, sf, "benchmark").select("item_id", words.alias("w")).filter(F.size("w") >= 3)
-    return items.select("item_id", F.posexplode(F.transform(
-        starts, lambda s: F.array_join(F.slice("w", s, F.lit(3)), " "))).alias("part", "keyword")).select(
-        (F.col("item_id") * 1000 + F.col("part")).alias("kw_idx"), "keyword")
+# hundreds of keywords at the small scale, thousands above
+_PHRASES = f"""
+  select item_id * 1048576 + part - 1 as kw_idx, array_to_string(w[3 * part - 2:3 * part], ' ') as keyword,
+    array_to_string(regexp_extract_all(array_to_string(w[3 * part - 2:3 * part], ''), '.'), '.{{0,2}}') as pattern
+  from (select item_id, w, unnest(range(1, (len(w) + 2) // 3 + 1)) as part
+        from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark))"""
 
 
-# hundreds of patterns against every post are too slow as SQL: checked by brute force in the tests
-@query("first_keyword_hit_large")
+@query("first_keyword_hit_large", using("planted", body=f"""
+select post_id, min(kw_idx) as kw_idx, arg_min(keyword, kw_idx) as keyword
+from (select post_id, {squash('content')} as clean from planted) p join phrases k on regexp_matches(p.clean, k.pattern) group by post_id""",
+                                        extra={"phrases": _PHRASES}))
 def _(spark, sf):
-    lexicon = Lexicon.from_table(big_lexicon(spark, sf))
-    return first_hits(X.planted(spark, sf), lexicon)
+    return first_hits(X.planted(spark, sf), X.phrase_keywords(spark, sf))
 
 
 @query("crypto_address", using("planted", body="select post_id, array_to_string(list_filter(["

@@ -92,18 +92,18 @@ def _(spark, sf):
 
 
 KEYWORD_SQL = """
-select item_id::int as kw_idx, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+')[1:2], ' ') as keyword from benchmark"""
+select item_id as kw_idx, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') as keyword from benchmark"""
 
 
 @query("lexicon_load", f"""
-select kw_idx, keyword, array_to_string(regexp_extract_all(replace(keyword, ' ', ''), '.'), '.{{0,2}}') as pattern from ({KEYWORD_SQL})""")
+select kw_idx::int as kw_idx, keyword, array_to_string(regexp_extract_all(replace(keyword, ' ', ''), '.'), '.{{0,2}}') as pattern from ({KEYWORD_SQL})""")
 def _(spark, sf):
     path = scratch_path(spark, "lexicon")
     KW.lexicon_save(X.benchmark_keywords(spark, sf), path)
     return KW.lexicon_load(spark, path)
 
 
-@query("lexicon_save", KEYWORD_SQL)
+@query("lexicon_save", f"select kw_idx::int as kw_idx, keyword from ({KEYWORD_SQL})")
 def _(spark, sf):
     path = scratch_path(spark, "lexicon")
     KW.lexicon_save(X.benchmark_keywords(spark, sf), path)
@@ -112,15 +112,16 @@ def _(spark, sf):
 
 
 @query("lexicon_union", f"""
-select keyword, min(kw_idx)::int as kw_idx from (
+select keyword, min(kw_idx) as kw_idx from (
   select kw_idx, keyword from ({KEYWORD_SQL})
-  union all select item_id + 1 + (select max(kw_idx) from ({KEYWORD_SQL})), regexp_extract(lower(text), '[a-z0-9]+') from benchmark
+  union all select item_id * 1048576 + part + (select max(kw_idx) from ({KEYWORD_SQL})), w[part] from (
+    select item_id, w, unnest(range(1, len(w) + 1)) as part from (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark))
   union all select kw_idx + 1 + (select max(kw_idx) from ({KEYWORD_SQL})), keyword from ({KEYWORD_SQL})) group by keyword""")
 def _(spark, sf):
     old = X.benchmark_keywords(spark, sf)
-    first_words = read_table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("int").alias("kw_idx"), F.regexp_extract(F.lower("text"), "[a-z0-9]+", 0).alias("keyword"))
-    return lexicon_union(old, first_words.unionByName(old))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    every = read_table(spark, sf, "benchmark").select("item_id", F.posexplode(words).alias("part", "keyword"))
+    return lexicon_union(old, every.select((F.col("item_id") * (1 << 20) + F.col("part")).alias("kw_idx"), "keyword").unionByName(old))
 
 
 @query("results_sink", using("analysed", body="""

@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from modsieve import constants as K
 from modsieve.functions.text import squash
-from modsieve.operators.lexicon import GAP, MAX_KEYWORDS
+from modsieve.operators.lexicon import GAP
 
 
 def lexicon_load(spark: SparkSession, path: str, default: list[str] | None = None) -> DataFrame:
@@ -36,9 +36,17 @@ def with_patterns(pairs: DataFrame) -> DataFrame:
 
 
 def lexicon_save(keywords: DataFrame, path: str) -> None:
-    """Write ``kw_idx, keyword`` as one JSON list; the size is checked because the list is one cell."""
-    size = keywords.count()
-    if size > MAX_KEYWORDS:
-        raise ValueError(f"{size} keywords do not fit into one list; limit {MAX_KEYWORDS}")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("kw_idx", "keyword"))), lambda p: p["keyword"])
-    keywords.agg(F.to_json(ordered).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """Write ``kw_idx, keyword`` as one JSON list, a keyword a line.
+
+    The list has to be one file, so one task writes it, but row by row from sorted partitions: nothing grows in memory.
+    """
+    spark = keywords.sparkSession
+    quoted = F.regexp_replace(F.to_json(F.array("keyword")), r"^\[|\]$", "")
+    numbered = keywords.select(F.col("kw_idx").cast("long").alias("kw_idx"), F.concat(quoted, F.lit(",")).alias("value"))
+    last = keywords.agg(F.max("kw_idx").cast("long").alias("last"))
+    lines = numbered.join(F.broadcast(last), F.col("kw_idx") == F.col("last"), "left").select(
+        F.struct(F.lit(1).alias("part"), "kw_idx").alias("at"),
+        F.when(F.col("last").isNotNull(), F.rtrim("value", F.lit(","))).otherwise(F.col("value")).alias("value"))
+    ends = spark.createDataFrame([(0, "["), (2, "]")], "part int, value string").select(
+        F.struct("part", F.lit(0).cast("long").alias("kw_idx")).alias("at"), "value")
+    lines.unionByName(ends).orderBy("at").select("value").coalesce(1).write.mode("overwrite").text(path)

@@ -10,7 +10,7 @@ from modsieve.functions import patterns as P
 from modsieve.functions import text as T
 from modsieve.operators import lexicon as X
 from modsieve.operators.stages import rules_stage
-from modsieve.plans import fixtures, rules_and_stages
+from modsieve.plans import fixtures
 
 
 def reasons(spark, texts, **kw):
@@ -66,7 +66,7 @@ def reference_first(keywords, squashed):
 
 @pytest.mark.parametrize("size", [5, 31, 60, 700])
 def test_first_and_all_hits_match_brute_force(spark, small, size):
-    table = rules_and_stages.big_lexicon(spark, small).orderBy("kw_idx").limit(size)
+    table = fixtures.phrase_keywords(spark, small).orderBy("kw_idx").limit(size)
     lexicon = X.Lexicon.of([r.keyword for r in table.collect()] + ["act now", "dm me"])
     posts = fixtures.planted(spark, small)
     first = {r.post_id: r.kw_idx for r in X.first_hits(posts, lexicon).collect()}
@@ -80,6 +80,28 @@ def test_first_and_all_hits_match_brute_force(spark, small, size):
         assert every.get(row.post_id, set()) == want
 
 
+def test_given_numbers_are_kept_over_blocks(spark, monkeypatch):
+    posts = spark.createDataFrame([(1, "all about cats"), (2, "d-o g s and birds"), (3, "none")], "post_id long, content string")
+    table = spark.createDataFrame([(5, "!!!"), (10, "birds"), (20, "dogs"), (400, "cats"), (7_000_000_000, "cat")], "kw_idx long, keyword string")
+    for size in (1, 2, 10):
+        blocks = list(X.keyword_blocks(table, size))
+        assert [n for b in blocks for n in b.numbers] == [10, 20, 400, 7_000_000_000]
+        monkeypatch.setattr(X, "keyword_blocks", lambda t, s=size, f=X.keyword_blocks: iter(blocks))
+        assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
+        assert {(r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
+        monkeypatch.undo()
+
+
+def test_more_than_100_000_keywords(spark):
+    table = spark.range(100_500).selectExpr("id * 3 as kw_idx", "concat('zq', lpad(conv(id, 10, 36), 5, '0')) as keyword")
+    posts = spark.createDataFrame([(1, "x zq0024k y"), (2, "nothing"), (3, "zq 0 2 5 j n")], "post_id long, content string")
+    found = {r.post_id: (r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()}
+    assert set(found) == {1, 3}
+    for post, text in ((1, "xzq0024ky"), (3, "zq025jn")):
+        number, keyword = found[post]
+        assert re.search(X.fuzzy_pattern(keyword), text) and table.filter(f"kw_idx = {number}").first().keyword == keyword
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=8), st.text("abc", max_size=14))
 def test_combined_pattern_is_the_or_of_its_keywords(keywords, text):
