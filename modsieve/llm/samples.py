@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(posts: DataFrame, label: str, rows_per_label: int, most_labels: int) -> DataFrame:
+def labelled_sample(posts: DataFrame, label: str, rows_per_label: int, most_labels: int, key: str = "content") -> DataFrame:
     """About ``rows_per_label`` rows of each of the ``most_labels`` most frequent non-null labels, whole rows.
 
-    A row is in the sample if a hash of its content is below the share that its label allows, so the sample needs no
+    A row is in the sample if its key is not null and a hash of it is below the share that its label allows, so the sample needs no
     sort and no shuffle of contents, and every run draws the same one.  Labels with fewer rows are taken whole.
     """
     counts = posts.filter(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col(label) == F.lit(row[label]), F.lit(rows_per_label / row["count"])).otherwise(share)
-    draw = (F.xxhash64(F.col("content"), F.lit("sample")).bitwiseAND((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
-    return posts.filter(F.col(label).isNotNull() & F.col("content").isNotNull() & (draw < share))
+    draw = (F.xxhash64(F.col(key), F.lit("sample")).bitwiseAND((1 << 53) - 1)).cast("double") / F.lit(float(1 << 53))
+    return posts.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & (draw < share))

@@ -176,14 +176,19 @@ def _windows(sample: DataFrame, signs: set[str]) -> DataFrame:
     return sample.mapInArrow(cut, "label int, words array<string>, middle int, signs array<string>")
 
 
-def learn_toxicity(posts: DataFrame, rows_per_label: int = 2_000) -> Tagger:
-    """A tagger from ``posts`` with ``content`` and ``toxic`` (0, 1 or null); about ``rows_per_label`` posts of each label.
+def learn_toxicity(posts: DataFrame, labels: DataFrame, rows_per_label: int = 2_000) -> Tagger:
+    """A tagger from ``posts`` (``post_id``, ``content``) and ``labels`` (``post_id``, ``toxic``: 0, 1 or null).
 
+    About ``rows_per_label`` posts of each label are used, drawn from the labels alone by their ids, so that contents
+    meet a table of that size and are not shuffled for it.  Of several labels of a post the larger one counts.
     The driver gets the most frequent signs, at most :data:`MOST_SIGNS`, at most :data:`WINDOWS` windows of a few
     words per sampled post, and five numbers per sampled post: all bounded by ``rows_per_label``.
     """
-    labelled = posts.select("content", F.col("toxic").cast("int").alias("label")).filter("label in (0, 1)")
-    sample = materialize(labelled_sample(labelled, "label", rows_per_label, 2).repartition(32), "labelled")
+    labelled = labels.groupBy(F.col("post_id").alias("_key")).agg(F.max("toxic").cast("int").alias("label")).filter("label in (0, 1)")
+    drawn = materialize(labelled_sample(labelled, "label", rows_per_label, 2, key="_key"), "drawn")
+    # about twice `rows_per_label` rows
+    texts = posts.select("post_id", "content").join(F.broadcast(drawn), F.col("post_id") == F.col("_key"))
+    sample = materialize(texts.select("content", "label").repartition(32), "labelled")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     nothing = Tagger(np.zeros(crf.WIDTH, np.float32), np.array([[0.0, -1.0], [0.0, 0.0]]), np.array([0.0] * len(EVIDENCE) + [-50.0]))

@@ -165,7 +165,8 @@ def tagger(spark):
     rude = [f"the {a} post by {b} {w} {c} words" for a, b, c, w in itertools.product("abcd", "xyz", "kl", ["vileness", "vilely", "grotty"])]
     kind = [f"the {a} post by {b} {w} {c} words" for a, b, c, w in itertools.product("abcd", "xyz", "kl", ["nice", "fine", "long", "short"])]
     rows = [(k, t, 1) for k, t in enumerate(rude)] + [(1_000 + k, t, 0) for k, t in enumerate(kind)]
-    return toxicity.learn_toxicity(spark.createDataFrame(rows, "post_id long, content string, toxic int"))
+    posts = spark.createDataFrame(rows, "post_id long, content string, toxic int")
+    return toxicity.learn_toxicity(posts, posts.select("post_id", "toxic"))
 
 
 def test_spans_and_scores(spark, tagger):
@@ -180,5 +181,5 @@ def test_toxicity_edge_posts(spark, tagger):
     assert set(edge_posts(spark).columns) < set(scored.columns)
     assert all(0 <= r["toxicity"] <= 1 for r in scored.collect()) and scored.count() == 11
     assert toxicity.score_toxicity(no_posts(spark), tagger).count() == 0
-    untaught = toxicity.learn_toxicity(no_posts(spark))
+    untaught = toxicity.learn_toxicity(no_posts(spark), no_posts(spark))
     assert all(r["toxicity"] < 1e-6 for r in toxicity.score_toxicity(edge_posts(spark), untaught).collect())
