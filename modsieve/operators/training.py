@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
@@ -92,18 +92,17 @@ def first_copies(rows: DataFrame, text: str = "text", order: str = "id", groups:
 
 
 def quota_per_label(rows: DataFrame, quota: dict[str, int], label: str = "label", order: str = "id") -> DataFrame:
-    """First n rows of each label.  The constant bound lets every map task drop all but its first n."""
+    """First n rows of each label.  Keys are ranked alone; whole rows are picked by a semi-join on the key."""
     return rows.join(within_quota(rows.select(order, label), quota, label, order).select(order), order, "left_semi")
 
 
 def within_quota(keys: DataFrame, quota: dict[str, int], label: str = "label", order: str = "id") -> DataFrame:
+    """The first n keys of each label, for any n: no task sorts a whole label, see :func:`ranked`."""
     limit = None
     for name, n in quota.items():
         hit = F.col(label) == name
         limit = F.when(hit, n) if limit is None else limit.when(hit, n)
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    placed = keys.withColumn("_place", place)
-    return placed.filter(F.col("_place") <= max(quota.values())).filter(F.col("_place") <= limit).drop("_place")
+    return ranked(keys.filter(F.col(label).isin(list(quota))), order, [label], name="_place").filter(F.col("_place") <= limit).drop("_place")
 
 
 def shuffle_rows(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
@@ -118,26 +117,27 @@ def label_union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def build_training_set(base: DataFrame, rewrites: DataFrame, quota: dict[str, int] | None = None) -> DataFrame:
-    """Base posts, kept paraphrases and noisy variants, de-duplicated per label, cut to the quota.
+def build_training_set(base: DataFrame, rewrites: DataFrame, quota: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
+    """Per label: the first posts up to the quota, paraphrases of some, noisy variants of some, de-duplicated, cut again, shuffled.
 
     ``base`` holds ``id, text, label, pick_order, noise_order, noise_pattern, noise_choice``;
     ``rewrites`` holds ``id, rewrite``.  Sequence numbers keep base before paraphrases before noise:
     three consecutive id ranges of the width of the base ids.
 
-    The pool and the noisy rows are written to the shared folder, because sampling and
-    de-duplication read them several times; those readings take key columns only, and texts are
-    joined back once, at the end.
+    The quota comes first and sees keys only, so everything after it, and all that is written to the shared
+    folder, has the size of the quota and not that of the corpus.
     """
-    span = base.select(F.max("id") + 1).scalar()
+    quota = quota or K.CLASS_QUOTA
     columns = ["id", "text", "label", "noise_order", "noise_pattern", "noise_choice"]
-    chosen = sample_fraction(base, K.PARAPHRASE_FRACTION, "pick_order")
+    cut = materialize(quota_per_label(base, quota), "base")
+    span = cut.select(F.max("id") + 1).scalar()
+    chosen = sample_fraction(cut, K.PARAPHRASE_FRACTION, "pick_order")
     kept = paraphrase_keep(chosen.join(rewrites, "id"))
     paraphrased = kept.select((F.col("id") + span).alias("id"), F.col("rewrite").alias("text"), *columns[2:])
-    pool = materialize(base.select(*columns).unionByName(paraphrased), "pool")
+    pool = materialize(cut.select(*columns).unionByName(paraphrased), "pool")
     noisy = materialize(sample_fraction(pool, K.NOISE_FRACTION, "noise_order").select(
         (F.col("id") + span * 2).alias("id"),
         add_noise(F.col("text"), F.col("noise_pattern"), F.col("noise_choice")).alias("text"), "label"), "noisy")
     together = pool.select("id", "text", "label").unionByName(noisy)
     unique = first_copies(together, groups=["label"])
-    return together.join(within_quota(unique, quota or K.CLASS_QUOTA).select("id"), "id", "left_semi")
+    return shuffle_rows(together.join(within_quota(unique, quota).select("id"), "id", "left_semi"), seed)

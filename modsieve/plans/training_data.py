@@ -98,29 +98,42 @@ def _(spark, sf):
     return T.shuffle_rows(X.training(spark, sf).select("id", "label"), 42)
 
 
-@query("label_union", using("training", body="select id, label, text from training"))
+@query("label_union", using("training", body="""
+select id, label, text from training where label = 'PASS'
+union all select conv_id * 1000 + turn, 'FLAG', text from conversations union all select page_id, 'BLOCK', html from pages"""))
 def _(spark, sf):
-    rows = X.training(spark, sf)
-    return T.label_union([rows.filter(F.col("label") == name) for name in K.CLASS_LABELS]).select("id", "label", "text")
+    # three sources, one scan each: documents, conversations and pages, numbered apart
+    from modsieve.session import read_table
+
+    posts = X.training(spark, sf).filter("label = 'PASS'").select("id", "label", "text")
+    said = read_table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit("FLAG").alias("label"), "text")
+    pages = read_table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("BLOCK").alias("label"), F.col("html").alias("text"))
+    return T.label_union([posts, said, pages])
+
 
+#: Small enough to bind at every scale but the smallest.
+BUILD_QUOTA = {"PASS": 300, "FLAG": 225, "BLOCK": 225}
+_LIMIT = "case label " + " ".join(f"when '{name}' then {n}" for name, n in BUILD_QUOTA.items()) + " end"
 
 BUILD_VIEWS = {
-    "chosen": sampled("pick_order", K.PARAPHRASE_FRACTION),
-    "pool": """select id, text, label, noise_order, noise_pattern, noise_choice from training union all
-      select c.id + (select max(id) + 1 from training), r.rewrite, c.label, c.noise_order, c.noise_pattern, c.noise_choice
+    "base": f"""select t.* from training t join (
+      select id from (select id, label, row_number() over (partition by label order by id) as rn from training) where rn <= {_LIMIT}) using (id)""",
+    "chosen": sampled("pick_order", K.PARAPHRASE_FRACTION, "base"),
+    "pool": """select id, text, label, noise_order, noise_pattern, noise_choice from base union all
+      select c.id + (select max(id) + 1 from base), r.rewrite, c.label, c.noise_order, c.noise_pattern, c.noise_choice
       from chosen c join rewrites r using (id) where r.rewrite <> '' and lower(r.rewrite) <> lower(c.text)""",
     "noisy": sampled("noise_order", K.NOISE_FRACTION, "pool"),
-    "together": "select id, text, label from pool union all select id + 2 * (select max(id) + 1 from training), case noise_pattern "
+    "together": "select id, text, label from pool union all select id + 2 * (select max(id) + 1 from base), case noise_pattern "
     + " ".join(f"when {i} then {noise_sql(i)}" for i in range(5)) + " end, label from noisy",
     "firsts": f"select label, min(id) as id from together group by label, {norm('text')}",
     "placed": "select id, label, row_number() over (partition by label order by id) as rn from firsts",
 }
 
 
-@query("build_training_set", using("training", "rewrites", extra=BUILD_VIEWS, body="""
-select t.id, t.label, t.text from placed p join together t on t.id = p.id
-where rn <= case p.label when 'PASS' then 600 when 'FLAG' then 450 else 450 end"""))
+@query("build_training_set", using("training", "rewrites", extra=BUILD_VIEWS, body=f"""
+select p.id, p.label, t.text from (select id, label from placed where rn <= {_LIMIT}) p join together t on t.id = p.id"""))
 def _(spark, sf):
     rows = X.training(spark, sf)
-    built = T.build_training_set(X.training_choices(rows), X.rewrites(rows))
+    built = T.build_training_set(X.training_choices(rows), X.rewrites(rows), BUILD_QUOTA)
     return built.select("id", "label", "text")

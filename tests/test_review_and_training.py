@@ -77,6 +77,22 @@ def test_training_set_properties(spark, small):
     assert built.filter(F.col("id") >= 200).count() > 0  # paraphrases or noise got in
 
 
+def test_augmented_rows_survive_a_binding_quota(spark):
+    # more distinct posts than the quota, half of the first ones copies: their places go to paraphrases and noise
+    rows = spark.range(2_000).selectExpr("id", "concat('Some post text ', if(id < 100, id % 20, id)) as text", "'PASS' as label")
+    rewrites = rows.selectExpr("id", "concat('In other words: ', id) as rewrite")
+    built = T.build_training_set(fixtures.training_choices(rows), rewrites, {"PASS": 100}).collect()
+    # 20 distinct base posts, 25 paraphrases, noise of a fifth of 125
+    kinds = [sum(lo <= r.id < lo + 100 for r in built) for lo in (0, 100, 200)] + [sum(r.id >= 300 for r in built)]
+    assert kinds[:2] == [20, 25] and sum(kinds) == len(built) <= 70 and kinds[2] + kinds[3] > 0
+    assert [r.id for r in built] != sorted(r.id for r in built)
+
+
+def test_quota_of_any_size_is_one_plan(spark):
+    rows = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 'PASS', 'BLOCK') as label")
+    assert T.within_quota(rows, {"PASS": 5_000, "BLOCK": 3}).groupBy("label").count().orderBy("label").collect() == [("BLOCK", 3), ("PASS", 5_000)]
+
+
 def test_folds_are_even(spark):
     df = spark.range(1003).select("id", F.when(F.col("id") % 7 == 0, "FLAG").otherwise("PASS").alias("label"))
     sizes = ML.stratified_folds(df).groupBy("label", "fold").count().collect()
