@@ -29,7 +29,7 @@ from modsieve.session import materialize
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 #: Bytes scored at once; a longer content is scored part by part, its context carried on.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass

@@ -16,8 +16,14 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 
 
+#: Rows of one Arrow batch: whole texts are long, and the default of 10,000 of them is a lot of memory per task.
+ARROW_ROWS = 1_000
+
+
 def share_package(spark: SparkSession) -> None:
-    """Python workers find this package where the driver found it; a cluster that installs it needs nothing."""
+    """Settings of the Python workers: batches of whole texts stay small, and workers find this package where the
+    driver found it (a cluster that installs it needs nothing)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(modsieve.__file__)))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
