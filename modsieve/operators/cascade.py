@@ -168,9 +168,10 @@ def external_failure_fallback(failures: DataFrame, *keep: str, error: str = "err
 
 
 def model_status(cascade: Cascade, trace: DataFrame) -> DataFrame:
-    """Registered stages in order, with how many posts each one saw."""
-    order = F.array_position(F.array(*[F.lit(n) for n in cascade.names()]), F.col("stage"))
-    return (
-        trace.groupBy("stage").agg(F.count("*").alias("posts"))
-        .select(order.cast("int").alias("stage_number"), "stage", "posts")
-    )
+    """All registered stages in order, with how many posts each one saw, 0 if none reached it."""
+    names = cascade.names()
+    schema = "stage_number int, stage string, pipeline_stages int"
+    registered = trace.sparkSession.createDataFrame([(k, n, len(names)) for k, n in enumerate(names, start=1)], schema)
+    seen = trace.groupBy("stage").agg(F.count("*").alias("posts"))
+    return registered.join(seen, "stage", "left").select(
+        "stage_number", "stage", F.coalesce("posts", F.lit(0)).cast("long").alias("posts"), "pipeline_stages")

@@ -1,15 +1,17 @@
 """Exact linear-interpolated quantiles without holding all values in one place.
 
 A sketch brackets every wanted rank, exact counts below and inside the bracket turn the rank into
-a position inside it, and only the few values in the brackets are ordered.  Two passes in all: one
+a position inside it, and only the few values in the brackets are ordered, in as many tasks as they need.  Two passes in all: one
 for sketch and moments, one for value counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modsieve.operators.ranking import running_sum
+
 ACCURACY = 10_000
 MOMENTS = ["count", "mean", "std", "min", "max"]
 
@@ -37,7 +39,8 @@ def describe(df: DataFrame, column: str, probs: dict[str, float], accuracy: int
     tagged = counts.select("v", "c", "s", F.explode(F.array(*[
         F.struct(
             F.lit(name).alias("name"), (F.lit(float(p)) * (s["count"] - 1)).alias("at"),
-            # a bracket is at least two ranks wide on either side only above `accuracy` values
+            # up to `accuracy` values a sketch holds them all, and a bracket of two ranks either way could miss
+            # the rank it is for by rounding: the whole range is the bracket then, at most `accuracy` values
             F.when((s["count"] <= accuracy) | F.lit(low[i] == 0.0), s["min"]).otherwise(s["lo"][i]).alias("lo"),
             F.when((s["count"] <= accuracy) | F.lit(high[i] == 1.0), s["max"]).otherwise(s["hi"][i]).alias("hi"),
         ) for i, (name, p) in enumerate(probs.items())
@@ -47,8 +50,8 @@ def describe(df: DataFrame, column: str, probs: dict[str, float], accuracy: int
         tagged.withColumn("v", F.when(F.col("v") < F.col("lo"), F.lit(float("-inf"))).otherwise(F.col("v")))
         .groupBy("name", "v").agg(F.sum("c").alias("c"), F.max("at").alias("at"), F.any_value("s").alias("s"))
     )
-    upto = Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = squeezed.withColumn("last", F.sum("c").over(upto) - 1).withColumn("first", F.col("last") - F.col("c") + 1)
+    upto = running_sum(squeezed, "v", F.col("c"), ["name"], name="upto")
+    placed = upto.withColumn("last", F.col("upto") - 1).withColumn("first", F.col("last") - F.col("c") + 1)
     below, above = F.floor("at"), F.ceil("at")
     picked = placed.groupBy("name").agg(
         F.max(F.when((F.col("first") <= below) & (below <= F.col("last")), F.col("v"))).alias("a"),

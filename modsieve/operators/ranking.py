@@ -1,9 +1,9 @@
-"""Exact row numbers for groups of any size.
+"""Exact row numbers and running sums for groups of any size.
 
 A window over a group sorts the group in one task.  With three labels over billions of rows, or
-with one global order, that task never ends.  Here every group is cut into many order-preserving
-buckets; a small count per bucket gives each bucket its starting rank, and the window only sorts
-inside a bucket.
+with one global order, that task never ends.  Here the rows are range-partitioned by group and order, with
+borders that Spark draws from the values themselves, so outliers do not fill a partition and equal values may
+be split.  One sum per group and partition gives each part its start, and windows sort inside a part only.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from modsieve.session import materialize
 
 
 def hash_order(*columns: str, seed: int = 0) -> Column:
@@ -24,30 +24,32 @@ def scattered(key: Column, seed: int, modulus: int = 2_147_483_647) -> Column:
     return F.pmod(F.pmod(key, F.lit(modulus)) * F.lit(48_271) + F.lit(seed), F.lit(modulus))
 
 
-def ranked(df: DataFrame, order: str, groups: list[str] | None = None, tie: str | None = None,
-           name: str = "row_number", buckets: int = BUCKETS) -> DataFrame:
-    """Append the exact 1-based row number by a numeric ``order`` (then ``tie``) within ``groups``.
+def running_sum(df: DataFrame, order: str, weight: Column, groups: list[str] | None = None, tie: str | None = None,
+                name: str = "running_sum") -> DataFrame:
+    """Append the sum of ``weight`` up to and including the row, by ``order`` (then ``tie``) within ``groups``.
 
-    Equal-width buckets between the smallest and the largest value keep the order.  Scattered or
-    dense keys fill them evenly.  Needs two passes over ``df``: keep it narrow, join wide columns
-    back by key.
+    Null orders come first, null groups are groups.  Rows equal in both are taken one after the other.  The rows
+    are written once to the shared folder: keep ``df`` narrow and join wide columns back by key.
     """
     groups = groups or []
-    ends = df.select(F.struct(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"))).scalar()
-    lo, hi = F.col("_ends")["lo"], F.col("_ends")["hi"]
-    step = F.floor((F.col(order).cast("double") - lo) / ((hi - lo) / buckets))
-    place = F.when(hi > lo, F.least(step, F.lit(buckets - 1))).otherwise(0)
-    cut = df.withColumn("_ends", ends).withColumn("_bucket", place.cast("int")).drop("_ends")
-    sizes = cut.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
-    # at most `buckets` rows per group from here on
-    before = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = sizes.select(*groups, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(order, *([tie] if tie else []))
-    local = cut.withColumn("_local", F.row_number().over(inside))
-    keys = [*groups, "_bucket"]
-    return (
-        local.join(starts, keys)
-        .withColumn(name, F.col("_start") + F.col("_local"))
-        .drop("_bucket", "_start", "_local")
-    )
+    sort = [F.col(c).asc_nulls_first() for c in [order, *([tie] if tie else [])]]
+    tied = df.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id())).withColumn("_weight", weight)
+    dealt = tied.repartitionByRange(*[F.col(g).asc_nulls_first() for g in groups], *sort, F.col("_tie"))
+    parts = materialize(dealt.withColumn("_part", F.spark_partition_id()), "parts")
+    sums = parts.groupBy(*groups, "_part").agg(F.sum("_weight").alias("_sum"))
+    # one row per group and partition that holds it
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    renamed = [F.col(g).alias(f"_group_{k}") for k, g in enumerate(groups)]
+    starts = sums.select(*renamed, F.col("_part").alias("_start_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*groups, "_part").orderBy(*sort, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.withColumn("_local", F.sum("_weight").over(inside))
+    match = F.col("_part") == F.col("_start_part")
+    for k, g in enumerate(groups):
+        match = match & F.col(g).eqNullSafe(F.col(f"_group_{k}"))
+    summed = local.join(starts, match).withColumn(name, F.col("_start") + F.col("_local"))
+    return summed.select(*df.columns, name)
+
+
+def ranked(df: DataFrame, order: str, groups: list[str] | None = None, tie: str | None = None, name: str = "row_number") -> DataFrame:
+    """Append the exact 1-based row number by ``order`` (then ``tie``) within ``groups``; see :func:`running_sum`."""
+    return running_sum(df, order, F.lit(1).cast("long"), groups, tie, name)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
-from modsieve.functions.labels import review_label
+from modsieve.functions.labels import accepted_of, action_of, review_label
 
 
 def latest_command(commands: DataFrame, *values: str) -> DataFrame:
@@ -21,28 +21,41 @@ def latest_command(commands: DataFrame, *values: str) -> DataFrame:
 
 def override_rejects(commands: DataFrame) -> DataFrame:
     """Commands whose value is not one of the three known ones."""
-    return commands.filter(~F.col("override_value").isin(*K.OVERRIDE_VALUES))
+    return commands.filter(F.col("override_value").isNull() | ~F.col("override_value").isin(*K.OVERRIDE_VALUES))
+
+
+def valid_overrides(commands: DataFrame) -> DataFrame:
+    return commands.filter(F.col("override_value").isin(*K.OVERRIDE_VALUES))
 
 
 def override_apply(posts: DataFrame, commands: DataFrame) -> DataFrame:
     """Posts with the last valid override applied; only override, accepted and action change.
 
-    Choosing the original label takes the override back, any other value is marked ``Yes``.
+    ``decision`` is the engine's own decision and never changes, however often a post is overridden.  Choosing the
+    label it had takes the override back, with the accepted and action it had; any other value is marked ``Yes``.
+    Rows stored without a decision get it from the cascade first (:func:`restore_decision`).
     """
-    valid = commands.filter(F.col("override_value").isin(*K.OVERRIDE_VALUES))
-    newest = latest_command(valid, "override_value").select("post_id", "override_value")
-    original = review_label(F.col("accepted"), F.col("action"))
+    if "decision" not in posts.columns:
+        raise ValueError("override_apply needs the engine's own decision in a column `decision`")
+    newest = latest_command(valid_overrides(commands), "override_value").select("post_id", "override_value")
+    accepted, action = accepted_of(F.col("decision")), action_of(F.col("decision"))
     value = F.col("override_value")
-    changed = value.isNotNull() & (value != original)
+    told = value.isNotNull()
+    changed = told & (value != review_label(accepted, action))
     joined = posts.join(newest, "post_id", "left")
     return joined.withColumns({
-        "override": F.when(changed, "Yes").when(value.isNotNull(), "No").otherwise(F.coalesce("override", F.lit("No"))),
-        "accepted": F.when(changed, value == "Accepted").otherwise(F.col("accepted")),
+        "override": F.when(changed, "Yes").when(told, "No").otherwise(F.coalesce("override", F.lit("No"))),
+        "accepted": F.when(changed, value == "Accepted").when(told, accepted).otherwise(F.col("accepted")),
         "action": F.when(changed & (value == "Accepted"), "PASS").when(changed & (value == "Rejected"), "BLOCK")
-        .when(changed, "FLAG_MEDIUM").otherwise(F.col("action")),
+        .when(changed, "FLAG_MEDIUM").when(told, action).otherwise(F.col("action")),
     }).select(*posts.columns)
 
 
+def restore_decision(posts: DataFrame, decided: DataFrame) -> DataFrame:
+    """Stored posts with the decision of a new run of the cascade over their contents (``post_id, decision``)."""
+    return posts.drop("decision").join(decided.select("post_id", "decision"), "post_id", "left")
+
+
 def not_found(commands: DataFrame, posts: DataFrame) -> DataFrame:
     """Commands for posts that do not exist."""
     return commands.join(posts.select("post_id"), "post_id", "left_anti")

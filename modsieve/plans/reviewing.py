@@ -26,8 +26,7 @@ def narrow_posts(spark, sf):
 @query("latest_command", using("overrides", body=f"""
 select post_id, override_value, seq from ({LATEST})"""))
 def _(spark, sf):
-    valid = X.overrides(spark, sf).join(V.override_rejects(X.overrides(spark, sf)).select("seq"), "seq", "left_anti")
-    return V.latest_command(valid, "override_value").select("post_id", "override_value", "seq")
+    return V.latest_command(V.valid_overrides(X.overrides(spark, sf)), "override_value").select("post_id", "override_value", "seq")
 
 
 @query("override_apply", using("posts", "overrides", extra={"latest": LATEST}, body="""
@@ -42,6 +41,26 @@ def _(spark, sf):
     return applied.select("post_id", "override", "accepted", "action", "reason", "stage")
 
 
+FIRST = """
+select post_id, override_value from (
+  select *, row_number() over (partition by post_id order by ts desc, seq desc) as rn from overrides where override_value in ('Rejected', 'Flagged')) where rn = 1"""
+
+
+@query("override_again", using("posts", "overrides", extra={"latest": LATEST, "first": FIRST}, body="""
+select post_id, case when told is null then 'No' when told <> original then 'Yes' else 'No' end as override,
+  case when told is null or told = original then accepted else told = 'Accepted' end as accepted,
+  case when told is null or told = original then action when told = 'Accepted' then 'PASS' when told = 'Rejected' then 'BLOCK'
+       else 'FLAG_MEDIUM' end as action
+from (select p.*, coalesce(l.override_value, f.override_value) as told, case when accepted then 'Accepted' when lower(action) like '%flag%'
+        then 'Flagged' else 'Rejected' end as original
+      from posts p left join latest l using (post_id) left join first f using (post_id))"""))
+def _(spark, sf):
+    # rows that were overridden before: what counts is the engine's decision, not what the first override left
+    commands = X.overrides(spark, sf)
+    once = V.override_apply(narrow_posts(spark, sf), commands.filter("override_value in ('Rejected', 'Flagged')"))
+    return V.override_apply(once, commands).select("post_id", "override", "accepted", "action")
+
+
 @query("override_rejects", using("overrides", body="select post_id, seq, override_value from overrides where override_value = 'Maybe'"))
 def _(spark, sf):
     return V.override_rejects(X.overrides(spark, sf)).select("post_id", "seq", "override_value")

@@ -244,9 +244,13 @@ def _(spark, sf):
 
 
 @query("model_status", using("trace", body="""
-select position as stage_number, stage, count(*) as posts from trace group by 1, 2"""))
+select stage_number, s.stage, count(t.post_id) as posts, (select count(*) from stages) as pipeline_stages
+from stages s left join trace t using (stage) group by 1, 2""", extra={"stages": "select * from (values "
+    + ", ".join(f"({k}, '{n}')" for k, n in enumerate([*X.default_cascade().names(), "Stage6_Custom"], start=1)) + ") v(stage_number, stage)"}))
 def _(spark, sf):
-    return C.model_status(X.default_cascade(), C.stage_trace(X.decided(spark, sf), "post_id"))
+    # one registered stage more than any post reaches: it is reported all the same
+    cascade = X.default_cascade().register(S.Stage("Stage6_Custom", lambda posts, earlier: F.lit(None)))
+    return C.model_status(cascade, C.stage_trace(X.decided(spark, sf), "post_id"))
 
 
 @query("explanation_request", using("decided", body="select post_id, action from decided where action in ('BLOCK', 'FLAG_MEDIUM')"))

@@ -148,18 +148,23 @@ def _(spark, sf):
     return P.read_train_csv(spark, path)
 
 
-@query("audit_log", using("posts", body=f"""
+@query("audit_log", using("posts", "comments_cmd", body=f"""
 select post_id, 0 as line_no, {ts_text('created_at')} || 'Z' as "timestamp", 'INFO' as level, 'main' as module,
-  'Incoming moderation request' as message, content[1:100] as content, null::bigint as content_id, null::varchar as decision from posts
-union all select post_id, 1, {ts_text('created_at')} || 'Z', 'INFO', 'main', 'Moderation decision', null, post_id,
-  case when accepted then 'ACCEPTED' else 'REJECTED' end from posts"""))
-def _(spark, sf):
-    lines = P.audit_events(X.posts_table(spark, sf))
+  'Incoming moderation request' as message, content[1:100] as content, case when post_id % 3 = 0 then 'note ' || post_id end as comments,
+  null::bigint as content_id, null::varchar as decision from posts
+union all select post_id, 1, {ts_text('created_at')} || 'Z', 'INFO', 'main', 'Moderation decision', null, null, post_id,
+  case when accepted then 'ACCEPTED' else 'REJECTED' end from posts
+union all select post_id, 2, {ts_text('ts')} || 'Z', 'INFO', 'main', 'Comments updated', null, comments, post_id, null from comments_cmd
+where length(comments) <= 500"""))
+def _(spark, sf):
+    asked = X.posts_table(spark, sf).withColumn("comments", F.when(F.col("post_id") % 3 == 0, F.concat(F.lit("note "), F.col("post_id").cast("string"))))
+    saved = X.comments(spark, sf).filter(F.length("comments") <= K.COMMENT_MAX_CHARS)
+    lines = P.audit_events(asked).unionByName(P.audit_comments(saved).withColumn("line_no", F.lit(2)))
     path = scratch_path(spark, "audit")
     lines.select(F.to_json(F.struct("post_id", "line_no", "line")).alias("value")).write.text(path)
     back = spark.read.schema("post_id bigint, line_no int, line string").json(path)
     parsed = F.from_json("line", "timestamp string, level string, module string, message string, content string, "
-                                 "content_id bigint, decision string")
+                                 "comments string, content_id bigint, decision string")
     return back.select("post_id", "line_no", parsed.alias("l")).select("post_id", "line_no", "l.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
-from modsieve.functions.text import copy_key, is_blank, iso_time
+from modsieve.functions.text import is_blank, iso_time
 from modsieve.operators.ranking import ranked
 
 CSV_CELLS = {
@@ -63,17 +63,19 @@ def skip_empty(posts: DataFrame, content: str = "content") -> DataFrame:
 
 def assign_post_id(posts: DataFrame, id_column: str | None = None, order: str | None = None,
                    content: str = "content") -> DataFrame:
-    """Append ``post_id``: the id column as text, else ``post_<n>`` by source position, else a digest.
+    """Append ``post_id``: the id column as text, else ``post_<n>`` by source position, else by the order of contents.
 
-    Positions are counted without a global single-task sort.
+    Every row gets an id of its own: rows of one position, or of one content, are numbered one after the other, and
+    null positions come first.  Positions are counted without a global single-task sort.
     """
     if id_column:
         return posts.withColumn("post_id", F.col(id_column).cast("string"))
     if order:
-        numbered = ranked(posts.select(order), order, name="_n").select(
-            order, F.concat(F.lit("post_"), F.col("_n").cast("string")).alias("post_id"))
-        return posts.join(numbered, order)
-    return posts.withColumn("post_id", F.concat(F.lit("post_"), copy_key(F.col(content))))
+        return ranked(posts, order, name="_n").withColumn("post_id", F.concat(F.lit("post_"), F.col("_n").cast("string"))).drop("_n")
+    # copies of one content share its digest and differ by their number among the copies
+    marked = posts.withColumn("_key", F.sha2(F.coalesce(content, F.lit("")), 256)).withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+    numbered = ranked(marked, "_tie", ["_key"], name="_n")
+    return numbered.withColumn("post_id", F.concat(F.lit("post_"), "_key", F.lit("_"), F.col("_n").cast("string"))).drop("_key", "_tie", "_n")
 
 
 def load_bulk(posts: DataFrame, content: str = "content", id_column: str | None = None,
@@ -174,7 +176,7 @@ def audit_events(posts: DataFrame, module: str = "main") -> DataFrame:
     when = F.concat(iso_time(F.col("created_at")), F.lit("Z"))
     head = [when.alias("timestamp"), F.lit("INFO").alias("level"), F.lit(module).alias("module")]
     asked = F.to_json(F.struct(*head, F.lit("Incoming moderation request").alias("message"),
-                               F.substring("content", 1, 100).alias("content")))
+                               F.substring("content", 1, 100).alias("content"), F.col("comments").alias("comments")))
     told = F.to_json(F.struct(*head, F.lit("Moderation decision").alias("message"),
                               F.col("post_id").alias("content_id"),
                               F.when(F.col("accepted"), "ACCEPTED").otherwise("REJECTED").alias("decision"),
@@ -182,6 +184,15 @@ def audit_events(posts: DataFrame, module: str = "main") -> DataFrame:
     return posts.select("post_id", F.posexplode(F.array(asked, told)).alias("line_no", "line"))
 
 
+def audit_comments(comments: DataFrame, module: str = "main") -> DataFrame:
+    """Log lines of comments that were saved."""
+    when = F.concat(iso_time(F.col("ts")), F.lit("Z"))
+    line = F.to_json(F.struct(
+        when.alias("timestamp"), F.lit("INFO").alias("level"), F.lit(module).alias("module"),
+        F.lit("Comments updated").alias("message"), F.col("post_id").alias("content_id"), F.col("comments").alias("comments")))
+    return comments.select("post_id", line.alias("line"))
+
+
 def audit_commands(overrides: DataFrame, module: str = "main") -> DataFrame:
     """Log lines of manual overrides joined to the label before them."""
     when = F.concat(iso_time(F.col("ts")), F.lit("Z"))

@@ -106,16 +106,30 @@ def test_exact_quantiles_like_numpy(spark, kind):
 def test_row_numbers_with_a_hot_group(spark):
     rows = [(i, "hot" if i % 3 else f"g{i % 50}", (i * 48271) % 10007) for i in range(6000)]
     df = spark.createDataFrame(rows, "id long, g string, o long")
-    got = {r.id: r.row_number for r in ranked(df, "o", ["g"], "id", buckets=64).collect()}
+    got = {r.id: r.row_number for r in ranked(df, "o", ["g"], "id").collect()}
     place, want = {}, {}
     for i, g, o in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         place[g] = want[i] = place.get(g, 0) + 1
     assert got == want
-    everything = {r.id: r.n for r in ranked(df, "o", tie="id", name="n", buckets=64).collect()}
+    everything = {r.id: r.n for r in ranked(df, "o", tie="id", name="n").collect()}
     assert [i for i, _ in sorted(everything.items(), key=lambda p: p[1])] == [i for i, _, o in sorted(rows, key=lambda r: (r[2], r[0]))]
     assert sorted(everything.values()) == list(range(1, 6001))
 
 
+def test_row_numbers_with_outliers_nulls_and_repeats(spark):
+    values = [None, None, -1e300, 5.0, 5.0, 5.0, *[k / 1e6 for k in range(3_000)], 1e300]
+    rows = [(k, v, None if k % 3 else "g") for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id long, v double, g string")
+    got = ranked(df, "v", tie="id").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert [r.id for r in sorted(got, key=lambda r: r.row_number)] == [r[0] for r in want]
+    assert [r.row_number for r in sorted(got, key=lambda r: r.row_number)] == list(range(1, len(values) + 1))
+    grouped = ranked(df, "v", ["g"]).collect()
+    for name in (None, "g"):
+        numbers = sorted(r.row_number for r in grouped if r.g == name)
+        assert numbers == list(range(1, sum(r[2] == name for r in rows) + 1))
+
+
 def test_filters_and_expansion_keep_all_rows(spark):
     from modsieve.operators.rows import expand, filter_once
 

@@ -10,7 +10,7 @@ from modsieve.operators import training as T
 from modsieve.plans import fixtures
 
 T0 = datetime.datetime(2024, 1, 1)
-POSTS = "post_id long, accepted boolean, action string, override string, comments string, reason string"
+POSTS = "post_id long, accepted boolean, action string, override string, comments string, reason string, decision string"
 
 
 def at(minutes):
@@ -18,7 +18,8 @@ def at(minutes):
 
 
 def test_last_override_wins_and_can_be_taken_back(spark):
-    posts = spark.createDataFrame([(i, True, "PASS", "No", None, "r") for i in range(5)] + [(5, False, "FLAG_MEDIUM", "No", None, "r")], POSTS)
+    posts = spark.createDataFrame([(i, True, "PASS", "No", None, "r", "ACCEPT") for i in range(5)]
+                                  + [(5, False, "FLAG_MEDIUM", "No", None, "r", "ESCALATE")], POSTS)
     commands = spark.createDataFrame([
         (0, "Rejected", at(1), 1), (0, "Flagged", at(2), 2),
         (1, "Rejected", at(1), 3), (1, "Accepted", at(1), 4),   # same time: higher seq; back to the original
@@ -30,10 +31,20 @@ def test_last_override_wins_and_can_be_taken_back(spark):
                    3: ("No", True, "PASS"), 4: ("No", True, "PASS"), 5: ("No", False, "FLAG_MEDIUM")}
     assert [r.post_id for r in V.not_found(commands, posts).collect()] == [9]
     assert [r.seq for r in V.override_rejects(commands).collect()] == [5]
+    # an override of an overridden row is judged by the engine's decision; null values are rejects
+    again = spark.createDataFrame([(0, "Accepted", at(5), 10), (2, "Flagged", at(5), 11), (3, None, at(5), 12)], "post_id long, override_value string, ts timestamp, seq long")
+    stored = V.override_apply(posts, commands)
+    got = {r.post_id: (r.override, r.accepted, r.action) for r in V.override_apply(stored, again).collect()}
+    assert got[0] == ("No", True, "PASS") and got[2] == ("Yes", False, "FLAG_MEDIUM") and got[3] == ("No", True, "PASS") and got[1] == ("No", True, "PASS")
+    assert [r.seq for r in V.override_rejects(again).collect()] == [12]
+    with pytest.raises(ValueError):
+        V.override_apply(posts.drop("decision"), commands)
+    fresh = V.restore_decision(posts.drop("decision"), posts.select("post_id", "decision"))
+    assert V.override_apply(fresh, commands).count() == 6
 
 
 def test_comments_replace_and_long_ones_are_rejected(spark):
-    posts = spark.createDataFrame([(i, True, "PASS", "No", "old", "r") for i in range(3)], POSTS)
+    posts = spark.createDataFrame([(i, True, "PASS", "No", "old", "r", "ACCEPT") for i in range(3)], POSTS)
     commands = spark.createDataFrame([(0, "a", at(1), 1), (0, "b", at(2), 2), (1, "x" * 501, at(3), 3), (1, "y" * 500, at(1), 4)],
                                      "post_id long, comments string, ts timestamp, seq long")
     got = {r.post_id: r.comments for r in V.comments_apply(posts, commands).collect()}

@@ -32,6 +32,14 @@ def test_bulk_ids(spark):
     assert all(r.post_id.startswith("post_") for r in P.load_bulk(df).collect())
 
 
+def test_every_row_gets_its_own_id(spark):
+    df = spark.createDataFrame([("Hello!", 1.0), ("hello", 1.0), ("!!!", None), ("???", 1e300), ("Hello!", -5.0), ("Hello!", None)], "content string, n double")
+    by_text = [r.post_id for r in P.assign_post_id(df).collect()]
+    assert len(set(by_text)) == 6 and all(i.startswith("post_") for i in by_text)
+    by_place = {r.post_id: r.n for r in P.assign_post_id(df, order="n").collect()}
+    assert [by_place[f"post_{k}"] for k in range(1, 7)] == [None, None, -5.0, 1.0, 1.0, 1e300]
+
+
 def test_keyword_files(spark, tmp_path):
     listed = spark.createDataFrame([(2, "Double Money"), (0, "***"), (1, "fraud")], "kw_idx int, keyword string")
     path = str(tmp_path / "deep" / "words")
@@ -54,7 +62,7 @@ def test_contract(spark):
 
 def test_audit_lines_cut_content(spark):
     df = spark.createDataFrame([(1, "x" * 150, True, 0.5, T0)], "post_id int, content string, accepted boolean, processing_time double, created_at timestamp")
-    asked, told = [json.loads(r.line) for r in P.audit_events(df).orderBy("line_no").collect()]
+    asked, told = [json.loads(r.line) for r in P.audit_events(df.withColumn('comments', F.lit('c'))).orderBy("line_no").collect()]
     assert len(asked["content"]) == 100 and told["decision"] == "ACCEPTED" and asked["timestamp"] == "2024-01-01T00:00:00.000000Z"
 
 
