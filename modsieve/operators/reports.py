@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modsieve import constants as K
 from modsieve.functions import labels as L
@@ -228,6 +229,23 @@ def analysis_report(rows: DataFrame) -> DataFrame:
     )
 
 
+def report_rows(report: DataFrame) -> DataFrame:
+    """A one-row report as ``section, key, metric, value``: what the JSON document holds, one number a row."""
+    def entry(section: str, key: Column, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    def entries_of(name: str, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StructType):
+            return F.array(*[entry(name, F.lit(""), n, F.col(name)[n]) for n in kind.names])
+        pairs = F.map_entries(name)
+        if isinstance(kind.valueType, T.StructType):
+            return F.flatten(F.transform(pairs, lambda e: F.array(*[entry(name, e["key"], n, e["value"][n]) for n in kind.valueType.names])))
+        return F.transform(pairs, lambda e: entry(name, e["key"], "posts", e["value"]))
+
+    entries = [entries_of(field.name, field.dataType) for field in report.schema]
+    return report.select(F.explode(F.concat(*entries)).alias("e")).select("e.*").filter("value is not null")
+
+
 def benchmark_report(rows: DataFrame) -> DataFrame:
     """The labelled-run report: summary, latency, escalation and accuracy in one row."""
 

@@ -252,11 +252,54 @@ def _(spark, sf):
     return R.top_bands(X.analysis_rows(spark, sf))
 
 
-@query("analysis_report")
+def _long(section: str, wide: str, key: str = "''") -> str:
+    """The columns of a SQL result, but for the key, as rows of a report."""
+    own = "*" if key == "''" else f"* exclude ({key})"
+    source = f"(select {key} as _key, columns({own})::double from ({wide}))"
+    return f"""select '{section}' as section, _key as key, metric, round(value, 9) as value
+from (unpivot {source} on columns(* exclude (_key)) into name metric value value)"""
+
+
+def _counts(section: str, column: str, where: str = "true") -> str:
+    return f"select '{section}', {column}, 'posts', count(*)::double from analysed where {where} group by {column}"
+
+
+ANALYSIS_REPORT = " union all ".join([
+    _long("performance", """select count(*) as total_posts, count(*) filter (error is null) as successful_analyses,
+      count(*) filter (error is not null) as failed_analyses, count(*) filter (error is null) * 100.0::double / count(*) as success_rate,
+      avg(processing_time) as avg_processing_time, min(processing_time) as min_processing_time, max(processing_time) as max_processing_time,
+      stddev_samp(processing_time) as std_processing_time, sum(processing_time) as total_processing_time,
+      count(*) filter (error is null) / sum(processing_time) as throughput from analysed"""),
+    _long("escalation", """select count(*) filter (escalated) as escalations,
+      count(*) filter (escalated) * 100.0::double / count(*) filter (error is null) as escalation_rate from analysed"""),
+    _counts("escalations_by_stage", "stage", "escalated"), _counts("band_distribution", "band"),
+    _counts("model_decisions", "decision_model"), _counts("stage_distribution", "stage"),
+    _long("confidence_stats", """select count(confidence) as count, avg(confidence) as mean, stddev_samp(confidence) as std, min(confidence) as min,
+      quantile_cont(confidence, 0.25) as p25, quantile_cont(confidence, 0.5) as p50, quantile_cont(confidence, 0.75) as p75,
+      max(confidence) as max from analysed"""),
+])
+
+BENCHMARK_REPORT = " union all ".join([
+    _long("summary", """select count(*) as total_tests, count(*) filter (error is null) as successful_tests,
+      count(*) filter (error is not null) as failed_tests, count(*) filter (error is null) * 100.0::double / count(*) as success_rate from gold_rows"""),
+    _long("overall_latency", """select avg(processing_time) as avg_latency, min(processing_time) as min_latency, max(processing_time) as max_latency,
+      count(*) as total_requests from gold_rows"""),
+    _long("latency_by_category", """select category, count(*) as count, avg(processing_time) as avg_latency, min(processing_time) as min_latency,
+      max(processing_time) as max_latency, coalesce(stddev_samp(processing_time), 0) as std_dev from gold_rows where error is null group by category""", "category"),
+    _long("escalation", """select '(all)' as category, count(*) filter (escalated) as escalations,
+      count(*) filter (escalated) * 100.0::double / count(*) filter (error is null) as escalation_rate from gold_rows
+      union all select category, count(*), null from gold_rows where escalated group by category""", "category"),
+    _long("accuracy", """select category, count(*) filter (ok) * 100.0::double / count(*) as accuracy, count(*) as total_tests,
+      count(*) filter (ok) as correct_decisions from (
+        select category, accepted <> (category in ('spam', 'fraud', 'profane')) as ok from gold_rows where error is null) group by category""", "category"),
+])
+
+
+@query("analysis_report", using("analysed", body=ANALYSIS_REPORT))
 def _(spark, sf):
-    return R.analysis_report(materialize(X.analysis_rows(spark, sf), "analysis"))
+    return rounded(R.report_rows(R.analysis_report(materialize(X.analysis_rows(spark, sf), "analysis"))), "value", digits=9)
 
 
-@query("benchmark_report")
+@query("benchmark_report", using("gold_rows", body=BENCHMARK_REPORT))
 def _(spark, sf):
-    return R.benchmark_report(materialize(X.gold_rows(spark, sf), "benchmark"))
+    return rounded(R.report_rows(R.benchmark_report(materialize(X.gold_rows(spark, sf), "benchmark"))), "value", digits=9)

@@ -170,7 +170,10 @@ def _(spark, sf):
                          notes["sentiment_confidence"].try_cast("double").alias("sentiment_confidence"))
 
 
-@query("llm_prompt")
+@query("llm_prompt", using("planted", "trace", extra={"seen": """
+select post_id, string_agg(stage || ': ' || reason, chr(10) order by position) as said from trace where position <= 4 group by post_id"""}, body="""
+select post_id, 'Decide whether this post is financial fraud.' || chr(10) || 'Post: ' || content || chr(10) || 'Earlier findings:' || chr(10) || said
+  || chr(10) || 'Harmless talk about money is fine. Answer with one word, FRAUD or CLEAN.' as prompt from planted join seen using (post_id)"""))
 def _(spark, sf):
     run = X.decided(spark, sf, keep_content=True)
     return run.select("post_id", S.verdict_prompt(F.col("content"), F.slice("trace", 1, 4)).alias("prompt"))
@@ -244,8 +247,8 @@ def _(spark, sf):
 
 
 @query("model_status", using("trace", body="""
-select stage_number, s.stage, count(t.post_id) as posts, (select count(*) from stages) as pipeline_stages
-from stages s left join trace t using (stage) group by 1, 2""", extra={"stages": "select * from (values "
+select stage_number, s.stage, count(t.post_id) as posts, (select count(*) from registered) as pipeline_stages
+from registered s left join trace t using (stage) group by 1, 2""", extra={"registered": "select * from (values "
     + ", ".join(f"({k}, '{n}')" for k, n in enumerate([*X.default_cascade().names(), "Stage6_Custom"], start=1)) + ") v(stage_number, stage)"}))
 def _(spark, sf):
     # one registered stage more than any post reaches: it is reported all the same
