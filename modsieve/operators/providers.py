@@ -10,6 +10,7 @@ Three kinds of provider, all ``DataFrame -> DataFrame`` adding one column:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,16 +50,27 @@ def scorecard(weights: dict[str, list[float]], intercept: list[float]) -> Column
     return F.array(*[r / total for r in raised])
 
 
+#: Models of this worker process, by scorer.
+MODELS: dict[str, Callable] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable]) -> Callable:
+    if name not in MODELS:
+        MODELS[name] = load()
+    return MODELS[name]
+
+
 def batch_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], schema: str) -> Callable[[Column], Column]:
     """Wrap a Python model as a column function.
 
-    ``load`` runs once per Python worker and returns a function from a series of texts to a frame
+    ``load`` runs once per Python worker process and returns a function from a series of texts to a frame
     with the fields of ``schema``.  Null texts never reach the model and come back as nulls.
     """
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(schema)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = loaded(name, load)
         for texts in batches:
             asked = texts[texts.notna()]
             answers = model(asked) if len(asked) else None

@@ -12,15 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
-from modsieve.operators.cascade import Cascade, TIME_COLUMNS, analysis_columns, decision_columns, stage_timings
+from modsieve.operators import moderate
+from modsieve.operators.cascade import TIME_COLUMNS, analysis_columns, decision_columns, stage_timings
 from modsieve.operators.explanations import parse_explanation
 from modsieve.operators.features import pattern_features
 from modsieve.operators.lexicon import Lexicon
-from modsieve.operators.providers import score_table, scorecard
+from modsieve.operators.providers import scorecard
 from modsieve.operators.ranking import scattered
-from modsieve.operators.stages import (
-    classifier_stage, rules_stage, sentiment_stage, toxicity_stage, verdict_stage,
-)
 from modsieve.functions import text as T
 from modsieve.functions.labels import needs_explanation
 from modsieve.session import read_table, spread
@@ -134,33 +132,9 @@ def text_scores(posts: DataFrame) -> DataFrame:
     }).select(*own, "class_probs", "sentiment", "verdict_response")
 
 
-def default_cascade(lexicon: Lexicon | None = None) -> Cascade:
-    return Cascade([rules_stage(lexicon), classifier_stage(), toxicity_stage(), sentiment_stage(), verdict_stage()])
-
-
-def decide(posts: DataFrame, toxicity: DataFrame, keep_content: bool = False, cascade: Cascade | None = None) -> DataFrame:
-    """Posts with ``trace``, ``outcome`` and ``n_executed``.
-
-    Everything that reads the text is computed before the score join, in a single projection; without
-    ``keep_content`` the text is gone when the join shuffles.
-    """
-    rules = rules_stage()
-    scored = text_scores(rules.prepare(posts))
-    ready = scored.withColumn("rules", rules.decide(scored, []))
-    if not keep_content:
-        ready = ready.drop("content")
-    ready = score_table(ready.drop("_keyword"), toxicity, "toxicity")
-    run = (cascade or Cascade([precomputed("rules", K.STAGE_RULES), classifier_stage(), toxicity_stage(),
-                               sentiment_stage(), verdict_stage()])).run(ready)
-    keep = ["post_id", *(["content"] if keep_content else [])]
-    return run.select(*keep, "n_executed", "trace", "outcome")
-
-
-def precomputed(column: str, name: str):
-    """A stage whose result is already a column."""
-    from modsieve.operators.stages import Stage
-
-    return Stage(name, lambda posts, earlier: F.col(column))
+def decide(posts: DataFrame, toxicity: DataFrame, keep_content: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """The library's flow with the stand-in providers."""
+    return moderate.decide(posts, toxicity, lexicon, text_scores, keep_content)
 
 
 def decided(spark: SparkSession, sf_dir: str, keep_content: bool = False) -> DataFrame:

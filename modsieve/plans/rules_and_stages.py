@@ -9,14 +9,15 @@ from modsieve.functions import labels as L
 from modsieve.functions import patterns as P
 from modsieve.functions import text as T
 from modsieve.operators import cascade as C
+from modsieve.operators import moderate
 from modsieve.operators import stages as S
-from modsieve.operators.explanations import explanation_requests, parse_explanation
+from modsieve.operators.explanations import parse_explanation
 from modsieve.operators.lexicon import Lexicon, first_hit_per_post, first_hits, fuzzy_match, lexicon_hits
 from modsieve.operators.providers import score_table
 from modsieve.operators.rows import expand_with_position, filter_once
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
-from modsieve.plans.sqlviews import ADDRESS, NWS, fuzzy, squash, using
+from modsieve.plans.sqlviews import ADDRESS, ESCALATED, MODEL_SQL, NWS, fuzzy, squash, ts_text, using
 from modsieve.session import read_table, spread
 
 RESULT = ["decision", "reason", "confidence", "threat_level"]
@@ -249,18 +250,36 @@ def _(spark, sf):
 @query("model_status", using("trace", body="""
 select stage_number, s.stage, count(t.post_id) as posts, (select count(*) from registered) as pipeline_stages
 from registered s left join trace t using (stage) group by 1, 2""", extra={"registered": "select * from (values "
-    + ", ".join(f"({k}, '{n}')" for k, n in enumerate([*X.default_cascade().names(), "Stage6_Custom"], start=1)) + ") v(stage_number, stage)"}))
+    + ", ".join(f"({k}, '{n}')" for k, n in enumerate([*moderate.default_cascade().names(), "Stage6_Custom"], start=1)) + ") v(stage_number, stage)"}))
 def _(spark, sf):
     # one registered stage more than any post reaches: it is reported all the same
-    cascade = X.default_cascade().register(S.Stage("Stage6_Custom", lambda posts, earlier: F.lit(None)))
+    cascade = moderate.default_cascade().register(S.Stage("Stage6_Custom", lambda posts, earlier: F.lit(None)))
     return C.model_status(cascade, C.stage_trace(X.decided(spark, sf), "post_id"))
 
 
-@query("explanation_request", using("decided", body="select post_id, action from decided where action in ('BLOCK', 'FLAG_MEDIUM')"))
+@query("explanation_request", using("decided", "planted", body="""
+select post_id, action, 'A post was held back.' || chr(10) || 'Post:' || chr(10) || content || chr(10)
+  || 'Say in one or two plain sentences what is wrong with it, list the words that cause it and offer a friendlier wording.'
+  || ' Answer with JSON only, fields explanation, troublesome_words, suggestion.' as prompt
+from decided join planted using (post_id) where action in ('BLOCK', 'FLAG_MEDIUM')"""))
 def _(spark, sf):
-    rows = C.decision_columns(X.decided(spark, sf, keep_content=True), "post_id", "content")
-    asked = explanation_requests(rows)
-    return asked.filter(F.length("prompt") > 0).select("post_id", "action")
+    return moderate.explanation_requests(X.planted(spark, sf), X.decided(spark, sf))
+
+
+@query("analysis_record", using("posts", body=f"""
+select post_id, case when length(content) > 200 then content[1:200] || '...' else content end as content, content as full_content,
+  {ts_text('created_at')} as timestamp, round(processing_time, 6) as processing_time,
+  case when error is not null then 'Error' when band = 'SAFE' then 'Safe' else 'Unknown' end as final_status,
+  case when error is null then band else 'ERROR' end as band, case when error is null then action else 'ERROR' end as action,
+  case when error is null then threat_level else 'unknown' end as threat_level, round(case when error is null then confidence else 0 end, 6) as confidence,
+  case when error is null then stage else 'error' end as stage, case when error is null then {MODEL_SQL} else 'Error' end as decision_model,
+  case when error is null then reason else 'Analysis failed: ' || error end as reason, error is null and ({ESCALATED}) as escalated,
+  error is null and accepted as accepted, error, '2024-02-01T00:00:00' as analysis_timestamp
+from (select *, case when post_id % 50 = 49 then 'upstream API timeout' end as error from posts)"""))
+def _(spark, sf):
+    rows = X.posts_table(spark, sf).withColumn("error", F.when(F.col("post_id") % 50 == 49, "upstream API timeout"))
+    record = moderate.analysis_record(rows, F.lit("2024-02-01T00:00:00"))
+    return record.withColumns({c: F.round(c, 6) for c in ("processing_time", "confidence")})
 
 
 @query("explanation_parse", using("explained", body="""

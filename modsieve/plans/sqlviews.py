@@ -200,6 +200,7 @@ select *, {_SUM} from (
   from events e join decided d on e.event_id % (select count(*) from documents) = d.post_id)"""
 
 _MODEL = "case stage " + " ".join(f"when '{s}' then '{n}'" for s, n in K.STAGE_DISPLAY.items()) + " else 'Unknown' end"
+MODEL_SQL = _MODEL
 ESCALATED = ("threat_level in ('medium', 'high') or confidence < 0.7 or stage in ('detoxify', 'finbert') "
              "or action in ('FLAG_LOW', 'FLAG_MEDIUM', 'FLAG_HIGH', 'BLOCK')")
 _ROWS = f"""

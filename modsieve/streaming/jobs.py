@@ -54,6 +54,41 @@ def stream_posts_per_hour(posts: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
+def hours_with_open(closed: DataFrame, posts: DataFrame) -> DataFrame:
+    """All hours: those the stream has closed, and the open ones counted from the posts themselves.
+
+    Only posts after the last closed hour are counted, a tail of the log that the watermark bounds.
+    """
+    last = closed.select(F.max("hour")).scalar()
+    hour = F.date_trunc("hour", "created_at")
+    tail = posts.select(hour.alias("hour"), last.alias("_last")).filter(F.col("_last").isNull() | (F.col("hour") > F.col("_last")))
+    return closed.select("hour", "posts").unionByName(tail.groupBy("hour").agg(F.count("*").alias("posts")))
+
+
+def compact_overrides(spark: SparkSession, out: str) -> int:
+    """Reduce the override log to one folder with the last override per post; returns its batch number.
+
+    The reduced log is written beside the batches it replaces, under the highest number among them, and moves into its
+    place when it is complete; a reader sees each override at least once at any moment, and twice does not matter.  To be
+    run between triggers.  The cost of a read is then the overridden posts and the batches since, not all batches.
+    """
+    log = spark.read.parquet(out)
+    newest = int(log.agg(F.max("batch")).first()[0])
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(sc._jsc.hadoopConfiguration())
+    fresh = f"{out}/_compact-{newest}"
+    latest_command(log, "override_value").write.mode("overwrite").parquet(fresh)
+    old = [s.getPath() for s in fs.listStatus(path(out)) if s.getPath().getName().startswith("batch=") and int(s.getPath().getName()[6:]) <= newest]
+    target = path(f"{out}/batch={newest}")
+    fs.delete(target, True)
+    fs.rename(path(fresh), target)
+    for folder in old:
+        if folder.getName() != target.getName():
+            fs.delete(folder, True)
+    return newest
+
+
 def stream_stage_stats(posts: DataFrame, late: str = "1 hour", every: str = "1 day") -> DataFrame:
     """Running time statistics per window, stage and band, for update mode."""
     return (
@@ -101,8 +136,9 @@ def current_overrides(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_dedup(posts: DataFrame, key: str, content: str = "content", within: str = "40 days") -> DataFrame:
-    """One post per set of copies inside the watermark.
+    """One post per set of copies that arrive within ``within`` of each other; later copies are kept again.
 
+    A stream cannot remember all copies for ever; the batch operator has no such horizon.
     Two steps: copies are first thinned within a salt, so that a set holding a third of the stream
     is spread over many tasks, then the few survivors meet on the copy key alone.
     """

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.operators import cascade as C
+from modsieve.operators import moderate
 from modsieve.operators import stages as S
 from modsieve.operators.explanations import parse_explanation
 from modsieve.operators.providers import batch_scorer, masked
@@ -15,7 +16,7 @@ def run(spark, rows):
     schema = ("post_id int, content string, class_probs array<double>, toxicity struct<label:string,score:double,error:string>, "
               "sentiment struct<label:string,score:double,error:string>, verdict_response string")
     posts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
-    done = fixtures.default_cascade().run(posts)
+    done = moderate.default_cascade().run(posts)
     return [(r.outcome, r.trace) for r in done.orderBy("post_id").collect()]
 
 
@@ -90,7 +91,7 @@ def test_scorer_never_sees_blocked_posts(spark, tmp_path):
     first = rules.prepare(posts)
     first = first.withColumn("rules", rules.decide(first, []))
     scored = first.withColumn("toxicity", score(masked(F.col("content"), [F.col("rules")])))
-    got = C.Cascade([fixtures.precomputed("rules", K.STAGE_RULES), S.toxicity_stage()]).run(scored)
+    got = C.Cascade([moderate.from_column("rules", K.STAGE_RULES), S.toxicity_stage()]).run(scored)
     counts = {r.stage: r["count"] for r in got.groupBy(F.col("outcome")["stage"].alias("stage")).count().collect()}
     assert counts == {K.STAGE_RULES: 50, K.STAGE_TOXICITY: 50}
     asked = open(calls).read().split("\n")[:-1]
@@ -106,3 +107,43 @@ def test_scorer_never_sees_blocked_posts(spark, tmp_path):
 def test_explanations(spark, response, error, want):
     df = spark.createDataFrame([(response, error)], "r string, e string")
     assert tuple(df.select(parse_explanation(F.col("r"), F.col("e")).alias("a")).first().a) == want
+
+
+def test_contents_stay_out_of_the_shuffle(spark, small):
+    """Flagged-only and narrow outputs: no exchange below the decisions carries the content."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fixtures.decided(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = [line for line in plan.splitlines() if "Exchange" in line]
+    assert lines and "content" not in fixtures.decided(spark, small).columns
+    for line, below in zip(plan.splitlines(), plan.splitlines()[1:]):
+        if "Exchange hashpartitioning" in line and "Project [" in below:
+            # output names only: what a projection computes from the content stays below
+            shown = [part.split(" AS ")[-1] for part in below.split("Project [", 1)[1].split(", ")]
+            assert not any(name.startswith("content#") for name in shown)
+
+
+def test_requests_only_for_flagged_posts(spark):
+    posts = spark.createDataFrame([(1, "a scammer wrote"), (2, "fine words")], "post_id long, content string")
+    toxicity = spark.createDataFrame([], "post_id long, label string, score double, error string")
+    decided = moderate.decide(posts, toxicity, text_scores=lambda p: p.withColumn("verdict_response", F.lit("CLEAN")))
+    asked = moderate.explanation_requests(posts, decided).collect()
+    assert [r.post_id for r in asked] == [1] and "a scammer wrote" in asked[0].prompt
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    log = str(tmp_path / "loads")
+
+    def load():
+        import os
+        with open(log, "a") as out:
+            out.write(f"{os.getpid()}\n")
+        return lambda texts: pd.DataFrame({"n": texts.str.len()})
+
+    score = batch_scorer(load, "n long")
+    posts = spark.range(0, 64, 1, 16).select(F.col("id").cast("string").alias("content"))
+    assert posts.select(score("content")["n"].alias("n")).agg(F.sum("n")).first()[0] == 10 + 2 * 54
+    pids = open(log).read().split()
+    assert len(pids) == len(set(pids))

@@ -110,6 +110,27 @@ def test_stream_overrides_over_batches(spark, tmp_path):
     for post, value, ts, seq in sorted(rows, key=lambda r: (r[2], r[3])):
         want[post] = (value, seq)
     assert got == want
+    assert J.compact_overrides(spark, str(tmp_path / "s")) == 4
+    log = spark.read.parquet(str(tmp_path / "s"))
+    assert log.count() == 10 and [r.batch for r in log.select("batch").distinct().collect()] == [4]
+    assert {r.post_id: (r.override_value, r.seq) for r in J.current_overrides(spark, str(tmp_path / "s")).collect()} == want
+
+
+def test_hours_close_and_late_rows_are_dropped(spark, tmp_path):
+    def minute(n):
+        return T0 + datetime.timedelta(minutes=n)
+
+    src, schema = str(tmp_path / "in"), "post_id long, created_at timestamp"
+    batches = [[(0, minute(5)), (1, minute(50))], [(2, minute(65)), (3, minute(400))], [(4, minute(10)), (5, minute(410))]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = J.read_stream(spark, src, "*.parquet", schema, files_per_trigger=1)
+        run(J.append_sink(J.stream_posts_per_hour(stream), str(tmp_path / "out"), str(tmp_path / "c")))
+    closed = spark.read.parquet(str(tmp_path / "out"))
+    # the post at minute 10 came six hours late: its hour was closed
+    assert {(r.hour, r.posts) for r in closed.collect()} == {(T0, 2), (minute(60), 1)}
+    whole = {(r.hour, r.posts) for r in J.hours_with_open(closed, spark.read.parquet(src)).collect()}
+    assert whole == {(T0, 2), (minute(60), 1), (minute(360), 2)}
 
 
 def test_stream_dedup_with_a_hot_copy(spark, tmp_path):
