@@ -53,7 +53,7 @@ def test_comments_replace_and_long_ones_are_rejected(spark):
 
 
 def test_lookup(spark):
-    posts = spark.createDataFrame([(i, True, "PASS", "No", None, "r") for i in range(3)], POSTS)
+    posts = spark.createDataFrame([(i, True, "PASS", "No", None, "r", "ACCEPT") for i in range(3)], POSTS)
     assert V.post_by_id(posts, 2).count() == 1 and V.post_by_id(posts, 7).count() == 0
 
 
