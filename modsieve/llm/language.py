@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from modsieve.llm.carry import Carried
 from modsieve.llm.samples import labelled_sample
+from modsieve.llm.workers import held
 from modsieve.session import materialize
 
 UNDETERMINED = "und"
@@ -123,15 +124,9 @@ class Coder:
         return sums[ends] - sums[ends - sizes + order]
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder_of(trees: ContextTrees) -> Coder:
     """One coder per worker and model; the tables are built once."""
-    if trees.key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[trees.key] = Coder(trees)
-    return _CODERS[trees.key]
+    return held(("coder", trees.key), lambda: Coder(trees))
 
 
 def learn_languages(posts: DataFrame, order: int = 3, rows_per_language: int = 2_000, most_languages: int = 100, most_contexts: int = 30_000) -> ContextTrees:

@@ -28,6 +28,7 @@ from modsieve.llm import crf
 from modsieve.llm.carry import Carried
 from modsieve.llm.samples import labelled_sample
 from modsieve.llm.vocabulary import Bounded
+from modsieve.llm.workers import held
 from modsieve.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,14 +126,8 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(tagger: Tagger) -> Scorer:
-    if tagger.key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[tagger.key] = Scorer(tagger)
-    return _SCORERS[tagger.key]
+    return held(("scorer", tagger.key), lambda: Scorer(tagger))
 
 
 def _sign_counts(sample: DataFrame) -> DataFrame:

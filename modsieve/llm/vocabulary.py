@@ -7,13 +7,14 @@ normalised and split by the library, blank-separated chunk by chunk.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
 
 import numpy as np
 
+from modsieve.llm.workers import held
+
 #: The white space of the vocabulary's own patterns.
 BLANKS = "\t\n\v\f\r \u0085  " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 BLANK = re.escape(BLANKS)
@@ -63,7 +64,7 @@ class Bounded(dict):
 class Vocabulary:
     """One vocabulary file, opened once per worker by :func:`open_vocabulary`."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -256,6 +257,5 @@ class Vocabulary:
         return np.frombuffer(self.ids(text), "<u4")
 
 
-@functools.lru_cache(maxsize=2)
 def open_vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return held(("vocabulary", path), lambda: Vocabulary(path))
