@@ -27,6 +27,8 @@ NAVIGATION = r"(^|[\x20\x09-\x0D])([|»›>•·/\\]|::|->|=>)([\x20\x09-\x0D]|$
 
 #: A line with at least this many separators per hundred words is navigation.
 NAVIGATION_PERCENT = 20
+#: A line with more than this many symbols per hundred characters has no prose punctuation.
+SYMBOL_PERCENT = 10
 #: A window position takes this many bits beside a shortened hash; longer texts compare whole windows.
 PLACE_BITS = 24
 
@@ -83,14 +85,15 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line is boilerplate, navigation, or without the punctuation of prose."""
+    """Whether a line is boilerplate, navigation, or without the punctuation of prose: no sentence mark, or littered with symbols."""
     lower = F.lower(line)
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
     n_words = F.regexp_count(line, F.lit(WORD))
     navigation = F.regexp_count(line, F.lit(NAVIGATION)) * 100 >= n_words * NAVIGATION_PERCENT
-    return boilerplate | navigation | ~line.rlike(SENTENCE_END)
+    symbols = (F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))) * 100 > F.length(line) * SYMBOL_PERCENT
+    return boilerplate | navigation | symbols | ~line.rlike(SENTENCE_END)
 
 
 def clean_lines(posts: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_loss_percent: int = 50) -> DataFrame:

@@ -17,6 +17,7 @@ def quality_rules() -> str:
     judged as (
       select rid, l.line, len(regexp_replace(l.line, '{blank}+', '', 'g')) as chars,
         ({phrases}) or len(regexp_extract_all(line, '{navigation}')) * 100 >= len(regexp_extract_all(line, '{word}')) * {quality.NAVIGATION_PERCENT}
+        or len(regexp_extract_all(line, '{quality.SYMBOL}')) * 100 > len(line) * {quality.SYMBOL_PERCENT}
         or not regexp_matches(line, '{quality.SENTENCE_END.replace("'", "''")}') as failed
       from split, unnest(lines) as l(line)),
     lost as (select rid, sum(case when failed then chars else 0 end) as n_lost_chars from judged group by rid),

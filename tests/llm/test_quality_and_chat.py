@@ -32,10 +32,11 @@ def test_lines(spark):
     body = "\n".join("Line " + " ".join(f"word{k}{j}" for j in range(10)) + " ends." for k in range(8))
     cases = [
         (1, body), (2, f"{body}\nAll rights reserved.\nHome | News | Sport | Contact"), (3, "\n".join(["Home | News | Sport | Contact us | More"] * 12)),
+        (5, "\n".join("Line " + " ".join(f"word{k}{j}%%%" for j in range(10)) + " ends." for k in range(8))),
         (4, "\n".join(f"no sentence mark in line {k} of this list here" for k in range(12))),
     ]
     rows = {r["post_id"]: r for r in quality.clean_lines(spark.createDataFrame(cases, "post_id long, content string")).collect()}
-    assert [rows[k]["kept"] for k in (1, 2, 3, 4)] == [True, True, False, False]
+    assert [rows[k]["kept"] for k in (1, 2, 3, 4, 5)] == [True, True, False, False, False]
     assert rows[2]["cleaned"] == body and rows[1]["n_lost_chars"] == 0 and rows[4]["n_lost_chars"] == rows[4]["word_chars"]
 
 
