@@ -10,7 +10,7 @@ from modsieve.operators.providers import score_join
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
 from modsieve.plans.sqlviews import ts_text, using
-from modsieve.session import read_table
+from modsieve.session import read_table, scratch_path
 
 LATEST = """
 select post_id, override_value, ts, seq from (
@@ -140,6 +140,16 @@ def _(spark, sf):
     return rows.select("post_id", iso_time(F.col("created_at")).alias("created_at"), "action")
 
 
+@query("post_lookup", using("decided", body="""
+select post_id, action, reason from decided where post_id = (select count(*) from documents) // 2"""))
+def _(spark, sf):
+    # stored in the order of ids, as a lookup wants it: the equality prunes all other row groups
+    path = scratch_path(spark, "posts-by-id")
+    rows = X.decisions(spark, sf).select("post_id", "action", "reason")
+    rows.repartitionByRange("post_id").sortWithinPartitions("post_id").write.parquet(path)
+    return V.post_by_id(spark.read.parquet(path), read_table(spark, sf, "documents").count() // 2)
+
+
 @query("post_by_id", using("decided", body="""
 select e.event_id as request_id, d.post_id, d.action, d.reason from events e join decided d
   on d.post_id = e.event_id % ((select count(*) from documents) + 50)"""))

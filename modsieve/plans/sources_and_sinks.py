@@ -192,14 +192,18 @@ def _(spark, sf):
     return P.schema_contract(posts)
 
 
+EXPECTED_FIELDS = ["k", "page", "referrer"]
+
+
 @query("column_diff", f"""
 select case when e is null then a else e end as column_name, case when a is null then 'missing' else 'extra' end as status
-from (select distinct event_type as a from events) full join (select unnest(['click', 'view', 'refund', 'share']) as e) on a = e
+from (select distinct unnest(json_keys(props)) as a from events) full join (select unnest({EXPECTED_FIELDS}) as e) on a = e
 where a is null or e is null""")
 def _(spark, sf):
-    # set difference both ways: names seen in the table against an expected list
-    seen = read_table(spark, sf, "events").select(F.col("event_type").alias("column_name")).distinct()
-    wanted = spark.createDataFrame([(n,) for n in ("click", "view", "refund", "share")], "column_name string")
+    # the columns that the JSON of all events would have, against an expected list
+    keys = F.explode(F.json_object_keys("props"))
+    seen = read_table(spark, sf, "events").select(keys.alias("column_name")).distinct()
+    wanted = spark.createDataFrame([(n,) for n in EXPECTED_FIELDS], "column_name string")
     return P.column_diff(seen, wanted)
 
 
