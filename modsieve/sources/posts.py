@@ -94,10 +94,14 @@ def posts_append(rows: DataFrame, path: str) -> None:
     dated.hint("rebalance", "created_date").write.mode("append").partitionBy("created_date").parquet(path)
 
 
+def relational_rows(rows: DataFrame) -> DataFrame:
+    """Posts as a relational table takes them: lists as JSON text, times as DECIMAL(10,3)."""
+    return ddl_view(rows.withColumn("llm_troublesome_words", F.to_json("llm_troublesome_words")))
+
+
 def posts_append_jdbc(rows: DataFrame, url: str, table: str, properties: dict[str, str]) -> None:
-    """Append to a relational posts table: lists become JSON text, as that schema has it."""
-    flat = rows.withColumn("llm_troublesome_words", F.to_json("llm_troublesome_words"))
-    flat.write.mode("append").jdbc(url, table, properties=properties)
+    """Append to a relational posts table."""
+    relational_rows(rows).write.mode("append").jdbc(url, table, properties=properties)
 
 
 def posts_legacy_load(raw: DataFrame) -> DataFrame:

@@ -53,6 +53,15 @@ def test_keyword_files(spark, tmp_path):
     assert [r.keyword for r in bad.orderBy("kw_idx").collect()] == K.DEFAULT_FILE_KEYWORDS
 
 
+def test_rows_for_a_relational_table(spark):
+    times = ["processing_time", *K.STAGE_TIME_COLUMN.values()]
+    df = spark.range(1).select(F.array(F.lit("act now"), F.lit('a "b"')).alias("llm_troublesome_words"), *[F.lit(0.12345).alias(c) for c in times])
+    flat = P.relational_rows(df)
+    assert {flat.schema[c].dataType.simpleString() for c in times} == {"decimal(10,3)"}
+    row = flat.first()
+    assert json.loads(row.llm_troublesome_words) == ["act now", 'a "b"'] and str(row.processing_time) == "0.123"
+
+
 def test_contract(spark):
     df = spark.createDataFrame([(1, "x", None)], "id int, content string, shade string")
     got = {r.column_name: (r.status, r.filled) for r in P.schema_contract(df, ["id", "content", "stage"]).collect()}
