@@ -77,9 +77,10 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     entry can hold more: there are no hot entries, whatever the data.  Inside an entry each match is linked to the next
     one, after the complete distance is verified; all matches of an entry stay connected.
     """
-    # 65 times as many rows come out as go in: the few bytes that go in are dealt out again first
+    # 65 times as many rows come out as go in: the few bytes that go in are dealt out again first, by a key of their own,
+    # since a deal by the fingerprint would be merged with the one before and its small parts put together
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = prints.repartition(tasks, "fingerprint").select("fingerprint", F.explode(segment_balls(F.col("fingerprint"))).alias("entry"))
+    table = prints.repartition(tasks, F.xxhash64("fingerprint")).select("fingerprint", F.explode(segment_balls(F.col("fingerprint"))).alias("entry"))
     entries = table.groupBy("entry").agg(F.sort_array(F.collect_list("fingerprint")).alias("matches")).filter(F.size("matches") > 1)
     pairs = entries.select(F.explode(F.arrays_zip(
         F.expr("slice(matches, 2, size(matches) - 1)").alias("a"), F.expr("slice(matches, 1, size(matches) - 1)").alias("b"))).alias("pair"))
