@@ -247,9 +247,9 @@ class Vocabulary:
                     parts.append(np.array([base], np.int32))
             out = np.concatenate(parts)
         self.piece_counts.trim()
-        if len(self._known) > self._memo:
+        if len(self._known) > 2 * self._memo:
             self._known.clear()
-        if len(self._fits) > self._memo:
+        if len(self._fits) > 2 * self._memo:
             self._fits.clear()
         return out
 
