@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from modsieve.llm.carry import Carried
 from modsieve.llm.components import connected_components
+from modsieve.llm.order import with_row_ids
 from modsieve.session import materialize
 
 BITS = 64
@@ -44,8 +45,8 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(posts: DataFrame, words: int = 3) -> DataFrame:
-    """``post_id`` and ``fingerprint`` (its 64 bits as a signed long) of every whole content, A-Z in lower case."""
+def fingerprints(posts: DataFrame, words: int = 3, *keep: str) -> DataFrame:
+    """``post_id``, ``fingerprint`` (its 64 bits as a signed long) of every whole content, A-Z in lower case, and the columns ``keep``."""
 
     @F.pandas_udf("long")
     def of(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -53,7 +54,7 @@ def fingerprints(posts: DataFrame, words: int = 3) -> DataFrame:
             values = np.array([0 if t is None else fingerprint(t, words) for t in content], np.uint64)
             yield pd.Series(values.view(np.int64))
 
-    return posts.select(F.col("post_id").alias("post_id"), of(F.col("content").cast("string")).alias("fingerprint"))
+    return posts.select(F.col("post_id").alias("post_id"), of(F.col("content").cast("string")).alias("fingerprint"), *keep)
 
 
 def segment_balls(value: Column, segments: int = 2) -> Column:
@@ -87,6 +88,12 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return pairs.select("pair.a", "pair.b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (distinct fingerprints) with ``root``, the smallest fingerprint reachable over links."""
+    roots = connected_components(fingerprint_links(nodes.select("fingerprint")))
+    return nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_copies(posts: DataFrame, words: int = 3) -> DataFrame:
     """``post_id``, ``fingerprint`` and ``component_id``, the smallest ``post_id`` reachable over links.
 
@@ -95,11 +102,7 @@ def near_copies(posts: DataFrame, words: int = 3) -> DataFrame:
     where many posts share it.
     """
     written = materialize(fingerprints(posts, words), "fingerprints")
-    nodes = written.groupBy("fingerprint").agg(F.min("post_id").alias("first"))
-    roots = connected_components(fingerprint_links(nodes.select("fingerprint")))
-    named = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left").select(
-        "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    named = materialize(named, "nodes")
+    named = materialize(rooted(written.groupBy("fingerprint").agg(F.min("post_id").alias("first"))), "nodes")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     component = materialize(named.join(smallest, "root").select(F.col("fingerprint").alias("node"), "component_id"), "components")
     return written.join(component, F.col("fingerprint") == F.col("node"), "left").select("post_id", "fingerprint", "component_id")
@@ -111,8 +114,10 @@ def hex_digits(value: Column) -> Column:
 
 
 def keep_one(posts: DataFrame, words: int = 3) -> DataFrame:
-    """The posts that name their component, all columns.  Rows that share an id are one post and stay or go together."""
-    found = near_copies(posts, words)
-    names = found.filter(F.col("post_id").eqNullSafe(F.col("component_id"))).select(F.col("post_id").alias("_name")).distinct()
+    """One physical row of every component, all columns: the smallest id, a null id last, then the smallest row number."""
     carried = Carried(posts)
-    return carried.restore(carried.frame.join(names, carried["post_id"].eqNullSafe(F.col("_name")), "left_semi"), [])
+    rows = with_row_ids(carried.frame)
+    written = materialize(fingerprints(rows.select(carried["post_id"].alias("post_id"), carried["content"].alias("content"), "_row"), words, "_row"), "fingerprints")
+    nodes = written.groupBy("fingerprint").agg(F.min(F.struct(F.col("post_id").isNull().alias("unnamed"), "post_id", "_row")).alias("first"))
+    stays = rooted(materialize(nodes, "nodes")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return carried.restore(rows.join(stays, "_row", "left_semi"), [])

@@ -131,6 +131,16 @@ def test_dedup_edge_posts(spark):
     assert exact_dedup.keep_first(edge_posts(spark), exact_dedup.new_index(spark)).columns == edge_posts(spark).columns
 
 
+def test_one_physical_row_of_every_group(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "twice the same file"), (1, "twice the same file"), (2, "twice  the same file"), (None, "no id"), (None, "no id"), (None, "no id"),
+            (3, long), (3, "another text under id three"), (2, long), (None, long), (2, long)]
+    table = spark.createDataFrame(rows, "post_id long, content string").repartition(3)
+    want = [(1, "twice the same file"), (2, long), (3, "another text under id three"), (None, "no id")]
+    for kept in (exact_dedup.keep_first(table, exact_dedup.new_index(spark)), simhash.keep_one(table)):
+        assert sorted(map(tuple, kept.collect()), key=lambda r: (r[0] is None, r[0] or 0)) == want
+
+
 def test_permutation_and_back():
     for n in (1, 2, 3, 5, 64, 100, 1_000, 65_537):
         places = sharding.permute(np.arange(n), n, seed=9)
