@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from tables import edge_posts, no_posts
 
-from modsieve.llm import exact_dedup, sharding, simhash
+from modsieve.llm import exact_dedup, sharding, shingles, simhash
 from modsieve.llm.components import connected_components
 from modsieve.llm.queries import op5_simhash
 from modsieve.session import read_table, scratch_path
@@ -75,6 +75,51 @@ def test_links_lose_nothing(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def word_sets(texts, words=5):
+    found = []
+    for text in texts:
+        tokens = (text or "").encode().lower().split()
+        found.append({b" ".join(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))} if tokens else set())
+    return found
+
+
+def brute_groups(texts):
+    """Smallest place per text over links of at least 0.8, all pairs."""
+    sets = word_sets(texts)
+    names = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                a, b = names[i], names[j]
+                names = [min(a, b) if n in (a, b) else n for n in names]
+    return names
+
+
+def test_shingle_groups_by_brute_force(spark):
+    rng = random.Random(3)
+    texts = []
+    for size in (3, 30, 120, 400, 9_000):
+        base = [f"w{rng.randrange(5_000)}" for _ in range(size)]
+        texts += [" ".join(base)] * 2
+        for changed in (1, size // 60, size // 45, size // 30, size // 10):
+            other = list(base)
+            for place in rng.sample(range(size), min(size, changed)):
+                other[place] = f"x{rng.randrange(5_000)}"
+            texts.append(" ".join(other))
+    # a group larger than what is compared all with all, a chain, and contents without words
+    base = [f"h{k}" for k in range(100)]
+    texts += [" ".join([*base, f"end{k}"]) for k in range(150)]
+    texts += [" ".join(f"c{k}" for k in range(5 * step, 5 * step + 100)) for step in range(12)]
+    texts += [None, "", " \n "]
+    names = brute_groups(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "post_id long, content string")
+    kept = sorted(r["post_id"] for r in shingles.keep_one(rows).collect())
+    assert kept == [k for k, n in enumerate(names) if n == k]
+    assert shingles.keep_one(no_posts(spark)).count() == 0
+    once = shingles.keep_one(edge_posts(spark))
+    assert once.columns == edge_posts(spark).columns and once.filter("post_id in (2, 3, 4)").count() == 1 and once.filter("post_id = 1").count() == 1
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(400).selectExpr("id + 1 as a", "id as b")
     assert {r["root"] for r in connected_components(links).collect()} == {0}
