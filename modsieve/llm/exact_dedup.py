@@ -15,8 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modsieve.llm.carry import Carried
-from modsieve.llm.order import with_row_ids
+from modsieve.llm.carry import Carried, one_of_each
 from modsieve.session import materialize, scratch_path
 
 #: A digest with more copies than this share of all posts is joined on its own; there are at most so many such digests.
@@ -58,8 +57,8 @@ class DigestIndex:
         self.spark.sql(f"drop table if exists {self.table}")
 
 
-def dedup(posts: DataFrame, index: DigestIndex, *keep: str) -> DataFrame:
-    """``post_id``, ``keep_id``, ``group_size``, ``kept``, ``digest`` and the columns ``keep`` per row, and the new digests added to the index.
+def dedup(posts: DataFrame, index: DigestIndex) -> DataFrame:
+    """``post_id``, ``keep_id``, ``group_size``, ``kept``, ``digest`` per row, and the new digests added to the index.
 
     ``posts`` has ``post_id`` and ``content``.  ``keep_id`` is the post that stays for the content, from an earlier
     batch if the index has it; ``group_size`` counts the rows of this batch with the content.
@@ -70,7 +69,7 @@ def dedup(posts: DataFrame, index: DigestIndex, *keep: str) -> DataFrame:
     more than a thousandth each, so that side is small whatever the data, and no task gets all rows of a hot digest.
     """
     rows = materialize(posts.select(
-        F.col("post_id").cast("long").alias("post_id"), F.unhex(content_digest(F.col("content"))).alias("digest"), *keep), "digests")
+        F.col("post_id").cast("long").alias("post_id"), F.unhex(content_digest(F.col("content"))).alias("digest")), "digests")
     groups = materialize(rows.groupBy("digest").agg(F.min("post_id").alias("post_id"), F.count("*").alias("group_size")), "groups")
     known = index.open()
     fresh = materialize(groups.select("digest", "post_id").join(known.hint("merge"), "digest", "left_anti"), "fresh")
@@ -86,7 +85,7 @@ def dedup(posts: DataFrame, index: DigestIndex, *keep: str) -> DataFrame:
     others = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
     decided = alone.unionByName(others)
     return decided.select(
-        "post_id", "keep_id", "group_size", F.col("post_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", *keep)
+        "post_id", "keep_id", "group_size", F.col("post_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
@@ -97,11 +96,10 @@ def new_index(spark: SparkSession) -> DigestIndex:
 def keep_first(posts: DataFrame, index: DigestIndex) -> DataFrame:
     """The posts whose content was not there before, all columns, one physical row of each content.
 
-    Of rows alike in id and content the one with the smallest row number stays.  Only numbers are joined back, so
-    contents are not grouped.  With an index of earlier batches a post comes through again under the id the index has.
+    The ids and digests that stay are joined back, so contents are not grouped; of rows alike in both, one is picked.
+    With an index of earlier batches a post comes through again under the id the index has.
     """
+    decided = dedup(posts, index).filter("kept").groupBy(F.col("post_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n"))
     carried = Carried(posts)
-    rows = with_row_ids(carried.frame)
-    narrow = rows.select(carried["post_id"].alias("post_id"), carried["content"].alias("content"), "_row")
-    stays = dedup(narrow, index, "_row").filter("kept").groupBy("digest").agg(F.min("_row").alias("_row")).select("_row")
-    return carried.restore(rows.join(stays, "_row", "left_semi"), [])
+    own = carried.frame.withColumns({"_id": carried["post_id"].cast("long"), "_digest": F.unhex(content_digest(carried["content"]))})
+    return carried.restore(one_of_each(own, materialize(decided, "stays")), [])

@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from modsieve.session import materialize
 
 
-def with_row_ids(rows: DataFrame, name: str = "_row") -> DataFrame:
-    """``rows`` with a number of its own for every physical row, written with it, so that every reader sees the same numbers.
-
-    Numbers are unique, not gapless; of rows alike in everything else they tell one from the other.
-    """
-    return materialize(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
-
-
 def starts(counts: DataFrame, part: str, size: str) -> DataFrame:
     """``part`` and ``start``, the sum of ``size`` over all earlier parts; ``counts`` has one row per task of a stage."""
     before = Window.partitionBy().orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modsieve.llm.carry import Carried
+from modsieve.llm.carry import Carried, one_of_each
 from modsieve.llm.components import connected_components
-from modsieve.llm.order import with_row_ids
 from modsieve.session import materialize
 
 BITS = 64
@@ -108,16 +107,23 @@ def near_copies(posts: DataFrame, words: int = 3) -> DataFrame:
     return written.join(component, F.col("fingerprint") == F.col("node"), "left").select("post_id", "fingerprint", "component_id")
 
 
+def text_digest(content: Column) -> Column:
+    """SHA-256 of the whole content; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(content.cast("string"), F.lit("")), 256))
+
+
 def hex_digits(value: Column) -> Column:
     """A 64-bit value as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
 def keep_one(posts: DataFrame, words: int = 3) -> DataFrame:
-    """One physical row of every component, all columns: the smallest id, a null id last, then the smallest row number."""
+    """One physical row of every component, all columns: the smallest id, a null id last, then the smallest digest of the content."""
     carried = Carried(posts)
-    rows = with_row_ids(carried.frame)
-    written = materialize(fingerprints(rows.select(carried["post_id"].alias("post_id"), carried["content"].alias("content"), "_row"), words, "_row"), "fingerprints")
-    nodes = written.groupBy("fingerprint").agg(F.min(F.struct(F.col("post_id").isNull().alias("unnamed"), "post_id", "_row")).alias("first"))
-    stays = rooted(materialize(nodes, "nodes")).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return carried.restore(rows.join(stays, "_row", "left_semi"), [])
+    own = carried.frame.withColumns({"_id": carried["post_id"], "_digest": text_digest(carried["content"])})
+    rows = own.select(carried["post_id"].alias("post_id"), carried["content"].alias("content"), "_digest")
+    written = materialize(fingerprints(rows, words, "_digest"), "fingerprints")
+    keys = written.groupBy("fingerprint", F.col("post_id").alias("_id"), "_digest").agg(F.count("*").alias("n"))
+    nodes = keys.groupBy("fingerprint").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_digest", "n")).alias("first"))
+    stays = rooted(materialize(nodes, "nodes")).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._digest", "first.n")
+    return carried.restore(one_of_each(own, materialize(stays, "stays")), [])
