@@ -1,6 +1,6 @@
 """Language of posts by prediction by partial matching.
 
-Every language has a tree of byte contexts of up to ``order`` bytes with the bytes that followed them, counted once and
+Every language has a tree of byte contexts of up to three bytes with the bytes that followed them, counted once and
 frozen.  A byte is coded in the longest context the tree has; a byte unseen there costs an escape and is coded in the
 next shorter context, without the bytes the longer one would have coded.  The language with the shortest code for the
 whole content wins.
@@ -12,30 +12,31 @@ empty table gives an empty table; other columns pass through, those named like a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modsieve.llm.carry import Carried
 from modsieve.llm.samples import labelled_sample
-from modsieve.llm.workers import held
 from modsieve.session import materialize
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
-#: Bytes scored at once; a longer content is scored part by part, its context carried on.
-CHUNK = 1 << 18
+#: Bytes counted or scored at once; a longer content is taken part by part, its context carried on.
+CHUNK = 1 << 20
+#: Contexts kept of all languages together; few languages have ``contexts_per_language`` each.  An entry takes 8 bytes.
+MOST_CONTEXTS = 1_000_000
 
 
 @dataclass
 class ContextTrees:
-    """Frozen counts: row ``k`` says that ``byte`` followed ``context`` (of ``length`` bytes) ``count`` times in ``language``."""
+    """Frozen counts: row ``k`` says that ``byte`` followed ``context`` (of ``length`` bytes, as a number) ``count`` times in ``language``."""
 
     languages: list[str]
     order: int
@@ -44,147 +45,149 @@ class ContextTrees:
     byte: np.ndarray
     language: np.ndarray
     count: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+def groups_of(texts: list[bytes], order: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Pieces of the texts with the places of their texts, every piece after ``order`` bytes of context, blanks at the start.
+
+    A group holds at most ``CHUNK`` bytes and a context, wherever a long text stands.
+    """
+    group: list[tuple[int, bytes]] = []
+    volume = 0
+    for k, text in enumerate(texts):
+        for at in range(0, len(text), CHUNK):
+            piece = text[at - order : at + CHUNK] if at else b" " * order + text[:CHUNK]
+            if group and volume + len(piece) > CHUNK:
+                yield group
+                group, volume = [], 0
+            group.append((k, piece))
+            volume += len(piece)
+    if group:
+        yield group
+
+
+def gram_codes(pieces: list[bytes], order: int) -> np.ndarray:
+    """Every byte after the first ``order`` of each piece with the ``order`` bytes before it, as one number."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    codes = np.zeros(max(0, len(data) - order), np.uint32)
+    for k in range(order + 1):
+        codes = codes << np.uint32(8) | data[k : k + len(codes)]
+    # what straddles two pieces is none of either
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum([len(p) for p in pieces])[:-1]
+    for k in range(order):
+        inside[ends - order + k] = False
+    return codes[inside]
 
 
 class Coder:
-    """Code lengths of every byte in every context and language, looked up by whole arrays."""
+    """Code lengths in the trees of all languages.
+
+    For every language and length of context there are sorted arrays: the grams seen, a context and the byte after it, with their code
+    lengths, and the contexts seen with the length of their escapes.  Nothing is kept of what was not seen.
+    """
 
     def __init__(self, trees: ContextTrees):
-        self.trees, order, n = trees, trees.order, len(trees.languages)
-        # bytes never seen in training have equal code lengths everywhere: they share the last column
-        seen = np.unique(trees.byte)
-        self.column = np.full(256, len(seen), np.int32)
-        self.column[seen] = np.arange(len(seen))
-        self.width = width = len(seen) + 1
-        unseen = 256 - len(seen)
-        share = np.full(width, 1 / 256)
-        share[-1] = 1 / 256
-        weight = np.ones(width)
-        weight[-1] = unseen
-        self.node = np.zeros(width**order, np.int32)
-        tables = [np.tile(share, (n, 1))[None]]
-        index = np.arange(width**order)
-        first = 1
-        for length in range(order + 1):
-            here = trees.length == length
-            contexts, which = np.unique(trees.context[here], return_inverse=True)
-            if not len(contexts):
+        self.languages, self.order = trees.languages, trees.order
+        self.levels: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = []
+        for k in range(len(trees.languages)):
+            levels: list = []
+            for length in range(trees.order + 1):
+                here = (trees.language == k) & (trees.length == length)
+                grams = (trees.context[here].astype(np.uint32) << np.uint32(8)) | trees.byte[here].astype(np.uint32)
+                order = np.argsort(grams)
+                grams, counts = grams[order], trees.count[here][order].astype(float)
+                contexts, which = np.unique(grams >> np.uint32(8), return_inverse=True)
+                total, kinds = np.bincount(which, counts), np.bincount(which)
+                # what the shorter contexts give to the bytes seen here is left out of what they give to the others
+                taken = np.bincount(which, np.exp2(-self._bits(levels, grams)))
+                escape = kinds / (total + kinds) / np.maximum(1 - taken, 1e-12)
+                levels.append((
+                    grams, -np.log2(counts / (total + kinds)[which]).astype(np.float32), contexts.astype(np.uint32), -np.log2(escape).astype(np.float32)))
+            self.levels.append(levels)
+
+    @staticmethod
+    def _bits(levels: list, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last bytes of ``grams`` after the longest contexts of ``levels``."""
+        bits, left = np.zeros(len(grams)), np.arange(len(grams))
+        for length in range(len(levels) - 1, -1, -1):
+            seen, lengths, contexts, escapes = levels[length]
+            if not len(seen):
                 continue
-            # columns of the context's bytes, oldest first; bytes unseen as successors cannot be in a kept context but by padding
-            code = np.zeros(len(contexts), np.int64)
-            for k in range(length):
-                code = code * width + self.column[(contexts >> (8 * (length - 1 - k))) & 255]
-            counts = np.zeros((len(contexts), n, width))
-            np.add.at(counts, (which, trees.language[here], self.column[trees.byte[here]]), trees.count[here])
-            # the node that serves a context now is its longest known suffix
-            parent = np.concatenate(tables)[self.node[code % width**length if length else np.zeros(1, np.int64)]]
-            total, kinds = counts.sum(2, keepdims=True), (counts > 0).sum(2, keepdims=True)
-            rest = 1 - np.where(counts > 0, parent * weight, 0).sum(2, keepdims=True)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-            # a context followed by every byte there is escapes nowhere
-            lower = np.where(rest > 1e-12, parent / np.maximum(rest, 1e-12), 1 / 256)
-            tables.append(np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * lower))
-            served = np.full(width**length, -1, np.int64)
-            served[code] = first + np.arange(len(contexts))
-            suffix = served[index % width**length]
-            self.node = np.where(suffix >= 0, suffix, self.node).astype(np.int32)
-            first += len(contexts)
-        self.bits = -np.log2(np.maximum(np.concatenate(tables), 1e-30)).transpose(0, 2, 1).astype(np.float32).copy()
+            own = grams[left] & np.uint32((1 << 8 * (length + 1)) - 1)
+            at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
+            hit = seen[at] == own
+            bits[left[hit]] += lengths[at[hit]]
+            left, own = left[~hit], own[~hit] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            bits[left] += np.where(contexts[at] == own, escapes[at], 0)
+        bits[left] += 8
+        return bits
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
-        order, out = self.trees.order, np.zeros((len(texts), len(self.trees.languages)))
-        start, group, volume = 0, [], 0
-        for k, text in enumerate(texts):
-            group.append(text)
-            volume += len(text)
-            if volume >= CHUNK or k == len(texts) - 1:
-                if len(group) == 1 and volume > CHUNK:
-                    padded = b" " * order + group[0]
-                    for at in range(0, volume, CHUNK):
-                        out[start] += self._sums([padded[at : at + CHUNK + order]])[0]
-                else:
-                    out[start : k + 1] = self._sums([b" " * order + t for t in group])
-                start, group, volume = k + 1, [], 0
+        """Bits of each text in each language; every gram of a group is looked up once."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for group in groups_of(texts, self.order):
+            places = np.array([k for k, _ in group])
+            starts = np.cumsum([0, *(len(piece) - self.order for _, piece in group)])[:-1]
+            grams, which = np.unique(gram_codes([piece for _, piece in group], self.order), return_inverse=True)
+            for k, levels in enumerate(self.levels):
+                np.add.at(out[:, k], places, np.add.reduceat(self._bits(levels, grams)[which], starts))
         return out
 
-    def _sums(self, padded: list[bytes]) -> np.ndarray:
-        """Bits after the first ``order`` bytes of each text."""
-        order, width = self.trees.order, self.width
-        columns = self.column[np.frombuffer(b"".join(padded), np.uint8)]
-        code = np.zeros(max(0, len(columns) - order), np.int32)
-        for k in range(order):
-            code = code * width + columns[k : k + len(code)]
-        bits = self.bits[self.node[code], columns[order:]]
-        sizes = np.array([len(p) for p in padded])
-        ends = np.cumsum(sizes) - order
-        sums = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-        # the places between two texts code the next text's padding and are left out
-        return sums[ends] - sums[ends - sizes + order]
-
-
-def coder_of(trees: ContextTrees) -> Coder:
-    """One coder per worker and model; the tables are built once."""
-    return held(("coder", trees.key), lambda: Coder(trees))
-
 
-def learn_languages(posts: DataFrame, order: int = 3, rows_per_language: int = 2_000, most_languages: int = 100, most_contexts: int = 30_000) -> ContextTrees:
-    """Context trees from labelled ``posts``: ``content`` and ``language``, rows without either are left out.
+def learn_languages(posts: DataFrame, order: int = 3, rows_per_language: int = 2_000, contexts_per_language: int = 30_000) -> ContextTrees:
+    """Context trees from labelled ``posts``: ``content`` and ``language``, rows without either are left out; ``order`` is 3 at most.
 
-    The sample holds about ``rows_per_language`` whole contents of each language.  Tasks count their part, Spark sums;
-    only the ``most_contexts`` most frequent contexts over all languages reach the driver, which bounds the model.
+    The sample holds about ``rows_per_language`` different whole contents of each language.  Tasks count their part, Spark sums.
+    Of every language the ``contexts_per_language`` most frequent contexts reach the driver, fewer if there are so many languages that they
+    would be more than ``MOST_CONTEXTS``: some 8 MB of entries at most, about one for each language.  All languages are learned.
     A context is never more frequent than its suffixes, so pruning takes leaves first.
     """
-    sample = labelled_sample(posts.select("content", F.col("language").cast("string").alias("language")), "language", rows_per_language, most_languages)
+    sample = labelled_sample(posts.select("content", F.col("language").cast("string").alias("language")), "language", rows_per_language)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: dict[str, list[bytes]] = {}
-            for content, language in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                texts.setdefault(language, []).append(b" " * order + content.encode("utf-8", "surrogatepass").lower())
-            for language, parts in texts.items():
-                data = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-                codes = np.zeros(max(0, len(data) - order), np.int64)
-                for k in range(order + 1):
-                    codes = codes << 8 | data[k : k + len(codes)]
-                # drop what straddles two texts: the padding of every text but the first
-                ends, inside = np.cumsum([len(p) for p in parts]), np.ones(len(codes), bool)
-                for end in ends[:-1]:
-                    inside[end - order : end] = False
-                values, counts = np.unique(codes[inside], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([language] * len(values), pa.string()), pa.array(values), pa.array(counts.astype(np.int64))], names=["language", "gram", "n"])
-
-    counted = sample.mapInArrow(grams, "language string, gram bigint, n bigint")
+            for content, language in zip(batch.column(0), batch.column(1).to_pylist()):
+                texts.setdefault(language, []).append(content.as_buffer().to_pybytes().lower())
+            for language, own in texts.items():
+                for group in groups_of(own, order):
+                    values, counts = np.unique(gram_codes([piece for _, piece in group], order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([language] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["language", "gram", "n"])
+
+    counted = sample.select("content", "language").mapInArrow(grams, "language string, gram bigint, n bigint")
     longest = materialize(counted.groupBy("language", "gram").agg(F.sum("n").alias("n")), "grams")
     every = longest.withColumn("length", F.explode(F.sequence(F.lit(0), F.lit(order)))).groupBy(
         "language", "length", F.call_function("pmod", F.col("gram"), F.expr("shiftleft(1L, 8 * (length + 1))")).alias("gram")).agg(F.sum("n").alias("n"))
     every = materialize(every.withColumn("context", F.shiftright("gram", 8)), "contexts")
-    kept = every.groupBy("length", "context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "length", "context").limit(most_contexts)
-    rows = every.join(kept.select("length", "context"), ["length", "context"]).select(
-        "language", "length", "context", F.col("gram").bitwiseAND(255).alias("byte"), "n").toPandas()
-    names = sorted(rows["language"].unique())
-    return ContextTrees(
-        names, order, rows["length"].to_numpy(np.int64), rows["context"].to_numpy(np.int64), rows["byte"].to_numpy(np.int64),
-        rows["language"].map({name: k for k, name in enumerate(names)}).to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    names = sorted(r["language"] for r in every.select("language").distinct().collect())
+    most = min(contexts_per_language, MOST_CONTEXTS // max(1, len(names)))
+    frequent = Window.partitionBy("language").orderBy(F.desc("total"), "length", "context")
+    kept = every.groupBy("language", "length", "context").agg(F.sum("n").alias("total")).withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= most)
+    rows = every.join(kept.select("language", "length", "context"), ["language", "length", "context"]).select(
+        "language", F.col("length").cast("long").alias("length"), "context", F.col("gram").bitwiseAND(255).alias("byte"), "n").toArrow()
+    column = {name: rows.column(name).to_numpy() for name in ("length", "context", "byte", "n")}
+    place = pc.index_in(rows.column("language"), pa.array(names, pa.string())).to_numpy()
+    return ContextTrees(names, order, column["length"], column["context"], column["byte"], place, column["n"])
 
 
 def predict_language(posts: DataFrame, trees: ContextTrees) -> DataFrame:
     """``posts`` with ``language_pred`` and ``language_score``; reads ``content`` alone, whole.
 
     The score is the probability of the best language, from the code lengths, if all learned ones are equally likely.
-    Map only.  The model is broadcast; its size is bounded by ``most_contexts``.
+    Map only.  The model is made once, here, and broadcast; ``MOST_CONTEXTS`` bounds its size.
     """
     spark = posts.sparkSession
     if not trees.languages:
         return posts.withColumns({"language_pred": F.lit(UNDETERMINED), "language_score": F.lit(0.0)})
-    shared = spark.sparkContext.broadcast(trees)
+    shared = spark.sparkContext.broadcast(Coder(trees))
 
     @F.pandas_udf("language_pred string, language_score double")
     def score(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = coder_of(shared.value)
-        names = np.array(shared.value.languages, object)
+        coder = shared.value
+        names = np.array(coder.languages, object)
         for content in contents:
             bits = coder.lengths([b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in content])
             best = bits.argmin(axis=1) if len(bits) else np.zeros(0, int)

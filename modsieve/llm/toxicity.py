@@ -180,7 +180,7 @@ def learn_toxicity(posts: DataFrame, labels: DataFrame, rows_per_label: int = 2_
     words per sampled post, and five numbers per sampled post: all bounded by ``rows_per_label``.
     """
     labelled = labels.groupBy(F.col("post_id").alias("_key")).agg(F.max("toxic").cast("int").alias("label")).filter("label in (0, 1)")
-    drawn = materialize(labelled_sample(labelled, "label", rows_per_label, 2, key="_key"), "drawn")
+    drawn = materialize(labelled_sample(labelled, "label", rows_per_label, key="_key"), "drawn")
     # about twice `rows_per_label` rows
     texts = posts.select("post_id", "content").join(F.broadcast(drawn), F.col("post_id") == F.col("_key"))
     sample = materialize(texts.select("content", "label").repartition(32), "labelled")

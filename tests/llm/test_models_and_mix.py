@@ -1,12 +1,13 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tables import edge_posts, no_posts
 
-from modsieve.llm import crf, language, mixing, toxicity
+from modsieve.llm import crf, language, mixing, samples, toxicity
 from modsieve.llm.queries import op8_language_id, op10_toxicity
 from modsieve.session import read_table
 
@@ -58,9 +59,44 @@ def test_long_text_is_coded_in_parts(spark, monkeypatch):
     rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de")]
     coder = language.Coder(language.learn_languages(spark.createDataFrame(rows, "post_id long, content string, language string")))
     text = b"the hund " * 500
-    whole = coder.lengths([text, b"x"])
-    monkeypatch.setattr(language, "CHUNK", 1_000)
-    assert np.allclose(coder.lengths([text, b"x"]), whole)
+    for texts in ([text, b"x"], [b"x", text], [b"", b"der", text, text, b"", b"mat"]):
+        monkeypatch.setattr(language, "CHUNK", 1 << 20)
+        whole = coder.lengths(texts)
+        monkeypatch.setattr(language, "CHUNK", 1_000)
+        assert np.allclose(coder.lengths(texts), whole)
+        assert np.allclose(whole, np.concatenate([coder.lengths([t]) for t in texts]))
+
+
+def test_long_text_after_a_short_one_needs_little_memory(spark):
+    rows = [(k, " ".join(f"{name}{k * j % 97}{name}" for j in range(50)), name) for k in range(20) for name in ("alpha", "beta", "gamma", "delta")]
+    coder = language.Coder(language.learn_languages(spark.createDataFrame(rows, "post_id long, content string, language string")))
+    words = "".join(f"word{k * k % 9973} " for k in range(1_000_000)).encode()
+    assert len(words) > 8_000_000
+    for texts in ([b"short", words], [words, b"short"]):
+        tracemalloc.start()
+        coder.lengths(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80_000_000
+
+
+def test_every_language_is_learned_with_its_own_budget(spark):
+    rows = [(k, f"common words of all and {chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} of one", f"l{k:03}") for k in range(130)]
+    rows += [(1_000 + k, "common words of all, many times over", "l000") for k in range(300)]
+    trees = language.learn_languages(spark.createDataFrame(rows, "post_id long, content string, language string"), contexts_per_language=60)
+    assert len(trees.languages) == 130
+    for k in range(130):
+        own = set(zip(trees.length[trees.language == k].tolist(), trees.context[trees.language == k].tolist()))
+        assert 40 < len(own) <= 60
+
+
+def test_sample_holds_one_row_of_each_content(spark):
+    rows = [(k, "the same" if k % 3 else f"text {k}", "en") for k in range(900)] + [(k, f"other {k}", "de") for k in range(5)] + [(1, None, "en"), (2, "x", None)]
+    posts = spark.createDataFrame(rows, "post_id long, content string, language string")
+    found = samples.labelled_sample(posts, "language", 100).collect()
+    contents = [r["content"] for r in found if r["language"] == "en"]
+    assert len(contents) == len(set(contents)) and 60 < len(contents) < 140 and sum(r["language"] == "de" for r in found) == 5
+    assert samples.labelled_sample(posts.limit(0), "language", 100).count() == 0
 
 
 def test_languages_of_held_out_documents(spark):
