@@ -5,9 +5,9 @@ foreign characters between neighbours, anywhere, across word borders.  Keywords
 the first one in list order is the one reported.
 
 A lexicon travels inside the plan, so that every post meets it without a shuffle.  A table of keywords
-of any size is taken in blocks of ``BLOCK_KEYWORDS``: the driver and a plan hold one block at a time in
-pattern form, each block is one pass over the posts, and the hits of all blocks are united.  Keywords keep
-the numbers their table gives them.
+of any size is taken in blocks of ``BLOCK_KEYWORDS``, one after the other: each is one pass over the posts that adds its hits to
+one table in the shared folder, and the result is a read of that table.  So the driver and every plan hold one block in
+pattern form, however many keywords there are.  Keywords keep the numbers their table gives them.
 
 Up to ``CHAIN_LIMIT`` keywords the first hit is a CASE chain of constant patterns.  Above that the
 keywords form a tree: one combined pattern for the whole list decides hit or no hit (most posts
@@ -17,7 +17,6 @@ Combined patterns share prefixes, so their cost grows far slower than the list.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import re
 from collections.abc import Callable, Iterator
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from modsieve import constants as K
 from modsieve.functions.text import squash
 from modsieve.operators.rows import expand
+from modsieve.session import scratch_path
 
 CHAIN_LIMIT = 48
 BLOCK = 256
@@ -204,8 +204,14 @@ def keyword_blocks(table: DataFrame, size: int = BLOCK_KEYWORDS) -> Iterator[Lex
 
 
 def _united(posts: DataFrame, keywords: Lexicon | DataFrame, hits: Callable[[DataFrame, Lexicon], DataFrame]) -> DataFrame:
-    blocks = [keywords] if isinstance(keywords, Lexicon) else keyword_blocks(keywords)
-    return functools.reduce(DataFrame.unionByName, [hits(posts, block) for block in blocks] or [hits(posts, Lexicon.of([]))])
+    if isinstance(keywords, Lexicon):
+        return hits(posts, keywords)
+    path = scratch_path(posts.sparkSession, "keyword_hits")
+    schema = hits(posts, Lexicon.of([])).schema
+    posts.sparkSession.createDataFrame([], schema).write.parquet(path)
+    for block in keyword_blocks(keywords):
+        hits(posts, block).write.mode("append").parquet(path)
+    return posts.sparkSession.read.schema(schema).parquet(path)
 
 
 def lexicon_hits(posts: DataFrame, keywords: Lexicon | DataFrame) -> DataFrame:

@@ -23,16 +23,20 @@ def decided_once(spark, sf):
     return materialize(X.decisions(spark, sf), "decisions")
 
 
-#: Events arrive in so many files, one a trigger, in the order of time.
-FILES = 4
+#: Events arrive in so many triggers of so many files each, in the order of time but for every seventh: that comes a trigger late.
+TRIGGERS, FILES, DAYS = 4, 2, 8
+#: More than the days of a trigger: a row that comes one trigger late is in time.
+LATE = "10 days"
 
 
 def events_in_files(spark, sf):
-    """The events as a stream of several files, so that every query runs over several batches."""
+    """The events as a stream: files written one trigger after the other, some rows in the files of the next."""
     folder = scratch_path(spark, "events")
     events = X.events(spark, sf)
-    events.repartitionByRange(FILES, "ts").sortWithinPartitions("ts").write.parquet(folder)
-    return J.read_stream(spark, folder, "*.parquet", events.schema, files_per_trigger=1)
+    own = F.floor((F.dayofmonth("ts") - 1) / DAYS) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    for k in range(TRIGGERS):
+        events.filter(F.least(own, F.lit(TRIGGERS - 1)) == k).repartition(FILES).write.mode("append").parquet(folder)
+    return J.read_stream(spark, folder, "*.parquet", events.schema, files_per_trigger=FILES)
 
 
 def log_of(events, spark, sf):
@@ -62,11 +66,10 @@ def _(spark, sf):
 @query("stream_posts_per_hour", using("posts_log", body=f"""
 select {ts_text("date_trunc('hour', created_at)::timestamp")} as hour, count(*) as posts from posts_log group by 1"""))
 def _(spark, sf):
-    # files written together arrive in any order, so nothing within the log counts as late
+    # all rows are the stream's own: hours are emitted as they change, and corrected when late posts come
     out = scratch_path(spark, "stream-hours")
-    finish(J.append_sink(J.stream_posts_per_hour(log_stream(spark, sf), late="40 days"), f"{out}/rows", f"{out}/checkpoint"))
-    log = log_of(X.events(spark, sf), spark, sf)
-    return J.hours_with_open(spark.read.parquet(f"{out}/rows"), log).select(iso_time(F.col("hour")).alias("hour"), "posts")
+    finish(J.batch_sink(J.stream_posts_per_hour(log_stream(spark, sf), late=LATE), J.versioned_writer(f"{out}/log"), "update", f"{out}/checkpoint"))
+    return J.latest_per_key(spark, f"{out}/log", ["hour"]).select(iso_time(F.col("hour")).alias("hour"), "posts")
 
 
 @query("stream_stage_stats", using("posts_log", body=f"""
@@ -74,7 +77,7 @@ select {ts_text("date_trunc('day', created_at)::timestamp")} as window_start, st
   round(avg(processing_time), 6) as avg_time from posts_log group by 1, 2, 3"""))
 def _(spark, sf):
     out = scratch_path(spark, "stream-stats")
-    finish(J.batch_sink(J.stream_stage_stats(log_stream(spark, sf), late="40 days"), J.versioned_writer(f"{out}/log"), "update", f"{out}/checkpoint"))
+    finish(J.batch_sink(J.stream_stage_stats(log_stream(spark, sf), late=LATE), J.versioned_writer(f"{out}/log"), "update", f"{out}/checkpoint"))
     state = J.latest_per_key(spark, f"{out}/log", ["window_start", "stage", "band"])
     return state.select(iso_time(F.col("window_start")).alias("window_start"), "stage", "band", "posts",
                         F.round("avg_time", 6).alias("avg_time"))
@@ -94,14 +97,22 @@ def _(spark, sf):
     return J.current_overrides(spark, f"{out}/log").select("post_id", "override_value")
 
 
-@query("stream_dedup", f"select distinct sha256({norm('text')}) as copy from documents")
+@query("stream_dedup", f"""
+with posts as (select doc_id as post_id, sha256({norm('text')}) as copy, least(doc_id % 4, 3) as batch, doc_id * 100 as day from documents),
+ranked as (select *, row_number() over (partition by copy order by batch, day, post_id) as place from posts)
+select copy, post_id from ranked where place = 1""")
 def _(spark, sf):
-    out = scratch_path(spark, "stream-dedup")
-    posts = stream_of(spark, sf, "documents").select(
-        F.col("doc_id").alias("post_id"), F.col("text").alias("content"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 86400).alias("created_at"))
-    finish(J.append_sink(J.stream_dedup(posts, "post_id"), f"{out}/rows", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/rows").select("copy")
+    # four batches; copies come up to years apart
+    out, folder = scratch_path(spark, "stream-dedup"), scratch_path(spark, "posts")
+    posts = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("post_id"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 100 * 86400).alias("created_at"))
+    for k in range(TRIGGERS):
+        posts.filter(F.col("post_id") % TRIGGERS == k).repartition(FILES).write.mode("append").parquet(folder)
+    table = J.CopyTable(spark, f"{out}/copies")
+    finish(J.batch_sink(J.read_stream(spark, folder, "*.parquet", posts.schema, files_per_trigger=FILES), table.write, "append", f"{out}/checkpoint"))
+    found = materialize(table.rows().select("copy", "post_id"), "survivors")
+    table.close()
+    return found
 
 
 @query("stream_running_totals", using("posts_log", body="""

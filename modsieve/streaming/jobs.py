@@ -7,7 +7,9 @@ a batch is replayed, so a lost executor or driver never doubles a row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from modsieve.functions.text import copy_key
 from modsieve.operators.review import latest_command
-
-COPY_SALTS = 16
-
+from modsieve.session import materialize
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """Parquet files of a folder as they arrive."""
@@ -47,46 +47,74 @@ def stream_moderate(posts: DataFrame, decide: Callable[[DataFrame], DataFrame])
 
 
 def stream_posts_per_hour(posts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Hourly counts; an hour is emitted once, when the watermark has passed its end."""
+    """Hourly counts, for update mode: every batch emits the hours it has changed, open ones too, with their counts so far.
+
+    A post is counted if its hour ends after the latest time of all earlier batches less ``late``; later ones are dropped, and the state
+    holds such hours only.  :func:`latest_per_key` over a :func:`versioned_writer` log is the whole result, at any moment.
+    """
     return (
         posts.withWatermark("created_at", late).groupBy(F.window("created_at", "1 hour")).agg(F.count("*").alias("posts"))
         .select(F.col("window")["start"].alias("hour"), "posts")
     )
 
 
-def hours_with_open(closed: DataFrame, posts: DataFrame) -> DataFrame:
-    """All hours: those the stream has closed, and the open ones counted from the posts themselves.
+def _file_system(spark: SparkSession, folder: str):
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    return path(folder).getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str) -> dict[int, str]:
+    """Numbers and paths of the folders below ``folder`` whose names are the prefix and a number."""
+    fs, path = _file_system(spark, folder)
+    if not fs.exists(path(folder)):
+        return {}
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return {int(n[len(prefix):]): f"{folder}/{n}" for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()}
+
 
-    Only posts after the last closed hour are counted, a tail of the log that the watermark bounds.
+def snapshots(out: str) -> str:
+    return f"{out}-snapshots"
+
+
+def override_log(spark: SparkSession, out: str) -> DataFrame | None:
+    """The newest snapshot and all batches after it; None if there is neither."""
+    kept = _numbered(spark, snapshots(out), "upto=")
+    newest = max(kept, default=-1)
+    paths = [p for n, p in _numbered(spark, out, "batch=").items() if n > newest]
+    parts = [spark.read.parquet(p) for p in [*([kept[newest]] if kept else []), *paths]]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def compaction_steps(spark: SparkSession, out: str) -> Iterator[int]:
+    """The steps of :func:`compact_overrides`; one may stop after any of them, now or for ever, and nothing is lost.
+
+    The reduced log is written under a name no reader knows, then takes the name of a snapshot in one rename.  From then on
+    readers take it in place of the batches it holds.  Only then what it replaces goes: the batches that the snapshot before
+    it held, and older snapshots, so that a reader which had chosen these still finds them.
     """
-    last = closed.select(F.max("hour")).scalar()
-    hour = F.date_trunc("hour", "created_at")
-    tail = posts.select(hour.alias("hour"), last.alias("_last")).filter(F.col("_last").isNull() | (F.col("hour") > F.col("_last")))
-    return closed.select("hour", "posts").unionByName(tail.groupBy("hour").agg(F.count("*").alias("posts")))
+    fs, path = _file_system(spark, out)
+    batches, kept = _numbered(spark, out, "batch="), _numbered(spark, snapshots(out), "upto=")
+    before, newest = max(kept, default=-1), max([*batches, *kept], default=-1)
+    if newest > before:
+        fresh = f"{snapshots(out)}/fresh-{uuid.uuid4().hex}"
+        latest_command(override_log(spark, out), "override_value").write.parquet(fresh)
+        yield newest
+        if not fs.rename(path(fresh), path(f"{snapshots(out)}/upto={newest}")):
+            raise OSError(f"could not name the snapshot up to batch {newest}")
+        yield newest
+    for number, folder in [*((n, f) for n, f in sorted(batches.items()) if n <= before), *((n, f) for n, f in sorted(kept.items()) if n < before)]:
+        fs.delete(path(folder), True)
+        yield newest
 
 
 def compact_overrides(spark: SparkSession, out: str) -> int:
-    """Reduce the override log to one folder with the last override per post; returns its batch number.
+    """Reduce the override log to the last override per post; returns the number of the last batch that is in.
 
-    The reduced log is written beside the batches it replaces, under the highest number among them, and moves into its
-    place when it is complete; a reader sees each override at least once at any moment, and twice does not matter.  To be
-    run between triggers.  The cost of a read is then the overridden posts and the batches since, not all batches.
+    A read then costs the overridden posts and the batches since, not all batches.  It may run beside the stream: a
+    batch that is replayed while it runs is in the snapshot or after it with the same rows.
     """
-    log = spark.read.parquet(out)
-    newest = int(log.agg(F.max("batch")).first()[0])
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path
-    fs = path(out).getFileSystem(sc._jsc.hadoopConfiguration())
-    fresh = f"{out}/_compact-{newest}"
-    latest_command(log, "override_value").write.mode("overwrite").parquet(fresh)
-    old = [s.getPath() for s in fs.listStatus(path(out)) if s.getPath().getName().startswith("batch=") and int(s.getPath().getName()[6:]) <= newest]
-    target = path(f"{out}/batch={newest}")
-    fs.delete(target, True)
-    fs.rename(path(fresh), target)
-    for folder in old:
-        if folder.getName() != target.getName():
-            fs.delete(folder, True)
-    return newest
+    return max(compaction_steps(spark, out), default=-1)
 
 
 def stream_stage_stats(posts: DataFrame, late: str = "1 hour", every: str = "1 day") -> DataFrame:
@@ -121,7 +149,7 @@ def override_writer(out: str) -> Callable[[DataFrame, int], None]:
     """Reduce each batch to the last override per post and log it under its batch id.
 
     A batch costs what it holds, however many overrides came before; :func:`current_overrides`
-    resolves the log at read time.
+    resolves the log at read time, from the newest snapshot of :func:`compact_overrides` on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -132,22 +160,46 @@ def override_writer(out: str) -> Callable[[DataFrame, int], None]:
 
 def current_overrides(spark: SparkSession, out: str) -> DataFrame:
     """The last override per post over all batches so far."""
-    return latest_command(spark.read.parquet(out), "override_value")
+    return latest_command(override_log(spark, out), "override_value")
 
 
-def stream_dedup(posts: DataFrame, key: str, content: str = "content", within: str = "40 days") -> DataFrame:
-    """One post per set of copies that arrive within ``within`` of each other; later copies are kept again.
+class CopyTable:
+    """The first post of every content ever seen, outside the stream's state: no horizon.
 
-    A stream cannot remember all copies for ever; the batch operator has no such horizon.
-    Two steps: copies are first thinned within a salt, so that a set holding a third of the stream
-    is spread over many tasks, then the few survivors meet on the copy key alone.
+    A table ``copy, <key>, created_at`` at ``location``, a partition for each batch, bucketed by ``copy``, so that a batch meets it without
+    moving it.  A batch that is replayed overwrites its own partition and looks at earlier ones only: the result is the same.
     """
-    marked = posts.withWatermark("created_at", within).withColumns({
-        "copy": copy_key(F.col(content)),
-        "salt": F.pmod(F.xxhash64(key), F.lit(COPY_SALTS)),
-    }).select(key, "created_at", "copy", "salt")
-    thinned = marked.dropDuplicatesWithinWatermark(["copy", "salt"])
-    return thinned.dropDuplicatesWithinWatermark(["copy"]).select(key, "created_at", "copy")
+
+    def __init__(self, spark: SparkSession, location: str, key: str = "post_id", key_type: str = "bigint", buckets: int = 32):
+        self.spark, self.location, self.key, self.buckets = spark, location, key, buckets
+        self.table = f"copies_{uuid.uuid4().hex}"
+        spark.sql(f"create table {self.table} (copy string, {key} {key_type}, created_at timestamp, batch bigint) using parquet "
+                  f"partitioned by (batch) clustered by (copy) into {buckets} buckets location '{location}'")
+        fs, path = _file_system(spark, location)
+        if fs.exists(path(location)):
+            spark.sql(f"msck repair table {self.table}")
+
+    def rows(self) -> DataFrame:
+        """The posts that stayed, with the batch they came in."""
+        return self.spark.table(self.table)
+
+    def close(self) -> None:
+        """Forget the table's name; the files stay for the next run."""
+        self.spark.sql(f"drop table if exists {self.table}")
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        """Keep the first post of every content the table does not have; ``batch`` has the key, ``content`` and ``created_at``.
+
+        Copies in a batch are reduced in the tasks that read them, so a content with a third of the rows is one row a task after that.
+        """
+        session = batch.sparkSession
+        first = batch.groupBy(copy_key(F.col("content")).alias("copy")).agg(F.min(F.struct("created_at", self.key)).alias("first"))
+        seen = session.table(self.table).filter(F.col("batch") < batch_id).select("copy")
+        fresh = first.join(seen.hint("merge"), "copy", "left_anti").select("copy", f"first.{self.key}", "first.created_at")
+        # a table cannot be overwritten, not even one partition of it, in a job that reads it
+        materialize(fresh, "fresh_copies").repartition(self.buckets, "copy").createOrReplaceTempView(f"{self.table}_fresh")
+        session.sql(f"insert overwrite table {self.table} partition (batch = {batch_id}) select * from {self.table}_fresh")
+        session.catalog.dropTempView(f"{self.table}_fresh")
 
 
 def stream_running_totals(posts: DataFrame) -> DataFrame:

@@ -102,6 +102,16 @@ def test_more_than_100_000_keywords(spark):
         assert re.search(X.fuzzy_pattern(keyword), text) and table.filter(f"kw_idx = {number}").first().keyword == keyword
 
 
+def test_plan_does_not_grow_with_the_keywords(spark):
+    posts = spark.createDataFrame([(1, "one zq00001 two zq0200q")], "post_id long, content string")
+    plans = []
+    for n in (10, 100_000):
+        table = spark.range(n).selectExpr("id as kw_idx", "concat('zq', lpad(id, 6, '0')) as keyword")
+        for found in (X.first_hits(posts, table), X.lexicon_hits(posts, table)):
+            plans.append(len(found._jdf.queryExecution().toString()))
+    assert plans[2] == pytest.approx(plans[0], rel=0.05) and plans[3] == pytest.approx(plans[1], rel=0.05)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=1, max_size=8), st.text("abc", max_size=14))
 def test_combined_pattern_is_the_or_of_its_keywords(keywords, text):

@@ -119,33 +119,68 @@ def test_stream_overrides_over_batches(spark, tmp_path):
     for post, value, ts, seq in sorted(rows, key=lambda r: (r[2], r[3])):
         want[post] = (value, seq)
     assert got == want
-    assert J.compact_overrides(spark, str(tmp_path / "s")) == 4
-    log = spark.read.parquet(str(tmp_path / "s"))
-    assert log.count() == 10 and [r.batch for r in log.select("batch").distinct().collect()] == [4]
-    assert {r.post_id: (r.override_value, r.seq) for r in J.current_overrides(spark, str(tmp_path / "s")).collect()} == want
-
-
-def test_hours_close_and_late_rows_are_dropped(spark, tmp_path):
+    out = str(tmp_path / "s")
+
+    def current():
+        return {r.post_id: (r.override_value, r.seq) for r in J.current_overrides(spark, out).collect()}
+
+    # stopped after every single step, at first without and then with an older snapshot
+    for number in (4, 5, 6):
+        for stop in range(1, 9):
+            steps = J.compaction_steps(spark, out)
+            done = [n for _, n in zip(range(stop), steps)]
+            assert current() == want and set(done) <= {number}
+            if len(done) < stop:
+                break
+            steps.close()
+        assert J.override_log(spark, out).count() == 10
+        J.override_writer(out)(spark.createDataFrame([(number, "Flagged", T0 + datetime.timedelta(days=number), 1_000)], schema), number + 1)
+        want[number] = ("Flagged", 1_000)
+        assert current() == want
+    assert sorted(J._numbered(spark, out, "batch=")) == [7] and sorted(J._numbered(spark, J.snapshots(out), "upto=")) == [6]
+    assert J.compact_overrides(spark, out) == 7 and current() == want
+    assert J.compact_overrides(spark, str(tmp_path / "none")) == -1
+
+
+def test_hours_are_corrected_and_late_rows_dropped(spark, tmp_path):
     def minute(n):
         return T0 + datetime.timedelta(minutes=n)
 
-    src, schema = str(tmp_path / "in"), "post_id long, created_at timestamp"
-    batches = [[(0, minute(5)), (1, minute(50))], [(2, minute(65)), (3, minute(400))], [(4, minute(10)), (5, minute(410))]]
+    src, schema, out = str(tmp_path / "in"), "post_id long, created_at timestamp", str(tmp_path / "out")
+    batches = [[(0, minute(5)), (1, minute(50))], [(2, minute(65)), (3, minute(400))], [(4, minute(10)), (5, minute(410)), (6, minute(330))], [(7, minute(395))]]
+    seen = []
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = J.read_stream(spark, src, "*.parquet", schema, files_per_trigger=1)
-        run(J.append_sink(J.stream_posts_per_hour(stream), str(tmp_path / "out"), str(tmp_path / "c")))
-    closed = spark.read.parquet(str(tmp_path / "out"))
-    # the post at minute 10 came six hours late: its hour was closed
-    assert {(r.hour, r.posts) for r in closed.collect()} == {(T0, 2), (minute(60), 1)}
-    whole = {(r.hour, r.posts) for r in J.hours_with_open(closed, spark.read.parquet(src)).collect()}
-    assert whole == {(T0, 2), (minute(60), 1), (minute(360), 2)}
-
-
-def test_stream_dedup_with_a_hot_copy(spark, tmp_path):
-    rows = [(i, "same, post" if i % 2 else f"own {i // 4}", T0 + datetime.timedelta(minutes=i)) for i in range(600)]
-    df = files(spark, str(tmp_path / "in"), rows, "post_id long, content string, created_at timestamp", 3)
-    stream = J.read_stream(spark, str(tmp_path / "in"), "*.parquet", df.schema, files_per_trigger=1)
-    run(J.append_sink(J.stream_dedup(stream, "post_id"), str(tmp_path / "out"), str(tmp_path / "c")))
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == out.select("copy").distinct().count() == 151
+        run(J.batch_sink(J.stream_posts_per_hour(stream), J.versioned_writer(out), "update", str(tmp_path / "c")))
+        seen.append({(r.hour, r.posts) for r in J.latest_per_key(spark, out, ["hour"]).collect()})
+    assert seen[0] == {(T0, 2)}
+    # an open hour is there at once, and corrected by what comes later
+    assert seen[1] == {(T0, 2), (minute(60), 1), (minute(360), 1)}
+    # the post at minute 10 came six hours late and is dropped; the one at minute 330 is in an hour that ends after 400 - 60
+    assert seen[2] == {(T0, 2), (minute(60), 1), (minute(360), 2), (minute(300), 1)}
+    assert seen[3] == {(T0, 2), (minute(60), 1), (minute(360), 3), (minute(300), 1)}
+
+
+def test_stream_dedup_without_horizon(spark, tmp_path):
+    schema, src = "post_id long, content string, created_at timestamp", str(tmp_path / "in")
+    # half of all posts are one content; own contents come back 100 days and three batches later
+    rows = [(i, "same, post" if i % 2 else f"own {i % 200}", T0 + datetime.timedelta(days=i // 2)) for i in range(800)]
+    for k in range(4):
+        spark.createDataFrame(rows[200 * k : 200 * k + 200], schema).repartition(2).write.mode("append").parquet(src)
+    table = J.CopyTable(spark, str(tmp_path / "copies"), buckets=4)
+    run(J.batch_sink(J.read_stream(spark, src, "*.parquet", schema, files_per_trigger=2), table.write, "append", str(tmp_path / "c")))
+    found = {r.post_id: r.batch for r in table.rows().collect()}
+    assert found == {1: 0} | {i: 0 for i in range(0, 200, 2)}
+    # replaying a batch changes nothing, the first one included; a later batch meets a table opened anew
+    for k in (0, 2):
+        table.write(spark.createDataFrame(rows[200 * k : 200 * k + 200], schema), k)
+    assert {r.post_id: r.batch for r in table.rows().collect()} == found
+    table.close()
+    again = J.CopyTable(spark, str(tmp_path / "copies"), buckets=4)
+    again.write(spark.createDataFrame([(900, "OWN 4!", T0), (901, "new", T0), (902, "New", T0), (903, None, T0)], schema), 4)
+    assert {r.post_id for r in again.rows().filter("batch = 4").collect()} == {901, 903}
+    seen = again.rows().filter("batch < 9").select("copy")
+    plan = again.rows().select("copy").join(seen.hint("merge"), "copy", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    again.close()
