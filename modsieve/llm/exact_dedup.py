@@ -40,11 +40,11 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
-    def open(self, schema: str = "digest binary, post_id bigint") -> DataFrame:
-        """The index; registered over ``location`` on first use, where files of earlier sessions may lie."""
+    def open(self, id_type: str = "bigint") -> DataFrame:
+        """The index, for ids of that type; registered over ``location`` on first use, where files of earlier sessions may lie."""
         if not self.exists():
             self.spark.sql(
-                f"create table {self.table} ({schema}) using parquet clustered by (digest) sorted by (digest) "
+                f"create table {self.table} (digest binary, post_id {id_type}) using parquet clustered by (digest) sorted by (digest) "
                 f"into {self.buckets} buckets location '{self.location}'")
         return self.spark.table(self.table)
 
@@ -69,14 +69,14 @@ def dedup(posts: DataFrame, index: DigestIndex) -> DataFrame:
     more than a thousandth each, so that side is small whatever the data, and no task gets all rows of a hot digest.
     """
     rows = materialize(posts.select(
-        F.col("post_id").cast("long").alias("post_id"), F.unhex(content_digest(F.col("content"))).alias("digest")), "digests")
+        "post_id", F.unhex(content_digest(F.col("content"))).alias("digest")), "digests")
     groups = materialize(rows.groupBy("digest").agg(F.min("post_id").alias("post_id"), F.count("*").alias("group_size")), "groups")
-    known = index.open()
+    known = index.open(posts.schema["post_id"].dataType.simpleString())
     fresh = materialize(groups.select("digest", "post_id").join(known.hint("merge"), "digest", "left_anti"), "fresh")
     index.append(fresh)
     # from the index as it is now: the first post of every digest of this batch
     named = groups.select("digest", "group_size").join(index.open().hint("merge").select("digest", F.col("post_id").alias("keep_id")), "digest")
-    named = materialize(named, "named")
+    named = materialize(named, "named")  # the last read of the index
     total = rows.count()
     hot = named.filter(F.col("group_size") * HOT_DIGESTS > total)
     cold = named.filter(F.col("group_size") * HOT_DIGESTS <= total)
@@ -89,7 +89,7 @@ def dedup(posts: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def new_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in the shared folder."""
+    """An empty index in the shared folder; :meth:`DigestIndex.close` it when :func:`dedup` or :func:`keep_first` is back, which read it no more."""
     return DigestIndex(spark, scratch_path(spark, "digest-index"))
 
 
@@ -101,5 +101,5 @@ def keep_first(posts: DataFrame, index: DigestIndex) -> DataFrame:
     """
     decided = dedup(posts, index).filter("kept").groupBy(F.col("post_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n"))
     carried = Carried(posts)
-    own = carried.frame.withColumns({"_id": carried["post_id"].cast("long"), "_digest": F.unhex(content_digest(carried["content"]))})
+    own = carried.frame.withColumns({"_id": carried["post_id"], "_digest": F.unhex(content_digest(carried["content"]))})
     return carried.restore(one_of_each(own, materialize(decided, "stays")), [])

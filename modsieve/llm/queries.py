@@ -90,7 +90,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = exact_dedup.dedup(posts(spark, sf_dir), exact_dedup.new_index(spark))
+    """Rows repeated with one id and text are all marked kept: the mark compares ids, and any of them may be the row that stays."""
+    index = exact_dedup.new_index(spark)
+    decided = exact_dedup.dedup(posts(spark, sf_dir), index)
+    index.close()
     return decided.select(F.col("post_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

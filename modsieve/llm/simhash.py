@@ -1,5 +1,8 @@
 """Near copies of posts by SimHash fingerprints and multi-index hashing.
 
+Every segment of a fingerprint has a table keyed by the segment's value.  A fingerprint looks up all values within one bit of its own in
+each table, and what it finds there is compared with it in full.
+
 Edge cases: a content without words, null or empty, has the fingerprint zero and is linked like any other; a
 content of fewer words than a shingle is one shingle; repeated shingles count as often as they occur; repeated rows
 have equal fingerprints; posts with a null id are in components but never name one unless all ids there are null;
@@ -15,12 +18,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modsieve.llm.carry import Carried, one_of_each
 from modsieve.llm.components import connected_components
 from modsieve.session import materialize
 
 BITS = 64
 SEED = 42
+#: Fingerprints link at so many differing bits or fewer; a segment's ball has radius one, so two segments are enough.
+RADIUS, SEGMENTS = 2, 2
+WIDTH = BITS // SEGMENTS
+#: Bits of one of the three parts a segment is cut into where a bucket is split.
+PART = -(-WIDTH // (RADIUS + 1))
+#: Fingerprints of a bucket that are compared all with all.
+HOT = 64
 #: Shingle hashes counted at once: bounds the memory of a long content.
 CHUNK = 65_536
 
@@ -56,35 +65,58 @@ def fingerprints(posts: DataFrame, words: int = 3, *keep: str) -> DataFrame:
     return posts.select(F.col("post_id").alias("post_id"), of(F.col("content").cast("string")).alias("fingerprint"), *keep)
 
 
-def segment_balls(value: Column, segments: int = 2) -> Column:
-    """All values whose segments equal those of ``value`` but for one bit of one segment, and the value itself.
+def segment_value(value: Column, k: int) -> Column:
+    """Segment ``k`` of a fingerprint, as a number."""
+    return F.shiftrightunsigned(value, k * WIDTH).bitwiseAND((1 << WIDTH) - 1)
 
-    These are the ball of radius one around each segment, the other segments as they are.  Two fingerprints differ in
-    at most two bits if and only if these sets meet: both bits in one segment meet inside its ball, one bit in each of
-    two segments meets where either has changed its own.
-    """
-    width = BITS // segments
-    balls = [F.transform(F.sequence(F.lit(s * width), F.lit((s + 1) * width - 1)), lambda k: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
-             for s in range(segments)]
-    return F.concat(F.array(value), *balls)
 
+def segment_tables(prints: DataFrame) -> DataFrame:
+    """``segment``, ``value``, ``fingerprint``: a table for every segment, keyed by what the segment holds."""
+    entries = F.array(*[F.struct(F.lit(k).alias("segment"), segment_value(F.col("fingerprint"), k).alias("value")) for k in range(SEGMENTS)])
+    return prints.select("fingerprint", F.explode(entries).alias("entry")).select("entry.*", "fingerprint")
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """Links ``a`` > ``b`` that connect all distinct fingerprints at two or fewer differing bits; ``prints`` is distinct.
 
-    Multi-index hashing.  The table holds every fingerprint under the values its segments take in a ball of
-    radius one; fingerprints under one entry are matches.  An entry and its values one bit away are 65, so no
-    entry can hold more: there are no hot entries, whatever the data.  Inside an entry each match is linked to the next
-    one, after the complete distance is verified; all matches of an entry stay connected.
-    """
-    # 65 times as many rows come out as go in: the few bytes that go in are dealt out again first, by a key of their own,
+def segment_balls(prints: DataFrame) -> DataFrame:
+    """``segment``, ``value``, ``fingerprint``: all values within one bit of what a segment of the fingerprint holds."""
+    def ball(k: int) -> Column:
+        value = segment_value(F.col("fingerprint"), k)
+        flipped = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda bit: value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+        return F.transform(F.concat(F.array(value), flipped), lambda v: F.struct(F.lit(k).alias("segment"), v.alias("value")))
+
+    # dozens of rows come out for each that goes in: the few bytes that go in are dealt out again first, by a key of their own,
     # since a deal by the fingerprint would be merged with the one before and its small parts put together
     tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = prints.repartition(tasks, F.xxhash64("fingerprint")).select("fingerprint", F.explode(segment_balls(F.col("fingerprint"))).alias("entry"))
-    entries = table.groupBy("entry").agg(F.sort_array(F.collect_list("fingerprint")).alias("matches")).filter(F.size("matches") > 1)
-    pairs = entries.select(F.explode(F.arrays_zip(
-        F.expr("slice(matches, 2, size(matches) - 1)").alias("a"), F.expr("slice(matches, 1, size(matches) - 1)").alias("b"))).alias("pair"))
-    return pairs.select("pair.a", "pair.b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    dealt = prints.repartition(tasks, F.xxhash64("fingerprint"))
+    return dealt.select("fingerprint", F.explode(F.concat(*map(ball, range(SEGMENTS)))).alias("entry")).select("entry.*", "fingerprint")
+
+
+def _split(entries: DataFrame) -> DataFrame:
+    """Each entry under every part of its other segment: two values of that segment within two bits agree in one of three parts."""
+    other = F.when(F.col("segment") == 0, segment_value(F.col("fingerprint"), 1)).otherwise(segment_value(F.col("fingerprint"), 0))
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), F.shiftright(other, k * PART).bitwiseAND((1 << PART) - 1).alias("held")) for k in range(RADIUS + 1)])
+    return entries.select("*", F.explode(parts).alias("_part")).select(*entries.columns, "_part.*")
+
+
+def candidates(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs ``a`` > ``b`` of distinct fingerprints one of whose segments differ in at most one bit; ``prints`` is distinct.
+
+    Of two fingerprints within two bits one segment differs in at most one, so all links are among these.  A bucket of a
+    table with over ``hot`` fingerprints is split by parts of the other segment, which still loses no link.
+    """
+    table, balls = materialize(segment_tables(prints), "segment_tables"), segment_balls(prints)
+    crowded = materialize(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("segment", "value"), "crowded")
+    named = table.withColumnRenamed("fingerprint", "b")
+    keys = ["segment", "value"]
+    found = balls.withColumnRenamed("fingerprint", "a").join(named.join(crowded, keys, "left_anti"), keys).select("a", "b")
+    if not crowded.isEmpty():
+        split = _split(balls.join(crowded, keys, "left_semi")).withColumnRenamed("fingerprint", "a")
+        found = found.union(split.join(_split(table.join(crowded, keys, "left_semi")).withColumnRenamed("fingerprint", "b"), [*keys, "part", "held"]).select("a", "b"))
+    return found.filter("a > b")
+
+
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """The :func:`candidates` whose complete distance is at most two."""
+    return candidates(prints).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -115,15 +147,3 @@ def text_digest(content: Column) -> Column:
 def hex_digits(value: Column) -> Column:
     """A 64-bit value as 16 lower-case hexadecimal digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")
-
-
-def keep_one(posts: DataFrame, words: int = 3) -> DataFrame:
-    """One physical row of every component, all columns: the smallest id, a null id last, then the smallest digest of the content."""
-    carried = Carried(posts)
-    own = carried.frame.withColumns({"_id": carried["post_id"], "_digest": text_digest(carried["content"])})
-    rows = own.select(carried["post_id"].alias("post_id"), carried["content"].alias("content"), "_digest")
-    written = materialize(fingerprints(rows, words, "_digest"), "fingerprints")
-    keys = written.groupBy("fingerprint", F.col("post_id").alias("_id"), "_digest").agg(F.count("*").alias("n"))
-    nodes = keys.groupBy("fingerprint").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", "_digest", "n")).alias("first"))
-    stays = rooted(materialize(nodes, "nodes")).groupBy("root").agg(F.min("first").alias("first")).select("first._id", "first._digest", "first.n")
-    return carried.restore(one_of_each(own, materialize(stays, "stays")), [])

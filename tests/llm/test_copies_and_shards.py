@@ -134,8 +134,30 @@ def test_simhash_edge_posts(spark):
         text = next(e[1] for e in edge_posts(spark).collect() if e[0] == r["post_id"])
         assert r["fingerprint"] & (1 << 64) - 1 == brute_fingerprint(text)
     assert simhash.near_copies(no_posts(spark)).count() == 0
-    kept = simhash.keep_one(edge_posts(spark))
-    assert kept.columns == edge_posts(spark).columns and kept.filter("post_id in (2, 3, 4)").count() == 1
+
+
+def test_segments_find_candidates_that_are_rejected(spark):
+    rng = random.Random(9)
+    prints = {rng.getrandbits(64) for _ in range(40)}
+    # one half alike: candidates whose complete distance is large; some of them are links
+    for p in list(prints)[:10]:
+        for _ in range(4):
+            prints.add(p & 0xFFFFFFFF | rng.getrandbits(32) << 32)
+            prints.add(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    # a crowded bucket: hundreds of fingerprints with one half in common, links among them
+    half = rng.getrandbits(32)
+    crowd = [half << 32 | rng.getrandbits(32) for _ in range(300)]
+    prints |= set(crowd) | {p ^ (1 << rng.randrange(32)) ^ (1 << rng.randrange(32)) for p in crowd[:60]} | {p ^ (1 << 63) ^ (1 << rng.randrange(32)) for p in crowd[:60]}
+    prints = sorted(prints)
+    want = {tuple(sorted((signed(p), signed(q)), reverse=True)) for k, p in enumerate(prints) for q in prints[:k] if (p ^ q).bit_count() <= 2}
+    table = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
+    pairs = []
+    for hot in (10_000, 20):
+        pairs.append({(r["a"], r["b"]) for r in simhash.candidates(table, hot).collect()})
+        assert want < pairs[-1] and len(pairs[-1]) - len(want) > 100
+    # the split compares far fewer of the crowd, and loses no link
+    assert len(pairs[1]) < len(pairs[0]) / 3
+    assert {(r["a"], r["b"]) for r in simhash.fingerprint_links(table).collect()} == want
 
 
 def test_index_over_batches(spark):
@@ -182,8 +204,24 @@ def test_one_physical_row_of_every_group(spark):
             (3, long), (3, "another text under id three"), (2, long), (None, long), (2, long)]
     table = spark.createDataFrame(rows, "post_id long, content string").repartition(3)
     want = [(1, "twice the same file"), (2, long), (3, "another text under id three"), (None, "no id")]
-    for kept in (exact_dedup.keep_first(table, exact_dedup.new_index(spark)), simhash.keep_one(table)):
-        assert sorted(map(tuple, kept.collect()), key=lambda r: (r[0] is None, r[0] or 0)) == want
+    kept = exact_dedup.keep_first(table, exact_dedup.new_index(spark))
+    assert sorted(map(tuple, kept.collect()), key=lambda r: (r[0] is None, r[0] or 0)) == want
+
+
+def test_copies_of_posts_with_generated_ids(spark):
+    rows = [("post_b_2", "the same"), ("post_a_1", "the  same"), ("post_c_3", None), (None, "the same"), ("post_d_4", "")]
+    table = spark.createDataFrame(rows, "post_id string, content string")
+    tables = spark.catalog.listTables()
+    index = exact_dedup.new_index(spark)
+    found = {r["post_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(table, index).collect()}
+    index.close()
+    assert found == {"post_a_1": ("post_a_1", 3, True), "post_b_2": ("post_a_1", 3, False), None: ("post_a_1", 3, False),
+                     "post_c_3": ("post_c_3", 2, True), "post_d_4": ("post_c_3", 2, False)}
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.keep_first(table, index)
+    index.close()
+    assert sorted(map(tuple, kept.collect())) == [("post_a_1", "the  same"), ("post_c_3", None)]
+    assert spark.catalog.listTables() == tables
 
 
 def test_permutation_and_back():
