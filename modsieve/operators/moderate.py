@@ -6,19 +6,23 @@ narrow rows, and a content meets a join again only where the output has to hold
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions.labels import needs_explanation
 from modsieve.functions.text import iso_time, snippet
-from modsieve.operators.cascade import Cascade, analysis_columns, decision_columns
+from modsieve.operators.cascade import TIME_COLUMNS, Cascade, analysis_columns, decision_columns, stage_timings
 from modsieve.operators.explanations import explanation_prompt
 from modsieve.operators.lexicon import Lexicon
 from modsieve.operators.providers import score_table
+from modsieve.operators.reports import analysis_report
 from modsieve.operators.stages import Stage, classifier_stage, rules_stage, sentiment_stage, toxicity_stage, verdict_stage
+from modsieve.session import materialize
+from modsieve.sources.posts import load_bulk, read_posts_csv
 
 #: What the default stages read besides the content, and the type a missing provider leaves.
 SCORES = {
@@ -67,6 +71,46 @@ def explanation_requests(posts: DataFrame, decided: DataFrame) -> DataFrame:
     return posts.select("post_id", "content").join(flagged, "post_id").select("post_id", "action", explanation_prompt(F.col("content")).alias("prompt"))
 
 
+def posts_rows(decided: DataFrame, seconds: Mapping[str, Column] | None = None, answer: Column | None = None, created_at: Column | None = None) -> DataFrame:
+    """Complete rows of the posts table from :func:`decide`'s result (with ``content``, if it is to be in the rows).
+
+    ``seconds`` has the measured time of each stage by its timing column, zeroed where the stage did not run; ``answer`` is a parsed explanation, taken for flagged posts
+    only; without ``created_at`` rows are of now.  A new row is not overridden and has no comment.
+    """
+    kept = [c for c in ("content",) if c in decided.columns]
+    flat = decision_columns(decided, "post_id", *kept, "n_executed")
+    seconds = {column: F.lit(0.0) for column in TIME_COLUMNS} | dict(seconds or {})
+    none = F.lit(None).cast("struct<explanation:string,troublesome_words:array<string>,suggestion:string>")
+    told = F.when(needs_explanation(F.col("action")), none if answer is None else answer)
+    timed = stage_timings(flat.withColumns(seconds).withColumn("_answer", told))
+    return timed.withColumns({
+        "created_at": F.current_timestamp() if created_at is None else created_at,
+        "processing_time": functools.reduce(lambda total, column: total + F.col(column), TIME_COLUMNS, F.lit(0.0)),
+        "override": F.lit("No"),
+        "llm_explanation": F.coalesce(F.col("_answer")["explanation"], F.lit("")),
+        "llm_troublesome_words": F.coalesce(F.col("_answer")["troublesome_words"], F.array().cast("array<string>")),
+        "llm_suggestion": F.coalesce(F.col("_answer")["suggestion"], F.lit("")),
+        "comments": F.lit(None).cast("string"),
+    }).drop("_answer")
+
+
+def analyse_csv(spark: SparkSession, path: str, analysed_at: Column, content: str = "content", id_column: str | None = None,
+                toxicity: DataFrame | None = None, lexicon: Lexicon | None = None, text_scores: Callable[[DataFrame], DataFrame] | None = None,
+                seconds: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """From CSV files to records and their report: read, check, skip empty posts, number, decide, record, sum up.
+
+    Without an id column posts are numbered by their place in the files, which moves no content.  The records are written once; the
+    report reads what was written.
+    """
+    loaded = load_bulk(read_posts_csv(spark, path), content, id_column, position=True)
+    posts = loaded.select("post_id", F.col(content).alias("content"))
+    scores = toxicity if toxicity is not None else spark.createDataFrame([], "post_id string, label string, score double, error string")
+    rows = posts_rows(decide(posts, scores, lexicon, text_scores, keep_content=True), seconds, created_at=analysed_at.cast("timestamp"))
+    record = analysis_record(rows.withColumn("error", F.lit(None).cast("string")), analysed_at)
+    written = materialize(record, "analysis_records")
+    return written, analysis_report(written)
+
+
 def analysis_record(rows: DataFrame, analysed_at: Column, error: str = "error") -> DataFrame:
     """The bulk analyser's record, all 17 columns; ``rows`` are decisions with ``content``, ``created_at`` and ``processing_time``."""
     record = analysis_columns(rows, "post_id", "content", "created_at", "processing_time", error=error)

@@ -10,6 +10,7 @@ Three kinds of provider, all ``DataFrame -> DataFrame`` adding one column:
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,9 +61,10 @@ def loaded(name: str, load: Callable[[], Callable]) -> Callable:
     return MODELS[name]
 
 
-def batch_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], schema: str) -> Callable[[Column], Column]:
+def batch_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], schema: str, timed: str | None = None) -> Callable[[Column], Column]:
     """Wrap a Python model as a column function.
 
+    ``timed`` names a double field of ``schema`` that gets the measured seconds of a text: those of its batch, shared out evenly.
     ``load`` runs once per Python worker process and returns a function from a series of texts to a frame
     with the fields of ``schema``.  Null texts never reach the model and come back as nulls.
     """
@@ -73,12 +75,15 @@ def batch_scorer(load: Callable[[], Callable[[pd.Series], pd.DataFrame]], schema
         model = loaded(name, load)
         for texts in batches:
             asked = texts[texts.notna()]
+            began = time.perf_counter()
             answers = model(asked) if len(asked) else None
+            if timed and answers is not None:
+                answers[timed] = (time.perf_counter() - began) / len(asked)
             if answers is None:
                 yield pd.DataFrame(index=texts.index, columns=_field_names(schema), dtype=object)
             else:
                 answers.index = asked.index
-                yield answers.reindex(texts.index)
+                yield answers.reindex(texts.index)[_field_names(schema)]
 
     return score.asNondeterministic()
 

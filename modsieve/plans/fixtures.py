@@ -20,7 +20,6 @@ from modsieve.operators.lexicon import Lexicon
 from modsieve.operators.providers import scorecard
 from modsieve.operators.ranking import scattered
 from modsieve.functions import text as T
-from modsieve.functions.labels import needs_explanation
 from modsieve.session import read_table, spread
 
 # class weights of the scorecard: PASS, FLAG, BLOCK
@@ -79,8 +78,9 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentiment_struct(key: Column) -> Column:
-    kind = key % 4
+def sentiment_struct(content: Column, key: Column) -> Column:
+    """A stand-in that reads the whole text: its blanks decide."""
+    kind = T.count_char(content, " ") % 4
     return F.struct(
         F.when(kind < 2, "negative").when(kind == 2, "neutral").alias("label"),
         F.when(kind == 0, 0.95).when(kind == 1, 0.6).when(kind == 2, 0.7).alias("score"),
@@ -88,9 +88,18 @@ def sentiment_struct(key: Column) -> Column:
     )
 
 
-def verdict_response(key: Column) -> Column:
+def verdict_response(content: Column) -> Column:
+    """An answer that repeats the whole post and ends with a verdict, or none."""
     texts = ["FRAUD", " clean. ", "not sure", "This is NOT FRAUD", "FRAUD or CLEAN"]
-    return pick(key % 6, [F.lit(t) for t in texts])
+    return F.concat(F.lit("Post: "), content, F.lit("\nAnswer: "), pick(T.count_char(content, "e") % 6, [F.lit(t) for t in texts]))
+
+
+def wordy_explanation(content: Column) -> Column:
+    """Answers that hold the whole post: as JSON between words, as plain text, after or before braces that are no JSON, or none at all."""
+    good = F.to_json(F.struct(content.alias("explanation"), F.array(F.lit("act now"), F.lit("no risk")).alias("troublesome_words"), F.lit("Ask first").alias("suggestion")))
+    return pick(T.count_char(content, "e") % 5, [
+        F.concat(F.lit("Sure: "), good, F.lit(" ok")), F.concat(F.lit("Looks risky: "), content), F.concat(F.lit("{bad} "), content, F.lit(" }")),
+        F.concat(content, F.lit("} {"))])
 
 
 def explanation_response(key: Column) -> Column:
@@ -127,8 +136,8 @@ def text_scores(posts: DataFrame) -> DataFrame:
     key = F.col("post_id")
     return scorecard_features(posts).withColumns({
         "class_probs": class_probs(key),
-        "sentiment": sentiment_struct(key),
-        "verdict_response": verdict_response(key),
+        "sentiment": sentiment_struct(F.col("content"), key),
+        "verdict_response": verdict_response(F.col("content")),
     }).select(*own, "class_probs", "sentiment", "verdict_response")
 
 
@@ -206,23 +215,9 @@ def gold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts_table(spark: SparkSession, sf_dir: str, keep_content: bool = True) -> DataFrame:
     """Full posts rows, one per document, explanations included."""
-    run = decided(spark, sf_dir, keep_content)
     key = F.col("post_id")
-    flat = decision_columns(run, "post_id", *(["content"] if keep_content else []), "n_executed")
-    answer = F.when(needs_explanation(F.col("action")), parse_explanation(explanation_response(key), explanation_error(key)))
-    timed = stage_timings(flat.withColumns(time_columns(key)).withColumn("_answer", answer))
-    total = F.lit(0.0)
-    for column in TIME_COLUMNS:
-        total = total + F.col(column)
-    return timed.withColumns({
-        "created_at": F.timestamp_seconds(F.lit(1704067200) + key * 61),
-        "processing_time": total,
-        "override": F.lit("No"),
-        "llm_explanation": F.coalesce(F.col("_answer")["explanation"], F.lit("")),
-        "llm_troublesome_words": F.coalesce(F.col("_answer")["troublesome_words"], F.array().cast("array<string>")),
-        "llm_suggestion": F.coalesce(F.col("_answer")["suggestion"], F.lit("")),
-        "comments": F.lit(None).cast("string"),
-    }).drop("_answer")
+    answer = parse_explanation(explanation_response(key), explanation_error(key))
+    return moderate.posts_rows(decided(spark, sf_dir, keep_content), time_columns(key), answer, F.timestamp_seconds(F.lit(1704067200) + key * 61))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> Column:

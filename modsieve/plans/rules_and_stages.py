@@ -13,12 +13,12 @@ from modsieve.operators import moderate
 from modsieve.operators import stages as S
 from modsieve.operators.explanations import parse_explanation
 from modsieve.operators.lexicon import Lexicon, first_hit_per_post, first_hits, fuzzy_match, lexicon_hits
-from modsieve.operators.providers import score_table
+from modsieve.operators.providers import batch_scorer, masked, score_table
 from modsieve.operators.rows import expand_with_position, filter_once
 from modsieve.plans import fixtures as X
 from modsieve.plans.registry import query
 from modsieve.plans.sqlviews import ADDRESS, ESCALATED, MODEL_SQL, NWS, fuzzy, squash, ts_text, using
-from modsieve.session import read_table, spread
+from modsieve.session import read_table, share_package, spread
 
 RESULT = ["decision", "reason", "confidence", "threat_level"]
 
@@ -162,9 +162,8 @@ select s.post_id, d4 as decision, r4 as reason, c4 as confidence, t4 as threat_l
   case when sen_error is null then sen_score end as sentiment_confidence
 from stages s join sent n using (post_id)"""))
 def _(spark, sf):
-    keys = read_table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"))
     s = F.col("s")
-    scored = keys.withColumn("s", X.sentiment_struct(F.col("post_id"))).select(
+    scored = X.planted(spark, sf).select("post_id", X.sentiment_struct(F.col("content"), F.col("post_id")).alias("s")).select(
         "post_id", S.sentiment_annotation(s["label"], s["score"], s["error"]).alias("r"))
     notes = F.col("r")["metadata"]
     return scored.select("post_id", *[F.col("r")[n].alias(n) for n in RESULT], notes["sentiment"].alias("sentiment"),
@@ -183,8 +182,7 @@ def _(spark, sf):
 @query("llm_verdict_parse", using("stages", body="""
 select post_id, verdict, (case when verdict in ('FRAUD', 'CLEAN') then 0.9 else 0.5 end)::double as confidence from stages"""))
 def _(spark, sf):
-    keys = read_table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"))
-    said = keys.select("post_id", S.verdict_of(X.verdict_response(F.col("post_id"))).alias("verdict"))
+    said = X.planted(spark, sf).select("post_id", S.verdict_of(X.verdict_response(F.col("content"))).alias("verdict"))
     return said.withColumn("confidence", S.verdict_confidence(F.col("verdict")))
 
 
@@ -282,17 +280,51 @@ def _(spark, sf):
     return record.withColumns({c: F.round(c, 6) for c in ("processing_time", "confidence")})
 
 
-@query("explanation_parse", using("explained", body="""
-select post_id, explanation, array_to_string(words, '|') as troublesome_words, suggestion from explained"""))
-def _(spark, sf):
-    keys = read_table(spark, sf, "documents").select(F.col("doc_id").alias("post_id"))
-    key = F.col("post_id")
-    parsed = keys.select("post_id", parse_explanation(X.explanation_response(key), X.explanation_error(key)).alias("a"))
+@query("explanation_parse", using("planted", extra={"answered": """
+select *, regexp_extract(response, '(?s)\\{.*\\}') as document, case when post_id % 35 = 0 then 'quota exceeded' end as err from (
+  select post_id, content, kind, case kind when 0 then 'Sure: ' || to_json({'explanation': content, 'troublesome_words': ['act now', 'no risk'], 'suggestion': 'Ask first'}) || ' ok'
+    when 1 then 'Looks risky: ' || content when 2 then '{bad} ' || content || ' }' when 3 then content || '} {' end as response
+  from (select *, (length(content) - length(replace(content, 'e', ''))) % 5 as kind from planted))""", "read": """
+select *, err is null and response is not null and document <> '' and json_valid(document) as readable from answered"""}, body="""
+select post_id, case when err is not null then err when response is null then 'LLM request failed.' when readable then coalesce(document::json->>'$.explanation', '')
+    else response end as explanation,
+  case when readable then coalesce(array_to_string(from_json(document::json->'$.troublesome_words', '["varchar"]'), '|'), '') else '' end as troublesome_words,
+  case when readable then coalesce(document::json->>'$.suggestion', '') else '' end as suggestion
+from read"""))
+def _(spark, sf):
+    answer = parse_explanation(X.wordy_explanation(F.col("content")), X.explanation_error(F.col("post_id")))
+    parsed = X.planted(spark, sf).select("post_id", answer.alias("a"))
     return parsed.select("post_id", F.col("a")["explanation"].alias("explanation"),
                          F.array_join(F.col("a")["troublesome_words"], "|").alias("troublesome_words"),
                          F.col("a")["suggestion"].alias("suggestion"))
 
 
+def upper_share(texts):
+    """A stand-in for a text model: how much of a text is in capitals or digits."""
+    import pandas as pd
+
+    marked, size = texts.str.count("[A-Z0-9]"), texts.str.len()
+    return pd.DataFrame({"label": (marked * 50 > size).map({True: "toxic", False: "fine"}), "score": marked / size.where(size > 0, 1)})
+
+
+@query("text_model_scores", using("stage1", "planted", extra={"asked": """
+select post_id, case when s.d1 <> 'BLOCK' then p.content end as content from stage1 s join planted p using (post_id)"""}, body="""
+select post_id, content is null as skipped, case when marked * 50 > size then 'toxic' when content is not null then 'fine' end as label,
+  round(marked::double / greatest(size, 1), 9) as score, content is not null as timed
+from (select *, length(regexp_replace(content, '[^A-Z0-9]', '', 'g')) as marked, length(content) as size from asked)"""))
+def _(spark, sf):
+    # a model in the plan: whole texts in Arrow batches, none of posts the rules have blocked
+    share_package(spark)
+    rules = S.rules_stage()
+    posts = rules.prepare(X.planted(spark, sf))
+    ruled = posts.select("post_id", "content", rules.decide(posts, []).alias("rules"))
+    model = batch_scorer(lambda: upper_share, "label string, score double, seconds double", timed="seconds")
+    asked = masked(F.col("content"), [F.col("rules")])
+    scored = ruled.select("post_id", asked.isNull().alias("skipped"), model(asked).alias("m"))
+    return scored.select("post_id", "skipped", F.col("m")["label"].alias("label"), F.round(F.col("m")["score"], 9).alias("score"),
+                         F.coalesce(F.col("m")["seconds"] >= 0, F.lit(False)).alias("timed"))
+
+
 @query("moderate", using("posts", body="""
 select post_id, content, accepted, reason, threat_level, round(confidence, 6) as confidence, stage, band, action,
   round(processing_time, 6) as processing_time, override, llm_explanation,

@@ -116,15 +116,14 @@ select doc_id as post_id, case when doc_id % 3 = 0 then 'LABEL_1' else 'toxic' e
 from labels"""
 
 _SENT = """
-select doc_id as post_id, case when doc_id % 4 < 2 then 'negative' when doc_id % 4 = 2 then 'neutral' end as sen_label,
-  (case doc_id % 4 when 0 then 0.95 when 1 then 0.6 when 2 then 0.7 end)::double as sen_score,
-  case when doc_id % 44 = 0 then 'scorer timeout' end as sen_error
-from documents"""
+select post_id, case when kind < 2 then 'negative' when kind = 2 then 'neutral' end as sen_label,
+  (case kind when 0 then 0.95 when 1 then 0.6 when 2 then 0.7 end)::double as sen_score, case when post_id % 44 = 0 then 'scorer timeout' end as sen_error
+from (select post_id, (length(content) - length(replace(content, ' ', ''))) % 4 as kind from planted)"""
 
 _ANSWERS = """
-select doc_id as post_id, case doc_id % 6 when 0 then 'FRAUD' when 1 then ' clean. ' when 2 then 'not sure'
-  when 3 then 'This is NOT FRAUD' when 4 then 'FRAUD or CLEAN' end as response
-from documents"""
+select post_id, 'Post: ' || content || chr(10) || 'Answer: ' || case (length(content) - length(replace(content, 'e', ''))) % 6 when 0 then 'FRAUD' when 1 then ' clean. '
+  when 2 then 'not sure' when 3 then 'This is NOT FRAUD' when 4 then 'FRAUD or CLEAN' end as response
+from planted"""
 
 _STAGES = """
 select s.post_id, d1, r1, c1, t1,
@@ -267,8 +266,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "weighed": (["planted"], _WEIGHED),
     "probs": (["weighed"], _PROBS),
     "tox": ([], _TOX),
-    "sent": ([], _SENT),
-    "answers": ([], _ANSWERS),
+    "sent": (["planted"], _SENT),
+    "answers": (["planted"], _ANSWERS),
     "stages": (["stage1", "probs", "tox", "sent", "answers"], _STAGES),
     "decided": (["stages"], _DECIDED),
     "trace": (["decided"], _TRACE),

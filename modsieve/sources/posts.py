@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions.text import is_blank, iso_time
 from modsieve.operators.ranking import ranked
+from modsieve.session import materialize
 
 CSV_CELLS = {
     "header": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
@@ -61,15 +62,36 @@ def skip_empty(posts: DataFrame, content: str = "content") -> DataFrame:
     return posts.filter(F.col(content).isNotNull() & ~is_blank(F.col(content)))
 
 
+def number_by_position(posts: DataFrame, name: str) -> DataFrame:
+    """Append gapless numbers from 1: files by their paths, rows as they stand in a file.  ``posts`` is read from files.
+
+    Only counts move: the rows of every split are counted first, running sums give each split its first number, and a row's number is that plus
+    its place in the split.  Both passes read the same splits, as they do while files and settings stay the same.
+    """
+    split = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    placed = posts.select("*", *split, F.monotonically_increasing_id().alias("_place"))
+    paths = posts.select(F.col("_metadata.file_path").alias("_path"), *split, F.monotonically_increasing_id().alias("_place"))
+    counts = materialize(paths.groupBy("_path", "_file", "_block").agg(F.count("*").alias("n"), F.min("_place").alias("_first")), "splits")
+    before = Window.partitionBy().orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", "_block", "_first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    # one row of four numbers for every split of the files
+    joined = placed.join(F.broadcast(starts), ["_file", "_block"])
+    return joined.select(*posts.columns, (F.col("_start") + F.col("_place") - F.col("_first") + 1).alias(name))
+
+
 def assign_post_id(posts: DataFrame, id_column: str | None = None, order: str | None = None,
-                   content: str = "content") -> DataFrame:
-    """Append ``post_id``: the id column as text, else ``post_<n>`` by source position, else by the order of contents.
+                   content: str = "content", position: bool = False) -> DataFrame:
+    """Append ``post_id``: the id column as text, else ``post_<n>`` by the place in the source files (``position``) or by ``order``, else by
+    the order of contents.
 
     Every row gets an id of its own: rows of one position, or of one content, are numbered one after the other, and
-    null positions come first.  Positions are counted without a global single-task sort.
+    null positions come first.  By position no content moves; the two other ways sort rows, without a global single-task sort.
     """
     if id_column:
         return posts.withColumn("post_id", F.col(id_column).cast("string"))
+    if position:
+        numbered = number_by_position(posts, "_n")
+        return numbered.withColumn("post_id", F.concat(F.lit("post_"), F.col("_n").cast("string"))).drop("_n")
     if order:
         return ranked(posts, order, name="_n").withColumn("post_id", F.concat(F.lit("post_"), F.col("_n").cast("string"))).drop("_n")
     # copies of one content share its digest and differ by their number among the copies
@@ -79,10 +101,21 @@ def assign_post_id(posts: DataFrame, id_column: str | None = None, order: str |
 
 
 def load_bulk(posts: DataFrame, content: str = "content", id_column: str | None = None,
-              order: str | None = None) -> DataFrame:
+              order: str | None = None, position: bool = False) -> DataFrame:
     """Check columns, skip empty posts, give every post an id."""
     use = validate_columns(posts, content, id_column)
-    return assign_post_id(skip_empty(posts, content), use, order, content)
+    return assign_post_id(skip_empty(posts, content), use, order, content, position)
+
+
+def store_posts(rows: DataFrame, table: str, location: str, buckets: int, key: str = "post_id") -> DataFrame:
+    """Write a table bucketed and sorted by ``key`` and return it.
+
+    Tables with the same buckets meet on the key without moving a row: posts stored once beside their scores and decisions cost no
+    shuffle of contents in moderation, prompts, explanation requests and listings.
+    """
+    spark = rows.sparkSession
+    rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", location).saveAsTable(table)
+    return spark.table(table)
 
 
 def posts_append(rows: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from modsieve.operators import stages as S
 from modsieve.operators.explanations import parse_explanation
 from modsieve.operators.providers import batch_scorer, masked
 from modsieve.plans import fixtures
+from modsieve.sources import posts as P
 
 
 def run(spark, rows):
@@ -147,3 +148,67 @@ def test_model_is_loaded_once_per_worker(spark, tmp_path):
     assert posts.select(score("content")["n"].alias("n")).agg(F.sum("n")).first()[0] == 10 + 2 * 54
     pids = open(log).read().split()
     assert len(pids) == len(set(pids))
+
+
+def test_csv_to_records_and_report(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('content,who\n"a scammer, really",x\n"  ",y\n"two\nlines",z\n')
+    (folder / "b.csv").write_text("content,who\nfine,x\nfine,x\nmake $5000 at https://a.b,y\n")
+    record, report = moderate.analyse_csv(spark, str(folder), F.lit("2024-02-01T00:00:00"))
+    rows = {r.post_id: r for r in record.collect()}
+    assert {k: r.full_content for k, r in rows.items()} == {
+        "post_1": "a scammer, really", "post_2": "two\nlines", "post_3": "fine", "post_4": "fine", "post_5": "make $5000 at https://a.b"}
+    assert len(record.columns) == 17 and rows["post_3"].accepted and not rows["post_1"].accepted
+    assert report.first()["performance"]["total_posts"] == 5 if "total_posts" in report.first()["performance"].asDict() else report.count() == 1
+    named, _ = moderate.analyse_csv(spark, str(folder / "b.csv"), F.lit("2024-02-01T00:00:00"), id_column="who")
+    assert sorted(r.post_id for r in named.collect()) == ["x", "x", "y"]
+
+
+def test_numbers_by_position_move_no_content(spark, tmp_path):
+    for k in range(3):
+        spark.range(k * 1_000, k * 1_000 + 1_000, 1, 1).selectExpr("id", "concat('text ', id) as content").write.parquet(str(tmp_path / f"p{k}"))
+    posts = spark.read.parquet(*[str(tmp_path / f"p{k}") for k in range(3)])
+    named = P.assign_post_id(P.skip_empty(posts), position=True)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert all("SinglePartition" in line for line in moved) and "content" not in "".join(moved)
+    found = {r.id: int(r.post_id[5:]) for r in named.collect()}
+    assert found == {k: k + 1 for k in range(3_000)}
+    assert found == {r.id: int(r.post_id[5:]) for r in P.assign_post_id(posts, position=True).collect()}
+
+
+def test_stored_posts_are_not_shuffled(spark, tmp_path):
+    posts = spark.range(200).selectExpr("id as post_id", "concat('act now guaranteed returns ', id) as content")
+    toxicity = spark.range(0, 200, 2).selectExpr("id as post_id", "'toxic' as label", "0.9D as score", "cast(null as string) as error")
+    want = sorted(map(str, moderate.decide(posts, toxicity, keep_content=True).collect()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = P.store_posts(posts, "stored_posts", str(tmp_path / "posts"), 4)
+        scores = P.store_posts(toxicity, "stored_scores", str(tmp_path / "scores"), 4)
+        decided = moderate.decide(stored, scores, keep_content=True)
+        kept = P.store_posts(decided.drop("content"), "stored_decisions", str(tmp_path / "decisions"), 4)
+        for frame in (decided, moderate.explanation_requests(stored, kept)):
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, decided.collect())) == want and moderate.explanation_requests(stored, kept).count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("stored_posts", "stored_scores", "stored_decisions"):
+            spark.sql(f"drop table if exists {name}")
+
+
+def test_text_model_skips_blocked_posts(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(texts):
+            calls.add(len(texts))
+            return pd.DataFrame({"score": texts.str.len().astype(float)})
+        return model
+
+    rows = spark.createDataFrame([(1, "abc", "ACCEPT"), (2, "de", "BLOCK"), (3, "f" * 100_000, "ESCALATE"), (4, None, "ACCEPT")], "post_id long, content string, decision string")
+    score = batch_scorer(load, "score double, seconds double", timed="seconds")
+    found = {r.post_id: r.m for r in rows.select("post_id", score(masked(F.col("content"), [F.struct("decision")])).alias("m")).collect()}
+    assert calls.value == 2 and {k: m["score"] for k, m in found.items()} == {1: 3.0, 2: None, 3: 100_000.0, 4: None}
+    assert found[1]["seconds"] > 0 and found[2]["seconds"] is None
