@@ -1,7 +1,8 @@
 """Mix labelled or sourced posts to target weights by repeating and dropping whole posts.
 
 Edge cases: a null category is a category of its own, last in order; a null or empty content has size 0 and
-may be emitted any number of times without counting; repeated rows are mixed row by row, with the same draw;
+may be emitted any number of times without counting; rows are mixed one by one, each with a draw of its own, also where
+they repeat an id or have none: in such a table the draws come from the id, the content and the place of the row in its files;
 a category whose sizes sum to 0 has target 0 and emits nothing; an empty table gives an empty table.
 """
 
@@ -60,7 +61,7 @@ def copies_of(posts: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1
 
     ``size`` counts the words of the content.  The repetition rate of a category is its target over its size.  Every
     post is taken ``floor(rate)`` times, and once more if its draw, a hash of the seed and its id, is below the
-    fraction that is left.  Posts whose id is null share one draw.  The category sizes are summed first and the
+    fraction that is left.  In a table with repeated or null ids the draws are of rows, not of ids, and reruns over the same files agree.  The category sizes are summed first and the
     targets, one row per category, are written; Spark then knows their size and broadcasts them if they are small,
     so the contents are not shuffled.
     """
@@ -76,7 +77,12 @@ def _counted(carried: Carried, weights: list[int], share: float, most: float, se
     targets = materialize(category_targets(sized.select(category.alias("category"), "size"), list(weights), share, most), "targets")
     rate = F.when(F.col("category_size") > 0, F.col("target") / F.col("category_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (unit_draw(carried["post_id"], seed) < rate - whole).cast("long")
+    key = carried["post_id"].cast("string")
+    own, every = carried.frame.agg(F.count_distinct(key), F.count("*")).first()
+    if own < every:
+        key = F.concat_ws(":", key, F.xxhash64(content), F.monotonically_increasing_id())
+    sized = sized.withColumn("_draw", unit_draw(key, seed))
+    extra = (F.col("_draw") < rate - whole).cast("long")
     joined = sized.join(targets, category.eqNullSafe(F.col("category")))
     return joined.withColumn("copies", whole + extra)
 

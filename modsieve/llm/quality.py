@@ -17,11 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 
 #: What a line of prose ends with somewhere, and what boilerplate lines say.
-SENTENCE_END = r"[.!?;:…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
+# Latin and full-width marks; danda and double danda; Arabic question mark, semicolon and Urdu full stop; Armenian, Ethiopic, Khmer,
+# Myanmar and Tibetan full stops; closing quotes and brackets may follow.
+SENTENCE_END = r"[.!?;:…。！？．；：｡।॥؟؛۔։።፧។။།][\"'”’»)\]」』）］】》]*([\x20\x09-\x0D]|$)"
+# English, French, German, Spanish
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "terms of use", "terms of service", "privacy policy",
     "cookie policy", "accept cookies", "enable javascript", "lorem ipsum", "subscribe to our newsletter", "sign up for our",
     "powered by", "copyright ©", "(c) copyright", "permission is hereby granted",
+    "tous droits réservés", "conditions d'utilisation", "conditions générales", "politique de confidentialité", "mentions légales", "accepter les cookies",
+    "activer javascript", "abonnez-vous à notre",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "javascript aktivieren",
+    "abonnieren sie unseren",
+    "todos los derechos reservados", "términos de uso", "términos y condiciones", "política de privacidad", "aviso legal", "aceptar cookies",
+    "activar javascript", "suscríbete a nuestro",
 ]
 NAVIGATION = r"(^|[\x20\x09-\x0D])([|»›>•·/\\]|::|->|=>)([\x20\x09-\x0D]|$)"
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,8 @@ WORD = re.compile(r"[^\W\d_]+")
 BATCH_WORDS = 200_000
 #: Words on either side of the middle of a training window.
 REACH = 8
-#: Windows taken from one post at most, toxic signs first: the chain is fitted on windows, it tags whole contents.
+#: Windows taken from one sampled post at most, places drawn by a hash over all its words with a candidate sign: the chain is fitted on
+#: windows, it tags whole contents.
 WINDOWS = 12
 #: Most frequent candidates for a sign that reach the driver.
 MOST_SIGNS = 20_000
@@ -56,8 +58,14 @@ class Tagger:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
+def lowered(content: str) -> str:
+    """Lower case, character by character where that would change the length, so that offsets are those of the content."""
+    whole = content.lower()
+    return whole if len(whole) == len(content) else "".join(low if len(low := c.lower()) == 1 else c for c in content)
+
+
 def words_of(content: str | None) -> list[str]:
-    return WORD.findall(content.lower()) if content else []
+    return WORD.findall(lowered(content)) if content else []
 
 
 def signs_of(word: str) -> list[str]:
@@ -112,9 +120,8 @@ class Scorer:
                 found: list[dict] = []
                 if len(own) and own.max() >= least:
                     text = contents[start + k]
-                    # lower case may be longer; offsets are those of the content where it is not
                     last = -2
-                    for place, match in enumerate(WORD.finditer(text.lower())):
+                    for place, match in enumerate(WORD.finditer(lowered(text))):
                         if own[place] < least:
                             continue
                         if place == last + 1:
@@ -161,7 +168,8 @@ def _windows(sample: DataFrame, signs: set[str]) -> DataFrame:
                     continue
                 hits = [(k, found) for k, w in enumerate(words) if (found := [s for s in signs_of(w) if s in known])]
                 fixed = int.from_bytes(content.encode("utf-8", "surrogatepass")[-8:], "little") % len(words)
-                for k, found in [*hits[: WINDOWS - 1], (fixed, [])]:
+                hits.sort(key=lambda hit: zlib.crc32(f"{hit[0]} {words[hit[0]]}".encode("utf-8", "surrogatepass")))
+                for k, found in [*sorted(hits[: WINDOWS - 1]), (fixed, [])]:
                     rows.append((label, words[max(0, k - REACH) : k + REACH + 1], min(k, REACH), found))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.string())),

@@ -9,7 +9,7 @@ from tables import edge_posts, no_posts
 
 from modsieve.llm import crf, language, mixing, samples, toxicity
 from modsieve.llm.queries import op8_language_id, op10_toxicity
-from modsieve.session import read_table
+from modsieve.session import materialize, read_table
 
 MEDIUM = "/root/testdata/sf0.01"
 
@@ -143,6 +143,29 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(shared_out(sizes, 1.5, 2.0, [3, 1, 2]))
 
 
+@pytest.mark.parametrize("name", ["null", "one", "pairs"])
+def test_targets_are_met_whatever_the_ids(spark, name):
+    rows = [({"null": None, "one": 7, "pairs": k // 2}[name], "same words here" if k % 2 else f"words {k % 5} here", c) for c in "abc" for k in range(400)]
+    frame = spark.createDataFrame(rows, "post_id long, content string, category string").repartition(4)
+    written = materialize(frame, "posts")
+    found = mixing.copies_of(written).collect()
+    for c, target in (("a", 2_400), ("b", 1_000), ("c", 2_000)):
+        own = [r for r in found if r["category"] == c]
+        assert own[0]["target"] == target and abs(sum(r["size"] * r["copies"] for r in own) - target) <= 150
+        assert max(r["copies"] for r in own) <= 2
+    assert sorted(map(str, mixing.copies_of(written).collect())) == sorted(map(str, found))
+
+
+def test_spans_of_contents_that_lower_case_lengthens(spark):
+    text = "İİİ vile"
+    assert toxicity.lowered(text) == "İİİ vile" and len(toxicity.lowered("İx ΑΣ")) == 5
+    weights = np.zeros(crf.WIDTH, np.float32)
+    weights[crf.word_features("vile")] = 50
+    tagger = toxicity.Tagger(weights, np.array([[0.0, -1.0], [0.0, 0.0]]), np.array([0.0] * (len(toxicity.EVIDENCE) + 1)))
+    (span,) = toxicity.Scorer(tagger).spans([text], 0.9)[0]
+    assert text[span["start"] : span["start"] + span["length"]] == "vile"
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     frame = spark.range(6_000).select(F.col("id").alias("post_id"), F.lit("one two three").alias("content"), F.expr("array('PASS', 'FLAG', 'BLOCK', null)[id % 4]").alias("category"))
     counted = mixing.copies_of(frame)

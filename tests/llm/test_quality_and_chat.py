@@ -98,3 +98,11 @@ def test_exchange_edge_rows(spark):
 def test_reader_refuses_other_text(spark):
     out = spark.range(1).select(chat.parse(F.lit("<s>[INST] user [/INST]a</s>garbage")).alias("t")).first()["t"]
     assert out[0]["content"] == "a" and out[1]["role"] is None
+
+
+def test_sentence_ends_of_many_scripts(spark):
+    lines = ["एक दो तीन।", "আমরা যাই॥", "یہ ایک جملہ ہے۔", "هل هذا سؤال؟", "Սա նախադասություն է։", "ይህ ዓረፍተ ነገር ነው።", "これは文です。」", "នេះជាប្រយោគ។"]
+    plain = ["एक दो तीन", "just some words", "Tous droits réservés.", "Alle Rechte vorbehalten.", "Todos los derechos reservados."]
+    rows = spark.createDataFrame([(k, (line + "\n") * 3) for k, line in enumerate(lines + plain)], "post_id long, content string")
+    lost = {r["post_id"]: r["n_lost_chars"] > 0 for r in quality.clean_lines(rows).collect()}
+    assert lost == {k: k >= len(lines) for k in range(len(lines + plain))}
