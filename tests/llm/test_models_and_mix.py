@@ -160,7 +160,7 @@ def test_spans_of_contents_that_lower_case_lengthens(spark):
     text = "İİİ vile"
     assert toxicity.lowered(text) == "İİİ vile" and len(toxicity.lowered("İx ΑΣ")) == 5
     weights = np.zeros(crf.WIDTH, np.float32)
-    weights[crf.word_features("vile")] = 50
+    weights[list(set(crf.word_features("vile")) - set(crf.word_features("İİİ")))] = 50
     tagger = toxicity.Tagger(weights, np.array([[0.0, -1.0], [0.0, 0.0]]), np.array([0.0] * (len(toxicity.EVIDENCE) + 1)))
     (span,) = toxicity.Scorer(tagger).spans([text], 0.9)[0]
     assert text[span["start"] : span["start"] + span["length"]] == "vile"
