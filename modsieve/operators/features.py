@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions import text as T
+from modsieve.session import materialize
 
 COUNT_FEATURES = [
     "num_words", "num_chars", "avg_word_len", "num_upper", "num_exclaims", "num_questions",
@@ -32,17 +33,22 @@ def _holds_any(column: str, parts: list[str]) -> Column:
     return out
 
 
-def count_features(posts: DataFrame, content: str = "content") -> DataFrame:
-    """Append the eighteen counts and ratios.  Tokens are cut once and reused."""
+def with_tokens(posts: DataFrame, content: str = "content") -> DataFrame:
+    """Append ``_tokens``, written to the shared folder: cutting costs more than all other features, and features and TF-IDF, fit and weights, share it."""
+    return materialize(posts.withColumn("_tokens", T.tokens(F.col(content))), "tokens")
+
+
+def count_features(posts: DataFrame, content: str = "content", tokens: str | None = None) -> DataFrame:
+    """Append the eighteen counts and ratios.  Tokens are cut once and reused, or are a column already."""
     text = F.col(content)
-    cut = posts.withColumn("_tokens", T.tokens(text))
+    cut = posts.withColumn("_tokens", F.col(tokens) if tokens else T.tokens(text))
     counted = cut.withColumns({
         "num_words": F.size("_tokens"),
         "num_chars": F.length(text),
         "num_upper": T.count_pattern(text, r"\p{IsUppercase}"),
         "num_exclaims": T.count_char(text, "!"),
         "num_questions": T.count_char(text, "?"),
-        "num_links": T.count_pattern(F.lower(text), K.URL_PATTERN),
+        "num_links": F.when(F.contains(F.lower(text), F.lit("http")), T.count_pattern(F.lower(text), K.URL_PATTERN)).otherwise(0),
         "num_mentions": T.count_char(text, "@"),
         "num_dollar": T.count_char(text, "$"),
         "num_hashtags": T.count_char(text, "#"),
@@ -53,11 +59,12 @@ def count_features(posts: DataFrame, content: str = "content") -> DataFrame:
         "all_caps": _flag(text.rlike(r"\p{IsUppercase}") & ~text.rlike(r"[\p{IsLowercase}\p{Lt}]")),
         "starts_with_http": _flag(F.startswith(T.lstrip(F.lower(text)), F.lit("http"))),
     })
-    return counted.withColumns({
+    ready = counted.withColumns({
         "avg_word_len": T.ratio(F.col("num_chars"), F.col("num_words")),
         "frac_upper": T.ratio(F.col("num_upper"), F.col("num_chars")),
         "frac_stopwords": T.ratio(F.col("stopword_count"), F.col("num_words")),
-    }).drop("_tokens")
+    })
+    return ready if tokens else ready.drop("_tokens")
 
 
 def keyword_features(posts: DataFrame, keywords: list[str], content: str = "content") -> DataFrame:
@@ -90,12 +97,12 @@ def pattern_features(posts: DataFrame, content: str = "content") -> DataFrame:
     }).drop("_lower")
 
 
-def extract_features(posts: DataFrame, keywords: list[str] | None = None, content: str = "content") -> DataFrame:
+def extract_features(posts: DataFrame, keywords: list[str] | None = None, content: str = "content", tokens: str | None = None) -> DataFrame:
     """All 51 base features, in :data:`BASE_FEATURES` order, after the frame's own columns."""
     own = posts.columns
     wide = pattern_features(
         phrase_features(
-            keyword_features(count_features(posts, content), keywords if keywords is not None else K.SCAM_PHRASES,
+            keyword_features(count_features(posts, content, tokens), keywords if keywords is not None else K.SCAM_PHRASES,
                              content),
             content),
         content)

@@ -126,9 +126,9 @@ def _(spark, sf):
 
 
 def feature_rows(spark, sf):
-    rows = X.training(spark, sf)
-    vocab = V.vocabulary(V.tfidf_fit(rows))
-    wide = V.tfidf_transform(FT.extract_features(rows, K.SCAM_PHRASES, "text"), vocab)
+    rows = FT.with_tokens(X.training(spark, sf), "text")
+    vocab = V.vocabulary(V.tfidf_fit(rows, tokens="_tokens"))
+    wide = V.tfidf_transform(FT.extract_features(rows, K.SCAM_PHRASES, "text", "_tokens"), vocab, tokens="_tokens")
     return wide, FT.BASE_FEATURES + [V.feature_name(term) for term, _ in vocab]
 
 
