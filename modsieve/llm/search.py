@@ -32,6 +32,8 @@ from modsieve.session import materialize, scratch_path
 #: Postings of one block of a stratum, one row of the index; a longer post is a block of its own.  Rows and row groups are small, so
 #: that a reader never holds much: Spark's Parquet reader takes thousands of rows of a row group at once.
 POSTINGS, ROW_GROUP = 1 << 13, 4 << 20
+#: Bytes of texts whose terms are counted together.
+TEXT_BYTES = 4 << 20
 #: Postings of a stratum that are scored together.
 SCORED = 1 << 17
 #: Queries, and their distinct terms, of one block of queries on average: what is sent to every worker.
@@ -44,6 +46,7 @@ FOLD = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in rang
 
 def folded(texts: pa.Array) -> pa.Array:
     """The terms of every text with blanks between; the buffer is folded as a whole."""
+    texts = pa.concat_arrays([texts])  # of a slice, its own part of the buffers
     valid, offsets, data = texts.buffers()
     return pa.Array.from_buffers(texts.type, len(texts), [valid, offsets, pa.py_buffer((data or pa.py_buffer(b"")).to_pybytes().translate(FOLD))], offset=texts.offset)
 
@@ -60,11 +63,23 @@ def counted(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return pairs // n, coded.dictionary.cast(pa.binary()).take(pa.array(pairs % n)), tfs
 
 
+def slices_of(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``TEXT_BYTES`` in column ``texts``; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(texts)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def term_counts(rows: DataFrame, key: str) -> DataFrame:
     """``key``, ``n`` (terms with repeats), ``terms`` and their ``tfs`` for every ``content`` that has a term; map only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices_of(batches, 1):
             place, terms, tfs = counted(batch.column(1))
             some, starts = np.unique(place, return_index=True)
             ends = pa.array(np.append(starts, len(place)).astype(np.int32))
