@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from modsieve import constants as K
 from modsieve.functions import labels as L
 from modsieve.operators.quantiles import describe
+from modsieve.session import materialize
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -43,14 +44,22 @@ def distribution(posts: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("percent", F.col("posts") * 100.0 / F.sum("posts").over(Window.partitionBy()))
 
 
-def performance_summary(rows: DataFrame, error: str = "error", time: str = "processing_time") -> DataFrame:
+def _measures(error: str, time: str) -> list[Column]:
     t = F.col(time)
-    got = rows.agg(
+    return [
         F.count("*").alias("total_posts"),
         F.count_if(F.col(error).isNull()).alias("successful"),
         F.avg(t).alias("avg"), F.min(t).alias("min"), F.max(t).alias("max"),
         F.stddev_samp(t).alias("std"), F.count(t).alias("timed"), F.sum(t).alias("sum"),
-    )
+        F.count_if("escalated").alias("escalations"),
+    ]
+
+
+def performance_summary(rows: DataFrame, error: str = "error", time: str = "processing_time") -> DataFrame:
+    return _performance(rows.agg(*_measures(error, time)[:-1]))
+
+
+def _performance(got: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return got.select(
         "total_posts", F.col("successful").alias("successful_analyses"),
@@ -204,28 +213,40 @@ def top_bands(rows: DataFrame, n: int = 3) -> DataFrame:
     return counts.orderBy(F.desc("posts"), "band").limit(n)
 
 
+def report_cells(rows: DataFrame, columns: list[str], measures: list[Column]) -> DataFrame:
+    """The measures of all rows and of every value of each column, from one pass; ``no_<column>`` is 0 where the cell is of a value of the column."""
+    flags = [F.grouping(c).alias(f"no_{c}") for c in columns]
+    return materialize(rows.groupingSets([[], *[[c] for c in columns]], *columns).agg(*measures, *flags), "report_cells")
+
+
+def _total(cells: DataFrame, columns: list[str], counts: list[str], others: list[str]) -> DataFrame:
+    """The cell of all rows; of no rows at all, one with counts of 0."""
+    whole = cells.filter(" and ".join(f"no_{c} = 1" for c in columns))
+    return whole.agg(*[F.coalesce(F.max(c), F.lit(0).cast("long")).alias(c) for c in counts], *[F.max(c).alias(c) for c in others])
+
+
 def analysis_report(rows: DataFrame) -> DataFrame:
-    """One row with every section as a struct or map; the sections are small aggregates of ``rows``.
+    """One row with every section as a struct or map.
 
-    Materialise ``rows`` first when it is expensive: each section reads it once, some twice.
+    All sections but the quantiles of the confidence are cut from the cells of one pass over ``rows``.
     """
+    columns = ["stage", "band", "decision_model"]
+    cells = report_cells(rows, columns, _measures("error", "processing_time"))
+    total = _total(cells, columns, ["total_posts", "successful", "timed", "escalations"], ["avg", "min", "max", "std", "sum"])
 
-    def as_map(counts: DataFrame, key: str) -> Column:
-        return counts.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "posts"))))).scalar()
+    def as_map(column: str, measure: str, condition: str = "true") -> Column:
+        own = cells.filter(f"no_{column} = 0 and {condition}")
+        return own.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, F.col(measure).alias("posts")))))).scalar()
 
-    stages = escalation_summary(rows).filter("stage <> '(all)'").select(
-        "stage", F.col("escalations").alias("posts"))
-    escalated = escalation_summary(rows).filter("stage = '(all)'").select(
-        F.struct("escalations", "escalation_rate")).scalar()
-    confidence = confidence_describe(rows)
-    return performance_summary(rows).select(
+    escalated = total.select(F.struct("escalations", percent(F.col("escalations"), F.col("successful")).alias("escalation_rate"))).scalar()
+    return _performance(total).select(
         F.struct("*").alias("performance"),
         escalated.alias("escalation"),
-        as_map(stages, "stage").alias("escalations_by_stage"),
-        as_map(counts_by(rows, "band"), "band").alias("band_distribution"),
-        as_map(counts_by(rows, "decision_model"), "decision_model").alias("model_decisions"),
-        as_map(counts_by(rows, "stage"), "stage").alias("stage_distribution"),
-        confidence.select(F.struct("*")).scalar().alias("confidence_stats"),
+        as_map("stage", "escalations", "escalations > 0 and stage is not null").alias("escalations_by_stage"),
+        as_map("band", "total_posts").alias("band_distribution"),
+        as_map("decision_model", "total_posts").alias("model_decisions"),
+        as_map("stage", "total_posts").alias("stage_distribution"),
+        confidence_describe(rows).select(F.struct("*")).scalar().alias("confidence_stats"),
     )
 
 
@@ -247,22 +268,34 @@ def report_rows(report: DataFrame) -> DataFrame:
 
 
 def benchmark_report(rows: DataFrame) -> DataFrame:
-    """The labelled-run report: summary, latency, escalation and accuracy in one row."""
-
-    def as_map(section: DataFrame) -> Column:
-        fields = [c for c in section.columns if c != "category"]
-        return section.select(F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("category", F.struct(*fields)))))).scalar()
-
-    summary = rows.agg(F.count("*").alias("total_tests"), F.count_if(F.col("error").isNull()).alias("successful_tests"))
-    return summary.select(
+    """The labelled-run report: summary, latency, escalation and accuracy in one row, cut from the cells of one pass over ``rows``."""
+    ok, t = F.col("error").isNull(), F.col("processing_time")
+    good = F.when(ok, t)
+    correct = F.col("accepted") != L.expect_rejected(F.col("category"))
+    cells = report_cells(rows, ["category"], [
+        F.count("*").alias("total_tests"), F.count_if(ok).alias("successful"), F.count_if(ok & correct).alias("correct"), F.count_if("escalated").alias("escalations"),
+        F.avg(t).alias("avg"), F.min(t).alias("min"), F.max(t).alias("max"), F.count(t).alias("timed"),
+        F.count(good).alias("good_count"), F.avg(good).alias("good_avg"), F.min(good).alias("good_min"), F.max(good).alias("good_max"), F.stddev_samp(good).alias("good_std")])
+    total = _total(cells, ["category"], ["total_tests", "successful", "timed", "escalations"], ["avg", "min", "max"])
+
+    def as_map(section: DataFrame, key: Column, *fields: Column) -> Column:
+        return section.select(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("category"), F.struct(*fields)))))).scalar()
+
+    own, zero = cells.filter("no_category = 0"), F.lit(0.0)
+    whole = F.col("no_category") == 1
+    return total.select(
         F.struct(
-            "total_tests", "successful_tests",
-            (F.col("total_tests") - F.col("successful_tests")).alias("failed_tests"),
-            percent(F.col("successful_tests"), F.col("total_tests")).alias("success_rate"),
+            "total_tests", F.col("successful").alias("successful_tests"), (F.col("total_tests") - F.col("successful")).alias("failed_tests"),
+            percent(F.col("successful"), F.col("total_tests")).alias("success_rate"),
         ).alias("summary"),
-        latency_overall(rows).select(F.struct("*")).scalar().alias("overall_latency"),
-        as_map(latency_by_category(rows.filter("error is null"))).alias("latency_by_category"),
-        as_map(escalations_by_category(rows)).alias("escalation"),
-        as_map(accuracy_by_category(rows)).alias("accuracy"),
+        F.struct(
+            F.coalesce("avg", zero).alias("avg_latency"), F.coalesce("min", zero).alias("min_latency"), F.coalesce("max", zero).alias("max_latency"),
+            F.col("timed").alias("total_requests"),
+        ).alias("overall_latency"),
+        as_map(own.filter("successful > 0"), F.col("category"), F.col("good_count").alias("count"), F.col("good_avg").alias("avg_latency"), F.col("good_min").alias("min_latency"),
+               F.col("good_max").alias("max_latency"), F.coalesce("good_std", zero).alias("std_dev")).alias("latency_by_category"),
+        as_map(cells.filter("no_category = 1 or escalations > 0"), F.when(whole, "(all)").otherwise(F.col("category")), F.col("escalations"),
+               F.when(whole, percent(F.col("escalations"), F.col("successful"))).alias("escalation_rate")).alias("escalation"),
+        as_map(own.filter("successful > 0"), F.col("category"), (F.col("correct") * 100.0 / F.col("successful")).alias("accuracy"), F.col("successful").alias("total_tests"),
+               F.col("correct").alias("correct_decisions")).alias("accuracy"),
     )

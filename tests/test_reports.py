@@ -136,3 +136,22 @@ def test_filters_and_expansion_keep_all_rows(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, []), (3, None)], "id int, xs array<int>")
     assert sorted((r.id, r.x) for r in expand(df, "xs", "x", "id").collect()) == [(1, 1), (1, 2)]
     assert [r.id for r in filter_once(df, F.col("id") > 1).orderBy("id").collect()] == [2, 3]
+
+
+def test_reports_read_the_rows_once(spark, tmp_path):
+    rows = spark.range(60).selectExpr(
+        "case when id % 7 = 0 then 'boom' end as error", "id / 10.0D as processing_time", "id % 3 = 0 as escalated", "concat('s', id % 4) as stage",
+        "concat('b', id % 2) as band", "concat('m', id % 5) as decision_model", "id / 60.0D as confidence", "concat('c', id % 3) as category", "id % 2 = 0 as accepted")
+    path = str(tmp_path / "decided_rows")
+    rows.write.parquet(path)
+    read = spark.read.parquet(path)
+
+    def scans(frame):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+        return plan.count("decided_rows")
+
+    assert scans(R.benchmark_report(read)) == 0
+    # only the quantiles come back to the rows
+    assert scans(R.analysis_report(read)) == scans(R.confidence_describe(read))
+    for empty in (R.analysis_report(read.limit(0)), R.benchmark_report(read.limit(0))):
+        assert empty.count() == 1
