@@ -95,10 +95,13 @@ def repeat_words(words: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line is boilerplate, navigation, or without the punctuation of prose: no sentence mark, or littered with symbols."""
-    lower = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(lower, F.lit(phrase))
+    def says(low: Column) -> Column:
+        found = F.lit(False)
+        for phrase in BOILERPLATE:
+            found = found | F.contains(low, F.lit(phrase))
+        return found
+
+    boilerplate = let(F.lower(line), says)
     n_words = F.regexp_count(line, F.lit(WORD))
     navigation = F.regexp_count(line, F.lit(NAVIGATION)) * 100 >= n_words * NAVIGATION_PERCENT
     symbols = (F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))) * 100 > F.length(line) * SYMBOL_PERCENT
