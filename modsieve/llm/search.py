@@ -93,6 +93,13 @@ def term_counts(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.col("content").cast("string").alias("content")).mapInArrow(count, schema)
 
 
+def _written(frame: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder in small row groups, well packed: terms and postings take about as much as the texts."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 @dataclass
 class PostIndex:
     """``blocks``: one row for each with ``m``, ``post_ids``, ``terms`` and, per term, where its postings start in ``tfs`` and ``places``."""
@@ -126,7 +133,7 @@ def build_index(posts: DataFrame, postings: int = POSTINGS) -> PostIndex:
     Texts are read once.  The term counts of a post then travel once, to where its stratum is: ranges of ``m``, split anywhere by a
     scatter of rows, so a stratum with most of the posts is spread over many tasks.
     """
-    counted = materialize(term_counts(posts, "post_id"), "term_counts")
+    counted = _written(term_counts(posts, "post_id"), "term_counts")
     n_posts, n_terms = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     m = F.lit(100 - 25) + F.expr(f"(cast(25 * n as decimal(20, 0)) * cast({n_posts} as decimal(18, 0))) div {max(1, n_terms)}")
     placed = counted.select(m.cast("long").alias("m"), F.xxhash64(F.monotonically_increasing_id()).alias("_tie"), "post_id", "terms", "tfs")
@@ -157,9 +164,7 @@ def build_index(posts: DataFrame, postings: int = POSTINGS) -> PostIndex:
     kind = posts.schema["post_id"].dataType
     schema = T.StructType([T.StructField("m", T.LongType()), T.StructField("post_ids", T.ArrayType(kind)), *T.StructType.fromDDL(
         "terms array<binary>, starts array<int>, tfs array<int>, places array<int>")])
-    path = scratch_path(posts.sparkSession, "post_index")
-    dealt.mapInArrow(blocks, schema).write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return PostIndex(posts.sparkSession.read.schema(schema).parquet(path), n_posts, n_terms)
+    return PostIndex(_written(dealt.mapInArrow(blocks, schema), "post_index"), n_posts, n_terms)
 
 
 def stratum_heads(index: PostIndex, wanted: DataFrame) -> DataFrame:
