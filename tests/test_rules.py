@@ -6,7 +6,6 @@ from hypothesis import strategies as st
 from labelled_posts import BENCHMARK_POSTS
 from pyspark.sql import functions as F
 
-from modsieve import constants as K
 from modsieve.functions import patterns as P
 from modsieve.functions import text as T
 from modsieve.operators import lexicon as X
