@@ -4,12 +4,12 @@ A keyword hits when its letters and digits occur in order in the squashed post w
 foreign characters between neighbours, anywhere, across word borders.  Keywords are ordered and
 the first one in list order is the one reported.
 
-A lexicon travels inside the plan, so that every post meets it without a shuffle.  A table of keywords
-of any size is taken in blocks of ``BLOCK_KEYWORDS``, one after the other: each is one pass over the posts that adds its hits to
-one table in the shared folder, and the result is a read of that table.  So the driver and every plan hold one block in
-pattern form, however many keywords there are.  Keywords keep the numbers their table gives them.
+A :class:`Lexicon` travels inside the plan, so that every post meets it without a shuffle: for lists that people curate.
+A table of keywords of any size is joined instead, over an index of grams (:mod:`modsieve.operators.keyword_index`): no plan
+and no driver holds its keywords, and the posts are read a fixed number of times, however many there are.  Keywords keep the numbers
+their table gives them.
 
-Up to ``CHAIN_LIMIT`` keywords the first hit is a CASE chain of constant patterns.  Above that the
+Up to ``CHAIN_LIMIT`` keywords of a lexicon the first hit is a CASE chain of constant patterns.  Above that the
 keywords form a tree: one combined pattern for the whole list decides hit or no hit (most posts
 stop there), then the first matching block, row and keyword are looked up only for posts that hit.
 Combined patterns share prefixes, so their cost grows far slower than the list.
@@ -17,9 +17,7 @@ Combined patterns share prefixes, so their cost grows far slower than the list.
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,13 +25,12 @@ from pyspark.sql import functions as F
 
 from modsieve import constants as K
 from modsieve.functions.text import squash
+from modsieve.operators.keyword_index import indexed_hits
 from modsieve.operators.rows import expand
-from modsieve.session import scratch_path
 
 CHAIN_LIMIT = 48
 BLOCK = 256
 ROW = 16
-BLOCK_KEYWORDS = 10_000
 GAP = ".{0,2}"
 
 
@@ -83,7 +80,7 @@ class Lexicon:
 
     @staticmethod
     def from_table(table: DataFrame) -> "Lexicon":
-        """A whole ``(kw_idx, keyword)`` table as one lexicon: for lists that people curate.  See :func:`keyword_blocks`."""
+        """A whole ``(kw_idx, keyword)`` table as one lexicon, collected: for lists that people curate."""
         rows = table.select("kw_idx", "keyword").orderBy("kw_idx").collect()
         return Lexicon.of([row.keyword for row in rows], [row.kw_idx for row in rows])
 
@@ -196,47 +193,24 @@ def fuzzy_match(text: Column, keyword: str) -> Column:
     return squash(text).rlike(fuzzy_pattern(keyword))
 
 
-def keyword_blocks(table: DataFrame, size: int = BLOCK_KEYWORDS) -> Iterator[Lexicon]:
-    """The keywords of a table in order, ``size`` at a time; the driver never holds more than a block and a partition."""
-    rows = table.select("kw_idx", "keyword").orderBy("kw_idx").toLocalIterator()
-    while block := list(itertools.islice(rows, size)):
-        yield Lexicon.of([row.keyword for row in block], [row.kw_idx for row in block])
-
-
-def _united(posts: DataFrame, keywords: Lexicon | DataFrame, hits: Callable[[DataFrame, Lexicon], DataFrame]) -> DataFrame:
-    if isinstance(keywords, Lexicon):
-        return hits(posts, keywords)
-    path = scratch_path(posts.sparkSession, "keyword_hits")
-    schema = hits(posts, Lexicon.of([])).schema
-    posts.sparkSession.createDataFrame([], schema).write.parquet(path)
-    for block in keyword_blocks(keywords):
-        hits(posts, block).write.mode("append").parquet(path)
-    return posts.sparkSession.read.schema(schema).parquet(path)
-
-
 def lexicon_hits(posts: DataFrame, keywords: Lexicon | DataFrame) -> DataFrame:
     """One row ``(post_id, kw_idx, keyword)`` per post and keyword that hits; a lexicon, or a table of any size."""
-    return _united(posts, keywords, _block_hits)
-
-
-def _block_hits(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    if isinstance(keywords, DataFrame):
+        return indexed_hits(posts, keywords)
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
-    listed = squashed.select("post_id", lexicon.all_hits(F.col("squashed")).alias("found"))
+    listed = squashed.select("post_id", keywords.all_hits(F.col("squashed")).alias("found"))
     hits = expand(listed, "found", "position", "post_id")
-    return hits.select("post_id", lexicon.number_at(F.col("position")).alias("kw_idx"), lexicon.keyword_at(F.col("position")).alias("keyword"))
+    return hits.select("post_id", keywords.number_at(F.col("position")).alias("kw_idx"), keywords.keyword_at(F.col("position")).alias("keyword"))
 
 
 def first_hits(posts: DataFrame, keywords: Lexicon | DataFrame) -> DataFrame:
     """``(post_id, kw_idx, keyword)`` of the first keyword in list order, for posts that have one."""
-    found = _united(posts, keywords, _block_first)
-    return found if isinstance(keywords, Lexicon) else first_hit_per_post(found)
-
-
-def _block_first(posts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    if isinstance(keywords, DataFrame):
+        return first_hit_per_post(indexed_hits(posts, keywords))
     squashed = posts.select("post_id", squash(F.col("content")).alias("squashed"))
-    found = squashed.select("post_id", F.array(lexicon.first_hit(F.col("squashed"))).alias("found"))
+    found = squashed.select("post_id", F.array(keywords.first_hit(F.col("squashed"))).alias("found"))
     hits = expand(found, "found", "position", "post_id")
-    return hits.select("post_id", lexicon.number_at(F.col("position")).alias("kw_idx"), lexicon.keyword_at(F.col("position")).alias("keyword"))
+    return hits.select("post_id", keywords.number_at(F.col("position")).alias("kw_idx"), keywords.keyword_at(F.col("position")).alias("keyword"))
 
 
 def first_hit_per_post(hits: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from modsieve.functions import patterns as P
 from modsieve.functions import text as T
+from modsieve.operators import keyword_index as index
 from modsieve.operators import lexicon as X
 from modsieve.operators.stages import rules_stage
 from modsieve.plans import fixtures
@@ -80,16 +83,51 @@ def test_first_and_all_hits_match_brute_force(spark, small, size):
         assert every.get(row.post_id, set()) == want
 
 
-def test_given_numbers_are_kept_over_blocks(spark, monkeypatch):
-    posts = spark.createDataFrame([(1, "all about cats"), (2, "d-o g s and birds"), (3, "none")], "post_id long, content string")
-    table = spark.createDataFrame([(5, "!!!"), (10, "birds"), (20, "dogs"), (400, "cats"), (7_000_000_000, "cat")], "kw_idx long, keyword string")
-    for size in (1, 2, 10):
-        blocks = list(X.keyword_blocks(table, size))
-        assert [n for b in blocks for n in b.numbers] == [10, 20, 400, 7_000_000_000]
-        monkeypatch.setattr(X, "keyword_blocks", lambda t, s=size, f=X.keyword_blocks: iter(blocks))
-        assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
-        assert {(r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
-        monkeypatch.undo()
+def test_given_numbers_are_kept(spark):
+    posts = spark.createDataFrame([(1, "all about cats"), (2, "d-o g s and birds"), (3, "none"), (4, None), (5, "")], "post_id long, content string")
+    table = spark.createDataFrame([(5, "!!!"), (10, "birds"), (20, "dogs"), (400, "cats"), (7_000_000_000, "cat"), (8, None)], "kw_idx long, keyword string")
+    assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
+    assert {(r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
+    assert X.lexicon_hits(posts, table.limit(0)).count() == X.lexicon_hits(posts.limit(0), table).count() == 0
+
+
+def test_index_join_keeps_repeated_rows_and_posts_without_an_id(spark):
+    posts = spark.createDataFrame([("a", "bad cat"), ("a", "bad cat"), (None, "c a t"), (None, "dog"), ("b", "a cat")], "post_id string, content string")
+    table = spark.createDataFrame([(1, "cat"), (1, "cat"), (2, "bad"), (3, "t")], "kw_idx int, keyword string")
+    found = Counter((r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect())
+    assert found == {("a", 1): 4, ("a", 2): 2, ("a", 3): 2, (None, 1): 2, (None, 3): 1, ("b", 1): 2, ("b", 3): 1}
+
+
+def test_index_join_equals_the_lexicon(spark, small):
+    """Also with every gram split into many shares."""
+    posts, table = fixtures.planted(spark, small), fixtures.phrase_keywords(spark, small)
+    short = spark.createDataFrame([(-1, "a"), (-2, "zx"), (-3, "the"), (-4, "q 7")], "kw_idx long, keyword string")
+    table = table.unionByName(short)
+    want = sorted(X.lexicon_hits(posts, X.Lexicon.from_table(table)).collect())
+    assert len({r.kw_idx for r in want}) > 3
+    before = index.POSTS_A_SHARE
+    for posts_a_share in (before, 3):
+        index.POSTS_A_SHARE = posts_a_share
+        try:
+            assert sorted(X.lexicon_hits(posts, table).collect()) == want
+        finally:
+            index.POSTS_A_SHARE = before
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab0", max_size=5).filter(len), min_size=1, max_size=6), st.lists(st.one_of(st.none(), st.text("ab0z", max_size=16)), max_size=5),
+       st.integers(1, 40))
+def test_posts_hold_the_grams_of_all_that_hit(keywords, texts, chunk):
+    digit = {c: k + 1 for k, c in enumerate(index.LETTERS)}
+    number = {g: sum(digit[c] * index.BASE ** k for k, c in enumerate(g))
+              for w in keywords for g in [w[k : k + index.GRAM] for k in range(max(1, len(w) - index.GRAM + 1))]}
+    before, index.CHUNK = index.CHUNK, chunk
+    try:
+        rows, found = index.Grams(index.Grams.bits_of(np.array(list(number.values())))).held_by(texts)
+    finally:
+        index.CHUNK = before
+    want = {(k, n) for k, text in enumerate(texts) for g, n in number.items() if re.search(X.fuzzy_pattern(g), text or "")}
+    assert set(zip(rows.tolist(), found.tolist())) == want and len(rows) == len(want)
 
 
 def test_more_than_100_000_keywords(spark):
