@@ -12,6 +12,7 @@ from modsieve.operators import cascade as C
 from modsieve.operators import moderate
 from modsieve.operators import stages as S
 from modsieve.operators.explanations import parse_explanation
+from modsieve.operators.keyword_index import indexed_hits
 from modsieve.operators.lexicon import Lexicon, first_hit_per_post, first_hits, fuzzy_match, lexicon_hits
 from modsieve.operators.providers import batch_scorer, masked, score_table
 from modsieve.operators.rows import expand_with_position, filter_once
@@ -64,6 +65,11 @@ def _(spark, sf):
     return lexicon_hits(X.planted(spark, sf), X.benchmark_keywords(spark, sf))
 
 
+@query("lexicon_hits_indexed", using("planted", body="select * from hits", extra={"hits": _HITS}))
+def _(spark, sf):
+    return indexed_hits(X.planted(spark, sf), X.benchmark_keywords(spark, sf))
+
+
 @query("first_hit_per_post", using("planted", body="""
 select post_id, min(kw_idx) as kw_idx, arg_min(keyword, kw_idx) as keyword from hits group by post_id""", extra={"hits": _HITS}))
 def _(spark, sf):

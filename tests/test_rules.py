@@ -83,18 +83,31 @@ def test_first_and_all_hits_match_brute_force(spark, small, size):
         assert every.get(row.post_id, set()) == want
 
 
-def test_given_numbers_are_kept(spark):
+def test_given_numbers_are_kept_over_blocks(spark, monkeypatch):
+    posts = spark.createDataFrame([(1, "all about cats"), (2, "d-o g s and birds"), (3, "none")], "post_id long, content string")
+    table = spark.createDataFrame([(5, "!!!"), (10, "birds"), (20, "dogs"), (400, "cats"), (7_000_000_000, "cat")], "kw_idx long, keyword string")
+    for size in (1, 2, 10):
+        blocks = list(X.keyword_blocks(table, size))
+        assert [n for b in blocks for n in b.numbers] == [10, 20, 400, 7_000_000_000]
+        monkeypatch.setattr(X, "keyword_blocks", lambda t, s=size, f=X.keyword_blocks: iter(blocks))
+        assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
+        assert {(r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
+        monkeypatch.undo()
+
+
+def test_index_join_keeps_given_numbers(spark):
     posts = spark.createDataFrame([(1, "all about cats"), (2, "d-o g s and birds"), (3, "none"), (4, None), (5, "")], "post_id long, content string")
     table = spark.createDataFrame([(5, "!!!"), (10, "birds"), (20, "dogs"), (400, "cats"), (7_000_000_000, "cat"), (8, None)], "kw_idx long, keyword string")
-    assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hits(posts, table).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
-    assert {(r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
-    assert X.lexicon_hits(posts, table.limit(0)).count() == X.lexicon_hits(posts.limit(0), table).count() == 0
+    found = index.indexed_hits(posts, table)
+    assert {(r.post_id, r.kw_idx) for r in found.collect()} == {(1, 400), (1, 7_000_000_000), (2, 10), (2, 20)}
+    assert {(r.post_id, r.kw_idx, r.keyword) for r in X.first_hit_per_post(found).collect()} == {(1, 400, "cats"), (2, 10, "birds")}
+    assert index.indexed_hits(posts, table.limit(0)).count() == index.indexed_hits(posts.limit(0), table).count() == 0
 
 
 def test_index_join_keeps_repeated_rows_and_posts_without_an_id(spark):
     posts = spark.createDataFrame([("a", "bad cat"), ("a", "bad cat"), (None, "c a t"), (None, "dog"), ("b", "a cat")], "post_id string, content string")
     table = spark.createDataFrame([(1, "cat"), (1, "cat"), (2, "bad"), (3, "t")], "kw_idx int, keyword string")
-    found = Counter((r.post_id, r.kw_idx) for r in X.lexicon_hits(posts, table).collect())
+    found = Counter((r.post_id, r.kw_idx) for r in index.indexed_hits(posts, table).collect())
     assert found == {("a", 1): 4, ("a", 2): 2, ("a", 3): 2, (None, 1): 2, (None, 3): 1, ("b", 1): 2, ("b", 3): 1}
 
 
@@ -109,7 +122,7 @@ def test_index_join_equals_the_lexicon(spark, small):
     for posts_a_share in (before, 3):
         index.POSTS_A_SHARE = posts_a_share
         try:
-            assert sorted(X.lexicon_hits(posts, table).collect()) == want
+            assert sorted(index.indexed_hits(posts, table).collect()) == want
         finally:
             index.POSTS_A_SHARE = before
 
@@ -145,7 +158,7 @@ def test_plan_does_not_grow_with_the_keywords(spark):
     plans = []
     for n in (10, 100_000):
         table = spark.range(n).selectExpr("id as kw_idx", "concat('zq', lpad(id, 6, '0')) as keyword")
-        for found in (X.first_hits(posts, table), X.lexicon_hits(posts, table)):
+        for found in (X.first_hits(posts, table), index.indexed_hits(posts, table)):
             plans.append(len(found._jdf.queryExecution().toString()))
     assert plans[2] == pytest.approx(plans[0], rel=0.05) and plans[3] == pytest.approx(plans[1], rel=0.05)
 
