@@ -33,8 +33,8 @@ REACH = 3
 BASE = len(LETTERS) + 1
 KEYS = BASE ** GRAM
 POSTS_A_SHARE = 100_000
-#: Characters looked through at once.
-CHUNK = 65_536
+#: Characters looked through at once, texts taken together up to so many, and finds merged beyond so many: bounds of a worker's memory.
+CHUNK, TOGETHER, MOST_FOUND = 65_536, 262_144, 2_000_000
 
 _RANK = np.zeros(256, np.int32)
 _RANK[list(LETTERS.encode())] = np.arange(1, BASE)
@@ -57,6 +57,17 @@ class Grams:
         wanted[numbers] = True
         return np.packbits(wanted).tobytes()
 
+    def held_in_parts(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`held_by` for a few texts after the other, positions in all ``texts``."""
+        ends = np.cumsum([len(text or "") + REACH for text in texts])
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            rows, found = self.held_by(texts[start:stop])
+            yield rows + start, found
+            start = stop
+
     def held_by(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Each (position in ``texts``, wanted gram of that squashed text) once."""
         whole = [text or "" for text in texts]
@@ -72,6 +83,8 @@ class Grams:
                 hit = self.wanted[number]
                 row = np.searchsorted(starts, at[hit] + start, "right") - 1
                 found.append(np.unique(row * KEYS + number[hit]))
+                if sum(map(len, found)) > MOST_FOUND:
+                    found = [np.unique(np.concatenate(found))]
                 if size < GRAM:
                     steps = [self._longer(part, at, number, step, size) for step in range(1, REACH + 1)]
                     at, number = (np.concatenate(both) for both in zip(*steps))
@@ -91,8 +104,9 @@ def post_counts(posts: DataFrame, bits: bytes) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(bits), np.zeros(KEYS, np.int64)
         for batch in batches:
-            found, n = np.unique(grams.held_by(batch.column(0).to_pylist())[1], return_counts=True)
-            counts[found] += n
+            for _, held in grams.held_in_parts(batch.column(0).to_pylist()):
+                found, n = np.unique(held, return_counts=True)
+                counts[found] += n
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["gram", "n"])
 
@@ -108,9 +122,10 @@ def post_grams(posts: DataFrame, bits: bytes, split: np.ndarray, shares: np.ndar
         grams, among = Grams(bits), np.ones(KEYS, np.int64)
         among[split] = shares
         for batch in batches:
-            rows, found = grams.held_by(batch.column(2).to_pylist())
-            share = np.asarray(batch.column(1))[rows] % among[found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found), pa.array(share)], ["post_id", "gram", "share"])
+            spot = np.asarray(batch.column(1))
+            for rows, found in grams.held_in_parts(batch.column(2).to_pylist()):
+                share = pa.array(spot[rows] % among[found])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(found), share], ["post_id", "gram", "share"])
 
     return posts.select("post_id", F.xxhash64("post_id").alias("spot"), "squashed").mapInArrow(of, f"post_id {kind}, gram long, share long")
 

@@ -134,11 +134,13 @@ def test_posts_hold_the_grams_of_all_that_hit(keywords, texts, chunk):
     digit = {c: k + 1 for k, c in enumerate(index.LETTERS)}
     number = {g: sum(digit[c] * index.BASE ** k for k, c in enumerate(g))
               for w in keywords for g in [w[k : k + index.GRAM] for k in range(max(1, len(w) - index.GRAM + 1))]}
-    before, index.CHUNK = index.CHUNK, chunk
+    before, (index.CHUNK, index.TOGETHER, index.MOST_FOUND) = (index.CHUNK, index.TOGETHER, index.MOST_FOUND), (chunk, 2 * chunk, 3)
     try:
-        rows, found = index.Grams(index.Grams.bits_of(np.array(list(number.values())))).held_by(texts)
+        grams = index.Grams(index.Grams.bits_of(np.array(list(number.values()))))
+        parts = list(grams.held_in_parts(texts))
+        rows, found = (np.concatenate([p[k] for p in parts] + [np.zeros(0, np.int64)]) for k in (0, 1))
     finally:
-        index.CHUNK = before
+        index.CHUNK, index.TOGETHER, index.MOST_FOUND = before
     want = {(k, n) for k, text in enumerate(texts) for g, n in number.items() if re.search(X.fuzzy_pattern(g), text or "")}
     assert set(zip(rows.tolist(), found.tolist())) == want and len(rows) == len(want)
 
